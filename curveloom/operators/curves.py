@@ -307,19 +307,20 @@ def resample(
         "_pairs", F.transform(stations, neighbours)
     )
 
-    def value(pair: Column, c: str) -> Column:
-        left, right, at = pair["left"], pair["right"], pair["at"]
-        y0, y1 = left[f"_last_{c}"], right[f"_first_{c}"]
-        slope = (y1 - y0) / (right["_x0"] - left["_x1"])
-        return (
-            F.when(left.isNull(), y1)
-            .when(right.isNull() | (left["_x1"] == at), y0)
-            .otherwise(slope * (at - left["_x1"]) + y0)
-        )
-
-    resampled = pairs.select(
-        *keys, *[F.transform("_pairs", lambda p, c=c: value(p, c)).alias(c) for c in columns]
-    )
+    def values(c: str) -> Column:
+        def value(pair: Column) -> Column:
+            left, right, at = pair["left"], pair["right"], pair["at"]
+            y0, y1 = left[f"_last_{c}"], right[f"_first_{c}"]
+            slope = (y1 - y0) / (right["_x0"] - left["_x1"])
+            return (
+                F.when(left.isNull(), y1)
+                .when(right.isNull() | (left["_x1"] == at), y0)
+                .otherwise(slope * (at - left["_x1"]) + y0)
+            )
+
+        return F.transform("_pairs", value)
+
+    resampled = pairs.select(*keys, *[values(c).alias(c) for c in columns])
     return resampled, rejected
 
 

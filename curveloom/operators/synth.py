@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curveloom.functions.draws import normal, uniform, uniform_between
-from curveloom.functions.scalars import convex_weights, line_grid, literal_array, power_of_ten
+from curveloom.functions.scalars import convex_weights, dot, line_grid, literal_array, power_of_ten
 from curveloom.operators.features import vector_covariance
 from curveloom.operators.ranking import rank_by_digest
 
@@ -130,25 +130,24 @@ def sample_shapes(
         case_id, F.explode(F.arrays_zip(convex_weights(cuts).alias("weight"), draws.alias("no")))
         .alias("_p")
     ).select(case_id, "_p.weight", F.col("_p.no").alias("parent_no"))
-    parts = picked.join(numbered, "parent_no")
+    # Drawing is heavy on few bytes, so the partition count is fixed instead of left to be merged.
+    n_partitions = int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = picked.join(numbered, "parent_no").repartition(n_partitions, case_id)
     blended = parts.groupBy(case_id).agg(F.array(*[
         F.sum(F.col("weight") * F.get("parent", F.lit(i))) for i in range(N_COEFFICIENTS)
     ]).alias("blend"))
 
     factor_rows = F.array(*[literal_array(row) for row in factor])
 
-    def deviation(attempt: Column) -> Column:
-        z = F.transform(
+    def noise(attempt: Column) -> Column:
+        return F.transform(
             F.sequence(F.lit(0), F.lit(N_COEFFICIENTS - 1)),
             lambda i: normal(key, seed, "noise", attempt * N_COEFFICIENTS + i),
         )
-        return F.transform(
-            factor_rows,
-            lambda row: F.aggregate(F.zip_with(row, z, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v),
-        )
 
-    def shaped(attempt: Column) -> Column:
-        return F.zip_with(F.col("blend"), deviation(attempt), lambda b, d: b + d)
+    def shaped(z: Column) -> Column:
+        deviation = F.transform(factor_rows, lambda row: dot(row, z))
+        return F.zip_with(F.col("blend"), deviation, lambda b, d: b + d)
 
     def sound(vector: Column) -> Column:
         return F.forall(
@@ -159,17 +158,17 @@ def sample_shapes(
             lambda p: p["u"] > p["v"],
         )
 
+    def tries(start: int, stop: int) -> Column:
+        # The noise of a try is bound to the lambda variable, so it is drawn once per try.
+        return F.transform(F.transform(F.sequence(F.lit(start), F.lit(stop - 1)), noise), shaped)
+
     def first_sound(start: int, stop: int) -> Column:
-        tries = F.transform(
-            F.sequence(F.lit(start), F.lit(stop - 1)),
-            lambda t: F.struct(t.alias("t"), shaped(t).alias("vector")),
-        )
-        return F.get(F.filter(tries, lambda s: sound(s["vector"])), F.lit(0))["vector"]
+        return F.get(F.filter(tries(start, stop), sound), F.lit(0))
 
     # Growing batches: coalesce stops at the first batch that holds a sound try.
     bounds = [b for b in (0, 1, 4, 16) if b < config.most_tries] + [config.most_tries]
     batches = [first_sound(a, b) for a, b in zip(bounds, bounds[1:])]
-    last_try = shaped(F.lit(config.most_tries - 1))
+    last_try = F.get(tries(config.most_tries - 1, config.most_tries), F.lit(0))
     scale = F.exp(F.lit(config.scale_log_sigma) * normal(key, seed, "scale"))
     drawn = blended.withColumn("_sound", F.coalesce(*batches)).withColumn(
         "_vector", F.coalesce(F.col("_sound"), last_try)

@@ -108,12 +108,12 @@ cut AS (SELECT curve_id, CASE WHEN nose = f THEN tail_first WHEN nose = l THEN t
   nose <> f AND nose = l AS backwards FROM form
   WHERE NOT (nose = f AND tail_first = l) AND NOT (nose <> f AND nose = l AND tail_last = f)),
 branch AS (
-  SELECT curve_id, ord, x, y, NOT backwards AS leading FROM scaled JOIN cut USING (curve_id) WHERE ord <= cut
+  SELECT curve_id, ord, x, y, NOT backwards AS fore FROM scaled JOIN cut USING (curve_id) WHERE ord <= cut
   UNION ALL SELECT curve_id, ord, x, y, backwards FROM scaled JOIN cut USING (curve_id) WHERE ord >= cut),
-side AS (SELECT curve_id, avg(CASE WHEN leading THEN y END) >= avg(CASE WHEN NOT leading THEN y END) AS a_up,
-  greatest(min(CASE WHEN leading THEN x END), min(CASE WHEN NOT leading THEN x END)) <= 1e-5 AS attached
+side AS (SELECT curve_id, avg(CASE WHEN fore THEN y END) >= avg(CASE WHEN NOT fore THEN y END) AS a_up,
+  greatest(min(CASE WHEN fore THEN x END), min(CASE WHEN NOT fore THEN x END)) <= 1e-5 AS attached
   FROM branch GROUP BY curve_id),
-branches AS (SELECT curve_id, CASE WHEN leading = a_up THEN 'upper' ELSE 'lower' END AS surface, ord, x, y
+branches AS (SELECT curve_id, CASE WHEN fore = a_up THEN 'upper' ELSE 'lower' END AS surface, ord, x, y
   FROM branch JOIN side USING (curve_id) WHERE attached)"""
 
 
@@ -129,18 +129,18 @@ def branch_detect(spark, folder):
 def interpolation_sql(samples: str, keys: str, grid: str, columns: str = "y") -> str:
     """Brute-force interpolation: every station against every sample of its curve."""
     return f"""grid AS ({grid}),
-ends AS (SELECT {keys}, g.i, g.at, max(CASE WHEN x <= at THEN x END) AS xl, min(CASE WHEN x >= at THEN x END) AS xr,
-  arg_max({columns}, CASE WHEN x <= at THEN x END) AS yl, arg_min({columns}, CASE WHEN x >= at THEN x END) AS yr
-  FROM {samples}, grid g GROUP BY {keys}, g.i, g.at),
-resampled AS (SELECT {keys}, i, CASE WHEN xl IS NULL THEN yr WHEN xr IS NULL THEN yl WHEN xl = at THEN yl
-  ELSE yl + (yr - yl) / (xr - xl) * (at - xl) END AS v FROM ends)"""
+ends AS (SELECT {keys}, g.i, g.p, max(CASE WHEN x <= p THEN x END) AS xl, min(CASE WHEN x >= p THEN x END) AS xr,
+  arg_max({columns}, CASE WHEN x <= p THEN x END) AS yl, arg_min({columns}, CASE WHEN x >= p THEN x END) AS yr
+  FROM {samples}, grid g GROUP BY {keys}, g.i, g.p),
+resampled AS (SELECT {keys}, i, CASE WHEN xl IS NULL THEN yr WHEN xr IS NULL THEN yl WHEN xl = p THEN yl
+  ELSE yl + (yr - yl) / (xr - xl) * (p - xl) END AS v FROM ends)"""
 
 
 @book.add("resample_uniform", f"""
 WITH {STEP_SIGN}, near AS (
   SELECT *, lag(x) OVER (PARTITION BY curve_id, surface ORDER BY x, ord) AS before FROM surfaces),
 samples AS (SELECT curve_id, surface, x, y FROM near WHERE before IS NULL OR x - before > 1e-10),
-{interpolation_sql("samples", "curve_id, surface", "SELECT i, (i + 0.5e0) / 32.0e0 AS at FROM (SELECT unnest(range(0, 32)) AS i)")}
+{interpolation_sql("samples", "curve_id, surface", "SELECT i, (i + 0.5e0) / 32.0e0 AS p FROM (SELECT unnest(range(0, 32)) AS i)")}
 SELECT curve_id, surface, CAST(i AS INTEGER) AS i, {r6("v", "y")} FROM resampled""")
 def resample_uniform(spark, folder):
     rows, hot = _curve(spark, folder)
@@ -162,7 +162,7 @@ def _calm(hot):
 @book.add("resample_cosine", f"""
 WITH {BRANCHES}, samples AS (
   SELECT curve_id, surface, x, avg(y) AS y FROM branches GROUP BY curve_id, surface, x),
-{interpolation_sql("samples", "curve_id, surface", "SELECT i, 0.5e0 * (1.0e0 - cos(pi() * i / 40.0e0)) AS at FROM (SELECT unnest(range(0, 41)) AS i)")}
+{interpolation_sql("samples", "curve_id, surface", "SELECT i, 0.5e0 * (1.0e0 - cos(pi() * i / 40.0e0)) AS p FROM (SELECT unnest(range(0, 41)) AS i)")}
 SELECT curve_id, CAST(i AS INTEGER) AS i, {r6("max(CASE WHEN surface = 'upper' THEN v END)", "upper_y")},
   {r6("max(CASE WHEN surface = 'lower' THEN v END)", "lower_y")} FROM resampled GROUP BY curve_id, i""")
 def resample_cosine(spark, folder):
@@ -388,7 +388,7 @@ def json_shape_records(spark, folder):
 WITH {STEP_SIGN}, near AS (
   SELECT *, lag(x) OVER (PARTITION BY curve_id, surface ORDER BY x, ord) AS before FROM surfaces),
 samples AS (SELECT curve_id, surface, x, y FROM near WHERE before IS NULL OR x - before > 1e-10),
-{interpolation_sql("samples", "curve_id, surface", "SELECT i, (i + 0.5e0) / 32.0e0 AS at FROM (SELECT unnest(range(0, 32)) AS i)")}
+{interpolation_sql("samples", "curve_id, surface", "SELECT i, (i + 0.5e0) / 32.0e0 AS p FROM (SELECT unnest(range(0, 32)) AS i)")}
 SELECT curve_id, CAST(i AS INTEGER) AS i,
   {r6("max(CASE WHEN surface = 'upper' THEN v END) / 100", "upper_bl_theta")},
   {r6("max(CASE WHEN surface = 'upper' THEN v END) * 2", "upper_bl_H")},

@@ -230,8 +230,7 @@ def interval_join_counts(spark, folder):
 
 def _polar_sql() -> str:
     return f"""WITH {OBS} SELECT l_orderkey, entity_id, alpha, cl, cd, cl_a AS pred_cl, cd_a AS pred_cd,
-  {r6("CASE WHEN cd <> 0 THEN cl / cd END", "ratio")},
-  {r6("cl_a / greatest(cd_a, 1e-8)", "pred_ratio")} FROM obs"""
+  CASE WHEN cd <> 0 THEN cl / cd END AS ratio, cl_a / greatest(cd_a, 1e-8) AS pred_ratio FROM obs"""
 
 
 @book.add("polar_table", _polar_sql())
@@ -241,10 +240,7 @@ def polar(spark, folder):
         rows.withColumn("entity_id", F.struct("l_orderkey", "entity_id")), "entity_id", "alpha",
         {"cl": "cl", "cd": "cd"}, {"cl": "cl_a", "cd": "cd_a"},
     )
-    return rounded(
-        table.select("entity_id.l_orderkey", "entity_id.entity_id", *table.columns[1:]),
-        keep=("alpha", "cl", "cd", "pred_cl", "pred_cd"),
-    )
+    return table.select("entity_id.l_orderkey", "entity_id.entity_id", *table.columns[1:])
 
 
 @book.add("best_candidate", f"""

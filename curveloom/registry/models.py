@@ -41,9 +41,9 @@ STATS = " UNION ALL ".join(
 
 
 @book.add("scaler_stats", f"""WITH {LOGGED}, st AS ({STATS})
-SELECT "column", {r6("mean", "mean")}, {r6("std", "std")} FROM st""")
+SELECT "column", round(mean, 9) + 0.0e0 AS mean, round(std, 9) + 0.0e0 AS std FROM st""")
 def scaler_stats(spark, folder):
-    return rounded(features.scaler_statistics(_logged(spark, folder), SCALED))
+    return rounded(features.scaler_statistics(_logged(spark, folder), SCALED), 9)
 
 
 @book.add("scaled_features", f"""WITH {LOGGED}, s AS (SELECT avg(alpha) AS ma, stddev_pop(alpha) AS sa,

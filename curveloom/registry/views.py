@@ -118,14 +118,14 @@ def curve(spark: SparkSession, folder: str, hot: HotKeys) -> DataFrame:
 
 CURVE = """
 curve0 AS (
-  SELECT user_id AS curve_id, event_id, event_type, value AS y, epoch_us(ts) AS at,
+  SELECT user_id AS curve_id, event_id, event_type, value AS y, epoch_us(ts) AS micros,
     row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ord,
     min(epoch_us(ts)) OVER (PARTITION BY user_id) AS s,
     max(epoch_us(ts)) OVER (PARTITION BY user_id) AS f
   FROM events),
 curve AS (
   SELECT curve_id, ord, event_id, event_type, y,
-    CASE WHEN f > s THEN abs(2.0e0 * (CAST(at - s AS DOUBLE) / CAST(f - s AS DOUBLE)) - 1.0e0) END AS x
+    CASE WHEN f > s THEN abs(2.0e0 * (CAST(micros - s AS DOUBLE) / CAST(f - s AS DOUBLE)) - 1.0e0) END AS x
   FROM curve0)"""
 
 
