@@ -22,10 +22,15 @@ def digest(key: Column, seed: int, stream: str = "", number: Column | int = 0) -
     return F.md5(F.concat_ws("|", F.lit(str(seed)), _text(key), F.lit(stream), _text(number)))
 
 
+def fraction(text: Column, start: int = 1) -> Column:
+    """Thirteen hex digits of a digest as a number in the open interval (0, 1)."""
+    whole = F.conv(F.substring(text, start, HEX_DIGITS), 16, 10)
+    return (whole.cast("long").cast("double") + F.lit(0.5)) / F.lit(STEPS)
+
+
 def uniform(key: Column, seed: int, stream: str, number: Column | int = 0) -> Column:
     """Uniform on the open interval (0, 1)."""
-    whole = F.conv(F.substring(digest(key, seed, stream, number), 1, HEX_DIGITS), 16, 10)
-    return (whole.cast("long").cast("double") + F.lit(0.5)) / F.lit(STEPS)
+    return fraction(digest(key, seed, stream, number))
 
 
 def uniform_between(
@@ -34,7 +39,23 @@ def uniform_between(
     return F.lit(float(low)) + uniform(key, seed, stream, number) * F.lit(float(high) - float(low))
 
 
+def normal_pair(text: Column) -> Column:
+    """Two independent standard normals from one digest (Box-Muller), as an array."""
+    radius = F.sqrt(F.lit(-2.0) * F.ln(fraction(text)))
+    angle = F.lit(2.0) * F.pi() * fraction(text, HEX_DIGITS + 1)
+    return F.array(radius * F.cos(angle), radius * F.sin(angle))
+
+
 def normal(key: Column, seed: int, stream: str, number: Column | int = 0) -> Column:
-    """Standard normal by the Box-Muller transform of two uniforms."""
-    radius = F.sqrt(F.lit(-2.0) * F.ln(uniform(key, seed, stream + ".r", number)))
-    return radius * F.cos(F.lit(2.0) * F.pi() * uniform(key, seed, stream + ".a", number))
+    return F.get(normal_pair(digest(key, seed, stream, number)), F.lit(0))
+
+
+def normals(key: Column, seed: int, stream: str, number: Column, count: int) -> Column:
+    """``count`` (even) independent normals for draw ``number``, one digest per pair."""
+    pairs = count // 2
+    # Binding the digests to the lambda variable hashes each of them once.
+    digests = F.transform(
+        F.sequence(F.lit(0), F.lit(pairs - 1)),
+        lambda i: digest(key, seed, stream, number * pairs + i),
+    )
+    return F.flatten(F.transform(digests, normal_pair))

@@ -28,7 +28,9 @@ def add_descriptors(
         return df
     df = drop_overlap(df, DESCRIPTOR_COLUMNS)
     shapes = first_per_entity(df.select(entity, upper, lower, le, te), [entity], [upper, lower, le, te])
-    described = shapes.select(
+    # Much work on few bytes: keep the partition count instead of letting small ones be merged.
+    n_partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    described = shapes.repartition(n_partitions, entity).select(
         entity,
         *[c.alias(name) for name, c in describe_shape(
             F.col(upper), F.col(lower), F.col(le), F.col(te)
@@ -132,13 +134,12 @@ def vector_mean(df: DataFrame, vector: str, size: int) -> DataFrame:
 def vector_covariance(df: DataFrame, vector: str, size: int) -> DataFrame:
     """(i, j, covariance) with n - 1, for i <= j.
 
-    Fixed aggregation row of ``size * (size + 1) / 2`` covariances: one pass, no shuffle of pairs.
+    Grouped by the first index with one covariance per second index: ``size`` groups are combined
+    before the shuffle, and the aggregation stays small enough to be compiled.
     """
-    elements = df.select(*[F.get(F.col(vector), F.lit(i)).alias(f"v_{i}") for i in range(size)])
-    pairs = [(i, j) for i in range(size) for j in range(i, size)]
-    wide = elements.agg(*[F.covar_samp(f"v_{i}", f"v_{j}").alias(f"c_{i}_{j}") for i, j in pairs])
-    entries = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c_{i}_{j}").alias("covariance"))
-        for i, j in pairs
-    ]))
-    return wide.select(entries.alias("_e")).select("_e.i", "_e.j", "_e.covariance")
+    rows = df.select(F.posexplode(vector).alias("i", "_v"), vector)
+    wide = rows.groupBy("i").agg(*[
+        F.covar_samp("_v", F.get(F.col(vector), F.lit(j))).alias(f"c_{j}") for j in range(size)
+    ])
+    entries = F.posexplode(F.array(*[f"c_{j}" for j in range(size)]))
+    return wide.select("i", entries.alias("j", "covariance")).where(F.col("i") <= F.col("j"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from curveloom.functions.scalars import condition_key
 from curveloom.operators.quality import REGIMES, regime_label
 from curveloom.operators.quantiles import (
-    LARGEST_BUFFERED_GROUP, buffered_quantile, exact_quantiles, fits_one_buffer,
+    LARGEST_BUFFERED_GROUP, GroupSizes, buffered_quantile, exact_quantiles, measure_groups,
 )
 
 # Smallest denominators of relative errors and the unit of drag errors (fixed values).
@@ -153,12 +153,14 @@ def _relative() -> Column:
 
 
 def percentage_metrics(
-    paired: DataFrame, by: Sequence[str], largest_buffered_group: int = LARGEST_BUFFERED_GROUP
+    paired: DataFrame, by: Sequence[str], largest_buffered_group: int = LARGEST_BUFFERED_GROUP,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """Percentage-error suite per group of (by..., target).
 
     Columns that make sense for one target only are NULL elsewhere. Medians and percentiles are
-    exact; how they are found depends on the measured size of the largest group.
+    exact; how they are found depends on the size of the largest group, which is measured unless
+    ``sizes`` is given.
     """
     by = [*by, "target"]
     rows = paired.withColumn("_e", F.abs(_error())).withColumn("_r", _relative())
@@ -176,14 +178,15 @@ def percentage_metrics(
         F.count_if(F.col("predicted") < 0).alias("_negative"),
     ]
     quantiles = {"_median": ("_r", 0.5), "_p95": ("_e", 0.95)}
-    if fits_one_buffer(paired, by, largest_buffered_group):
+    sizes = measure_groups(paired, by) if sizes is None else sizes
+    if sizes.buffered(largest_buffered_group):
         summary = rows.groupBy(*by).agg(
             *plain_aggregates,
             *[buffered_quantile(F.col(c), q).alias(name) for name, (c, q) in quantiles.items()],
         )
     else:
         summary = rows.groupBy(*by).agg(*plain_aggregates).join(
-            exact_quantiles(rows, by, quantiles), by
+            exact_quantiles(rows, by, quantiles, sizes, every_group=False), by, "left"
         )
     zero = F.lit(0.0)
     return summary.select(
@@ -257,12 +260,13 @@ def relative_dataset_error(
     scaled = (
         F.avg(F.abs(_error())) / F.greatest(F.avg(F.abs(F.col("actual"))), F.lit(SMALLEST_SCALE))
     ).alias("relative_mae")
-    if fits_one_buffer(paired, by, largest_buffered_group):
+    sizes = measure_groups(paired, by)
+    if sizes.buffered(largest_buffered_group):
         return rows.groupBy(*by).agg(
             scaled, (buffered_quantile(F.col("_r"), 0.5) * 100.0).alias("median_ape_percent")
         )
-    medians = exact_quantiles(rows, by, {"_median": ("_r", 0.5)})
-    return rows.groupBy(*by).agg(scaled).join(medians, list(by)).select(
+    medians = exact_quantiles(rows, by, {"_median": ("_r", 0.5)}, sizes, every_group=False)
+    return rows.groupBy(*by).agg(scaled).join(medians, list(by), "left").select(
         *by, "relative_mae", (F.col("_median") * 100.0).alias("median_ape_percent")
     )
 
@@ -298,9 +302,10 @@ def upper_limit(
     largest_buffered_group: int = LARGEST_BUFFERED_GROUP,
 ) -> DataFrame:
     """A high percentile of the actual values with some room above."""
-    if fits_one_buffer(paired, by, largest_buffered_group):
+    sizes = measure_groups(paired, by)
+    if sizes.buffered(largest_buffered_group):
         return paired.groupBy(*by).agg(
             (buffered_quantile(F.col("actual"), q) * factor).alias("upper_limit")
         )
-    found = exact_quantiles(paired, by, {"_q": ("actual", q)})
+    found = exact_quantiles(paired, by, {"_q": ("actual", q)}, sizes)
     return found.select(*by, (F.col("_q") * factor).alias("upper_limit"))

@@ -1,136 +1,156 @@
 """Exact interpolated quantiles per group for groups of any size.
 
-The built-in exact percentile keeps every distinct value of a group in one aggregation buffer.
-That is the fastest plan while the largest group is small, so it is used behind a measured bound.
-Beyond the bound three aggregations find the same numbers: sketch brackets that are guaranteed to
-contain the wanted ranks, counts in equal slices of each bracket, then the exact values of the one
-or two slices that hold the ranks. No step keeps more than a slice of a group in one place.
+The built-in exact percentile keeps every distinct value of a group in one aggregation buffer. It
+is used only for groups measured to be small. Beyond that, values are counted in buckets of a
+fixed increasing function (hash aggregations that combine before the shuffle), the buckets that
+hold the wanted positions are found from the counts, and only the values in those buckets are put
+in order. For very large groups such a bucket is first cut into slices in the same way. NULL and
+non-finite values are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LARGEST_BUFFERED_GROUP = 4_000_000
-SKETCH_ACCURACY = 10_000
-SLICES = 256
-SMALL_GROUP = 4 * SKETCH_ACCURACY
+from curveloom.functions.scalars import finite, null_unless_finite
 
+LARGEST_BUFFERED_GROUP = 50_000
+# A bucket holds about one percent of a group, which one task orders easily up to this size.
+LARGEST_SINGLE_LEVEL = 50_000_000
+# Tables with one row per group and quantile are broadcast up to this many rows.
+MOST_BROADCAST_GROUPS = 20_000
+BUCKETS_PER_E_FOLD = 128
+BUCKET_OFFSET = 100_000
+SLICES = 1024
 
-def fits_one_buffer(
-    df: DataFrame, keys: Sequence[str], largest: int = LARGEST_BUFFERED_GROUP
-) -> bool:
-    """True when no group of ``df`` has more than ``largest`` rows (reads the keys only)."""
-    found = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return (found or 0) <= largest
+
+@dataclass(frozen=True)
+class GroupSizes:
+    groups: int
+    largest: int
+
+    def buffered(self, limit: int = LARGEST_BUFFERED_GROUP) -> bool:
+        return self.largest <= limit
+
+
+def measure_groups(df: DataFrame, keys: Sequence[str]) -> GroupSizes:
+    """Number of groups and rows of the largest one; only the key columns are read."""
+    found = df.groupBy(*keys).count().agg(
+        F.count(F.lit(1)).alias("groups"), F.max("count").alias("largest")
+    ).first()
+    return GroupSizes(found["groups"], found["largest"] or 0)
 
 
 def buffered_quantile(value: Column, q: float) -> Column:
-    return F.percentile(value, F.lit(float(q)))
+    return F.percentile(null_unless_finite(value), F.lit(float(q)))
+
+
+def magnitude_bucket(v: Column) -> Column:
+    """Integer that never decreases with ``v``: its sign and the rounded logarithm of its size."""
+    size = (F.floor(F.ln(F.abs(v)) * F.lit(float(BUCKETS_PER_E_FOLD))) + BUCKET_OFFSET).cast("int")
+    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0))
+
+
+def _holding(counts: DataFrame, by: list[str], path: list[str], ranked: bool) -> DataFrame:
+    """Cells of ``counts`` (by, path, _n, _min, _max) that hold a wanted position.
+
+    Cells are in the order of ``path``; ``_base`` positions lie before the first cell of a group.
+    """
+    order = Window.partitionBy(*by).orderBy(*path)
+    earlier = F.coalesce(
+        F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    )
+    if not ranked:
+        counts = counts.withColumn(
+            "_rank", (F.sum("_n").over(Window.partitionBy(*by)) - 1) * F.col("_q")
+        ).withColumn("_base", F.lit(0).cast("long"))
+    return (
+        counts.withColumn("_before", F.col("_base") + earlier)
+        .where(
+            (F.col("_before") <= F.ceil("_rank")) & (F.col("_before") + F.col("_n") > F.floor("_rank"))
+        )
+    )
 
 
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     wanted: dict[str, tuple[str, float]],
+    sizes: GroupSizes | None = None,
+    every_group: bool = True,
 ) -> DataFrame:
     """One row per group: for each ``name: (value column, q)`` the interpolated quantile.
 
-    NULL values are ignored; a group without values gets NULL.
+    A group without values gets NULL, or no row unless ``every_group`` is set (which reads the
+    keys once more). Pass ``sizes`` to reuse an earlier measurement.
     """
     keys = list(keys)
-    entries = F.explode(F.array(*[
-        F.struct(F.lit(name).alias("_name"), F.lit(float(q)).alias("_q"),
-                 F.col(column).cast("double").alias("_v"))
-        for name, (column, q) in wanted.items()
-    ]))
-    long = df.select(*keys, entries.alias("_e")).select(
-        *keys, "_e._name", "_e._q", "_e._v"
-    ).where(F.col("_v").isNotNull())
+    sizes = measure_groups(df, keys) if sizes is None else sizes
     by = [*keys, "_name"]
 
-    margin = 2.0 / SKETCH_ACCURACY
-    qs = sorted({float(q) for _, q in wanted.values()})
-    sketch_at = {q: (max(0.0, q - margin), min(1.0, q + margin)) for q in qs}
-    flat = [p for q in qs for p in sketch_at[q]]
-    sketch = F.percentile_approx(
-        "_v", F.array(*[F.lit(p) for p in flat]), F.lit(SKETCH_ACCURACY)
-    )
-    low = F.lit(None).cast("double")
-    high = F.lit(None).cast("double")
-    for i, q in enumerate(qs):
-        low = F.when(F.col("_q") == F.lit(q), F.get("_s", F.lit(2 * i))).otherwise(low)
-        high = F.when(F.col("_q") == F.lit(q), F.get("_s", F.lit(2 * i + 1))).otherwise(high)
-    brackets = (
-        long.groupBy(*by, "_q")
-        .agg(
-            sketch.alias("_s"), F.count("_v").alias("_n"),
-            F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+    def small(table: DataFrame) -> DataFrame:
+        rows = sizes.groups * len(wanted) * 2
+        return F.broadcast(table) if rows <= MOST_BROADCAST_GROUPS else table
+
+    entries = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_name"), F.col(column).cast("double").alias("_v"))
+        for i, (column, _) in enumerate(wanted.values())
+    ]))
+    long = df.select(*keys, entries.alias("_e")).select(*keys, "_e._name", "_e._v").where(
+        finite(F.col("_v"))
+    ).withColumn("_bucket", magnitude_bucket(F.col("_v")))
+    q = F.get(F.array(*[F.lit(float(q)) for _, q in wanted.values()]), F.col("_name"))
+
+    def counted(rows: DataFrame, columns: list[str]) -> DataFrame:
+        return rows.groupBy(*columns).agg(
+            F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max")
         )
-        # In a small group the margin is less than one rank, so the whole group is the bracket.
-        .withColumn("_small", F.col("_n") < F.lit(SMALL_GROUP))
-        .withColumn("_low", F.when(F.col("_small"), F.col("_min")).otherwise(low))
-        .withColumn("_high", F.when(F.col("_small"), F.col("_max")).otherwise(high))
-        .withColumn("_rank", (F.col("_n") - 1) * F.col("_q"))
-        .select(*by, "_low", "_high", "_rank")
-    )
 
-    width = F.col("_high") - F.col("_low")
-    slice_number = (
-        F.when(F.col("_v") < F.col("_low"), F.lit(-1))
-        .when(width > 0, F.least(
-            F.lit(SLICES - 1), F.floor((F.col("_v") - F.col("_low")) / width * SLICES).cast("int")
+    path = ["_bucket"]
+    cells = _holding(counted(long, [*by, "_bucket"]).withColumn("_q", q), by, path, ranked=False)
+    found = small(cells.select(*by, "_bucket", "_rank", "_before", "_min", "_max"))
+    rows = long.join(found, [*by, "_bucket"])
+    if sizes.largest > LARGEST_SINGLE_LEVEL:
+        width = F.col("_max") - F.col("_min")
+        place = F.greatest(F.lit(0.0), F.least(
+            F.lit(SLICES - 1.0), F.try_divide(F.col("_v") - F.col("_min"), width) * SLICES
         ))
-        .otherwise(F.lit(0))
-    )
-    located = (
-        long.join(brackets, by)
-        .where(F.col("_v") <= F.col("_high"))
-        .withColumn("_slice", slice_number)
-    )
-    counts = located.groupBy(*by, "_rank", "_slice").agg(F.count(F.lit(1)).alias("_in"))
-    running = Window.partitionBy(*by).orderBy("_slice")
-    before = F.coalesce(
-        F.sum("_in").over(running.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    # The slice holds positions [_before, _before + _in); keep those with a wanted position.
-    holding = (
-        counts.withColumn("_before", before)
-        .where(F.col("_slice") >= 0)
-        .where(
-            (F.col("_before") <= F.ceil("_rank"))
-            & (F.col("_before") + F.col("_in") > F.floor("_rank"))
+        rows = rows.withColumn("_slice", F.coalesce(place.cast("int"), F.lit(0))).drop("_min", "_max")
+        inside = [*by, "_bucket", "_rank", "_before", "_slice"]
+        slices = _holding(
+            counted(rows, inside).withColumnRenamed("_before", "_base"),
+            [*by, "_bucket"], ["_slice"], ranked=True,
         )
-        .select(*by, "_slice", "_before")
-    )
-    values = (
-        located.join(holding, [*by, "_slice"])
-        .groupBy(*by, "_rank", "_slice", "_before", "_v")
-        .agg(F.count(F.lit(1)).alias("_times"))
-    )
-    inside = Window.partitionBy(*by, "_slice").orderBy("_v")
-    upto = F.col("_before") + F.sum("_times").over(
-        inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = rows.drop("_before", "_rank").join(
+            small(slices.select(*by, "_bucket", "_slice", "_rank", "_before")),
+            [*by, "_bucket", "_slice"],
+        )
+        path = ["_bucket", "_slice"]
+
+    values = rows.groupBy(*by, *path, "_rank", "_before", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    running = Window.partitionBy(*by, *path).orderBy("_v").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
-    placed = values.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_times"))
+    placed = values.withColumn("_upto", F.col("_before") + F.sum("_n").over(running))
 
     def value_at(position: Column) -> Column:
-        return F.max(F.when(
-            (F.col("_from") <= position) & (position < F.col("_upto")), F.col("_v")
-        ))
-
-    below, above = value_at(F.floor("_rank")), value_at(F.ceil("_rank"))
-    part = F.col("_rank") - F.floor("_rank")
-    answers = placed.groupBy(*by, "_rank").agg(below.alias("_a"), above.alias("_b")).withColumn(
-        "_answer", F.col("_a") + (F.col("_b") - F.col("_a")) * part
+        start = F.col("_upto") - F.col("_n")
+        return F.max(F.when((start <= position) & (position < F.col("_upto")), F.col("_v")))
+
+    answers = placed.groupBy(*by, "_rank").agg(
+        value_at(F.floor("_rank")).alias("_a"), value_at(F.ceil("_rank")).alias("_b")
+    ).withColumn(
+        "_answer",
+        F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_rank") - F.floor("_rank")),
     )
-    groups = df.select(*keys).distinct()
     per_group = answers.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("_name") == name, F.col("_answer"))).alias(name) for name in wanted
+        F.max(F.when(F.col("_name") == i, F.col("_answer"))).alias(name)
+        for i, name in enumerate(wanted)
     ])
-    if not keys:
+    if not keys or not every_group:
         return per_group
-    return groups.join(per_group, keys, "left")
+    return df.select(*keys).distinct().join(per_group, keys, "left")

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curveloom.functions.draws import normal, uniform, uniform_between
+from curveloom.functions.draws import normal, normals, uniform, uniform_between
 from curveloom.functions.scalars import convex_weights, dot, line_grid, literal_array, power_of_ten
 from curveloom.operators.features import vector_covariance
 from curveloom.operators.ranking import rank_by_digest
@@ -140,39 +140,42 @@ def sample_shapes(
     factor_rows = F.array(*[literal_array(row) for row in factor])
 
     def noise(attempt: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(N_COEFFICIENTS - 1)),
-            lambda i: normal(key, seed, "noise", attempt * N_COEFFICIENTS + i),
-        )
+        return normals(key, seed, "noise", attempt, N_COEFFICIENTS)
 
     def shaped(z: Column) -> Column:
         deviation = F.transform(factor_rows, lambda row: dot(row, z))
         return F.zip_with(F.col("blend"), deviation, lambda b, d: b + d)
 
-    def sound(vector: Column) -> Column:
-        return F.forall(
-            F.arrays_zip(
-                F.slice(vector, 1, N_SURFACE).alias("u"),
-                F.slice(vector, N_SURFACE + 1, N_SURFACE).alias("v"),
-            ),
-            lambda p: p["u"] > p["v"],
-        )
-
-    def tries(start: int, stop: int) -> Column:
-        # The noise of a try is bound to the lambda variable, so it is drawn once per try.
-        return F.transform(F.transform(F.sequence(F.lit(start), F.lit(stop - 1)), noise), shaped)
+    def sound(z: Column) -> Column:
+        # Stops at the first station where the surfaces cross.
+        return F.forall(F.col("_gaps"), lambda gap: gap["blend"] + dot(gap["row"], z) > 0)
 
     def first_sound(start: int, stop: int) -> Column:
-        return F.get(F.filter(tries(start, stop), sound), F.lit(0))
+        tries = F.transform(F.sequence(F.lit(start), F.lit(stop - 1)), noise)
+        return F.get(F.filter(tries, sound), F.lit(0))
+
+    gap_rows = F.array(*[literal_array(factor[i] - factor[N_SURFACE + i]) for i in range(N_SURFACE)])
+    gaps = F.zip_with(
+        F.zip_with(
+            F.slice("blend", 1, N_SURFACE), F.slice("blend", N_SURFACE + 1, N_SURFACE),
+            lambda u, v: u - v,
+        ),
+        gap_rows,
+        lambda blend, row: F.struct(blend.alias("blend"), row.alias("row")),
+    )
 
     # Growing batches: coalesce stops at the first batch that holds a sound try.
-    bounds = [b for b in (0, 1, 4, 16) if b < config.most_tries] + [config.most_tries]
+    bounds = [b for b in (0, 1, 2, 4, 8, 16, 32, 64) if b < config.most_tries] + [config.most_tries]
     batches = [first_sound(a, b) for a, b in zip(bounds, bounds[1:])]
-    last_try = F.get(tries(config.most_tries - 1, config.most_tries), F.lit(0))
+    last_try = noise(F.lit(config.most_tries - 1))
     scale = F.exp(F.lit(config.scale_log_sigma) * normal(key, seed, "scale"))
-    drawn = blended.withColumn("_sound", F.coalesce(*batches)).withColumn(
-        "_vector", F.coalesce(F.col("_sound"), last_try)
-    ).withColumn("_scale", scale)
+    drawn = (
+        blended.withColumn("_gaps", gaps)
+        .withColumn("_sound", F.coalesce(*batches))
+        .withColumn("_noise", F.coalesce(F.col("_sound"), last_try))
+        .withColumn("_vector", shaped(F.col("_noise")))
+        .withColumn("_scale", scale)
+    )
     v = F.col("_vector")
 
     def scaled(c: Column) -> Column:

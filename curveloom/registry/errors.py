@@ -10,7 +10,7 @@ from curveloom.operators.curves import polar_table
 from curveloom.operators.matching import sweep
 from curveloom.operators.quality import join_intervals, regime_label, REGIMES
 from curveloom.registry.book import Book, r6, rounded
-from curveloom.registry.views import MODELS, OBS, REGIME, obs, paired_sql
+from curveloom.registry.views import MODELS, OBS, REGIME, obs, paired_sql, spread_obs
 
 book = Book()
 
@@ -46,11 +46,20 @@ WITH {paired_sql("alpha, reynolds", ratio=True)},
 labelled AS (SELECT *, {REGIME} AS regime FROM paired)
 {percentage_sql("model, regime", "(SELECT * FROM labelled WHERE regime IS NOT NULL)")}""")
 def regime_percentage_error(spark, folder):
-    labelled = obs(spark, folder).withColumn("regime", regime_label(F.col("alpha"))).where(
+    return _regime_report(spark, folder, metrics.LARGEST_BUFFERED_GROUP)
+
+
+def _regime_report(spark, folder, largest_buffered_group):
+    rows = spread_obs(spark, folder).withColumn("regime", regime_label(F.col("alpha"))).where(
         F.col("regime").isNotNull()
     )
-    paired = metrics.pair_targets(labelled, MODELS, ["regime"], ratio=True)
-    return rounded(metrics.percentage_metrics(paired, ["model", "regime"]))
+    # Every row gives one pair per model and target, so the sizes follow from the regimes alone.
+    measured = metrics.measure_groups(rows, ["regime"])
+    sizes = metrics.GroupSizes(measured.groups * 8, measured.largest)
+    paired = metrics.pair_targets(rows, MODELS, ["regime"], ratio=True)
+    return rounded(
+        metrics.percentage_metrics(paired, ["model", "regime"], largest_buffered_group, sizes)
+    )
 
 
 @book.add("regime_percentage_error_multipass", f"""
@@ -59,13 +68,7 @@ labelled AS (SELECT *, {REGIME} AS regime FROM paired)
 {percentage_sql("model, regime", "(SELECT * FROM labelled WHERE regime IS NOT NULL)")}""")
 def regime_percentage_error_multipass(spark, folder):
     """The same report by the plan for groups that do not fit one aggregation buffer."""
-    labelled = obs(spark, folder).withColumn("regime", regime_label(F.col("alpha"))).where(
-        F.col("regime").isNotNull()
-    )
-    paired = metrics.pair_targets(labelled, MODELS, ["regime"], ratio=True)
-    return rounded(
-        metrics.percentage_metrics(paired, ["model", "regime"], largest_buffered_group=0)
-    )
+    return _regime_report(spark, folder, 0)
 
 
 @book.add("regime_reynolds_slices", f"""
@@ -78,7 +81,7 @@ sliced AS (
     model, target, actual, predicted FROM paired)
 {percentage_sql("model, dimension, value", "sliced")}""")
 def regime_reynolds_slices(spark, folder):
-    paired = metrics.pair_targets(obs(spark, folder), MODELS, ["alpha", "reynolds"], ratio=True)
+    paired = metrics.pair_targets(spread_obs(spark, folder), MODELS, ["alpha", "reynolds"], ratio=True)
     return rounded(
         metrics.percentage_metrics(metrics.slice_rows(paired), ["model", "dimension", "value"])
     )
@@ -139,7 +142,7 @@ WITH {paired_sql("alpha")}
 SELECT model, target, {r6("alpha", "alpha")}, {r6(f"avg({REL}) * 100", "mape_percent")}
 FROM paired GROUP BY model, target, alpha""")
 def relative_error_by_condition(spark, folder):
-    paired = metrics.pair_targets(obs(spark, folder), MODELS, ["alpha"])
+    paired = metrics.pair_targets(spread_obs(spark, folder), MODELS, ["alpha"])
     return rounded(metrics.relative_error_by(paired, ["model", "target", "alpha"]))
 
 
@@ -166,7 +169,7 @@ SELECT model, dimension, value, {r6(f"avg({E})", "mae")}, {r6(f"sqrt(avg({E} * {
 
 @book.add("drag_summary", _drag_sql())
 def drag_summary(spark, folder):
-    return rounded(metrics.drag_summary(obs(spark, folder), MODELS))
+    return rounded(metrics.drag_summary(spread_obs(spark, folder), MODELS))
 
 
 def drag_error_sql(by: str) -> str:
@@ -192,7 +195,7 @@ SELECT model, target,
   {r6(f"avg({E}) / greatest(avg(abs(actual)), 1e-8)", "relative_mae")},
   {r6(f"median({REL}) * 100", "median_ape_percent")} FROM paired GROUP BY model, target""")
 def relative_dataset_error(spark, folder):
-    paired = metrics.pair_targets(obs(spark, folder), MODELS, [])
+    paired = metrics.pair_targets(spread_obs(spark, folder), MODELS, [])
     return rounded(metrics.relative_dataset_error(paired, ["model", "target"]))
 
 
@@ -210,7 +213,7 @@ WITH {paired_sql("")}
 SELECT model, target, {r6("quantile_cont(actual, 0.995) * 1.05e0", "upper_limit")}
 FROM paired GROUP BY model, target""")
 def parity_upper_limit(spark, folder):
-    paired = metrics.pair_targets(obs(spark, folder), MODELS, [])
+    paired = metrics.pair_targets(spread_obs(spark, folder), MODELS, [])
     return rounded(metrics.upper_limit(paired, ["model", "target"]))
 
 
@@ -263,7 +266,7 @@ def best_candidate(spark, folder):
     weights = F.transform(
         inclusive_sweep(F.lit(0.0), F.lit(10.0), F.lit(1.0)), lambda w: w.cast("long")
     )
-    rows = obs(spark, folder).withColumn("regime", regime_label(F.col("alpha"))).where(
+    rows = spread_obs(spark, folder).withColumn("regime", regime_label(F.col("alpha"))).where(
         F.col("regime").isNotNull()
     )
     tried = sweep(rows, candidate=weights)

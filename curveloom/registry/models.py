@@ -381,15 +381,15 @@ def predict_table(spark, folder):
 # -- synthetic cases ----------------------------------------------------------------------------
 
 
-def _u(stream: str, seed: int = 42) -> str:
+def _u(stream: str, start: int = 1, seed: int = 42) -> str:
     return (
-        f"((CAST(('0x' || substr(md5('{seed}|' || c_custkey || '|{stream}|0'), 1, 13)) AS BIGINT) + 0.5e0)"
+        f"((CAST(('0x' || substr(md5('{seed}|' || c_custkey || '|{stream}|0'), {start}, 13)) AS BIGINT) + 0.5e0)"
         " / 4503599627370496.0e0)"
     )
 
 
 def _n(stream: str) -> str:
-    return f"(sqrt(-2.0e0 * ln({_u(stream + '.r')})) * cos(2.0e0 * pi() * {_u(stream + '.a')}))"
+    return f"(sqrt(-2.0e0 * ln({_u(stream)})) * cos(2.0e0 * pi() * {_u(stream, 14)}))"
 
 
 def _points_sql() -> str:

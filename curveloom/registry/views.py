@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from curveloom.functions.scalars import ratio_or_null
 from curveloom.operators.ordered import OrderedRows, number
 from curveloom.operators.skew import HotKeys, attach, find_hot_keys
+from curveloom.sources.tables import spread_scan
 
 MODELS = {m: {t: f"{t}_{m}" for t in ("cl", "cd", "cm")} for m in ("a", "b")}
 LINES_PER_TEXT = 64
@@ -23,6 +24,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 # -- observations with the predictions of two models --------------------------------------------
 
 
+def spread_obs(spark: SparkSession, folder: str) -> DataFrame:
+    """For reports that do much work per row."""
+    return spread_scan(obs(spark, folder), "l_orderkey", "l_partkey")
+
+
 def obs(spark: SparkSession, folder: str) -> DataFrame:
     part, supp, order = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_orderkey")
     return table(spark, folder, "lineitem").select(

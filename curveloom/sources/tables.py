@@ -49,6 +49,18 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = N
     return reader.parquet(path)
 
 
+def spread_scan(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a scan that has fewer splits than the cluster has cores; larger scans stay as they are.
+
+    For heavy work on a file that cannot be split. A table of more splits than cores is not
+    shuffled.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= wanted:
+        return df
+    return df.repartition(wanted, *keys)
+
+
 def entity_bucket(df: DataFrame, id_column: str, n_buckets: int) -> DataFrame:
     return df.withColumn("bucket", F.pmod(F.xxhash64(id_column), F.lit(n_buckets)).cast("int"))
 
