@@ -50,12 +50,29 @@ def normal(key: Column, seed: int, stream: str, number: Column | int = 0) -> Col
     return F.get(normal_pair(digest(key, seed, stream, number)), F.lit(0))
 
 
+def _hash_fraction(h: Column) -> Column:
+    """Upper 52 bits of a 64-bit hash as a number in (0, 1)."""
+    return (F.shiftrightunsigned(h, 12).cast("double") + F.lit(0.5)) / F.lit(STEPS)
+
+
 def normals(key: Column, seed: int, stream: str, number: Column, count: int) -> Column:
-    """``count`` (even) independent normals for draw ``number``, one digest per pair."""
+    """``count`` (even) independent normals for draw ``number``.
+
+    For many draws per row: two 64-bit hashes per pair instead of a digest in hex digits.
+    """
     pairs = count // 2
-    # Binding the digests to the lambda variable hashes each of them once.
-    digests = F.transform(
-        F.sequence(F.lit(0), F.lit(pairs - 1)),
-        lambda i: digest(key, seed, stream, number * pairs + i),
-    )
-    return F.flatten(F.transform(digests, normal_pair))
+
+    def hashed(i: Column) -> Column:
+        text = F.concat_ws(
+            "|", F.lit(str(seed)), _text(key), F.lit(stream), _text(number * pairs + i)
+        )
+        return F.xxhash64(text)
+
+    def pair(h: Column) -> Column:
+        radius = F.sqrt(F.lit(-2.0) * F.ln(_hash_fraction(h)))
+        angle = F.lit(2.0) * F.pi() * _hash_fraction(F.xxhash64(h))
+        return F.array(radius * F.cos(angle), radius * F.sin(angle))
+
+    # Binding the hashes to the lambda variable computes each of them once.
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(pairs - 1)), hashed)
+    return F.flatten(F.transform(hashes, pair))

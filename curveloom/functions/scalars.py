@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -104,21 +105,16 @@ def inclusive_sweep(start: Column, stop: Column, step: Column) -> Column:
     ).otherwise(F.array().cast("array<double>"))
 
 
-def cosine_stations(n: int) -> Column:
+def cosine_stations(n: int) -> list[float]:
     """``n`` stations on [0, 1], dense at both ends."""
     if n < 4:
         raise ValueError("n_points must be at least 4")
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(n - 1)),
-        lambda i: F.lit(0.5) * (F.lit(1.0) - F.cos(F.pi() * i / F.lit(float(n - 1)))),
-    )
+    return [0.5 * (1.0 - math.cos(math.pi * i / (n - 1))) for i in range(n)]
 
 
-def midcell_stations(n: int = 32) -> Column:
+def midcell_stations(n: int = 32) -> list[float]:
     """Centres of ``n`` equal cells on [0, 1]."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (i + F.lit(0.5)) / F.lit(float(n))
-    )
+    return [(i + 0.5) / n for i in range(n)]
 
 
 # -- arrays --------------------------------------------------------------------------------

@@ -3,18 +3,18 @@
 The surfaces follow the published class-shape transformation with a round nose and a sharp tail
 (class function ``sqrt(x) * (1 - x)``, Bernstein polynomials of degree 7), a leading-edge term
 ``x * (1 - x) ** 8.5`` shared by both surfaces and a tail thickness split between them. Values at
-stations and the enclosed area are linear in the coefficients, so they are dot products with
-constants; only the maxima and the perimeter walk along a grid.
+stations and the enclosed area are linear in the coefficients, so they are weighted sums with
+constant weights; only the maxima and the perimeter walk along a grid.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curveloom.functions.scalars import dot, literal_array
+from curveloom.functions.scalars import cosine_stations
 
 N_WEIGHTS = 8
 STATIONS = (0.15, 0.30, 0.45, 0.60, 0.75)
@@ -53,32 +53,40 @@ def area_basis() -> list[float]:
     ]
 
 
-def _station_table(xs: list[float]) -> Column:
-    """Literal array with one entry (x, basis values, nose value) per station."""
-    return F.array(*[
-        F.struct(
-            F.lit(float(x)).alias("x"),
-            literal_array(surface_basis(x)).alias("basis"),
-            F.lit(nose_basis(x)).alias("nose"),
-        )
-        for x in xs
-    ])
+def _station(x: float) -> Column:
+    """Literal struct of a station: its place, the nose term and the basis values."""
+    return F.struct(
+        F.lit(float(x)).alias("x"), F.lit(nose_basis(x)).alias("nose"),
+        *[F.lit(b).alias(f"b{i}") for i, b in enumerate(surface_basis(x))],
+    )
 
 
 def _even(n: int) -> list[float]:
     return [i / (n - 1) for i in range(n)]
 
 
-def _cosine(n: int) -> list[float]:
-    return [0.5 * (1.0 - math.cos(math.pi * i / (n - 1))) for i in range(n)]
-
+def _weighted(weights: list[Column], station: Column) -> Column:
+    # Written out: one arithmetic expression instead of intermediate arrays per station.
+    total = weights[0] * station["b0"]
+    for i in range(1, N_WEIGHTS):
+        total = total + weights[i] * station[f"b{i}"]
+    return total
 
-def upper_at(upper: Column, le: Column, te: Column, station: Column) -> Column:
-    return dot(upper, station["basis"]) + le * station["nose"] + te * station["x"] / 2
 
+def surfaces_at(
+    upper: list[Column], lower: list[Column], le: Column, te: Column, xs: list[float]
+) -> Column:
+    """Array of (x, u, v): both surfaces at every station."""
+    def point(station: Column) -> Column:
+        nose = le * station["nose"]
+        tail = te * station["x"] / 2
+        return F.struct(
+            station["x"].alias("x"),
+            (_weighted(upper, station) + nose + tail).alias("u"),
+            (_weighted(lower, station) + nose - tail).alias("v"),
+        )
 
-def lower_at(lower: Column, le: Column, te: Column, station: Column) -> Column:
-    return dot(lower, station["basis"]) + le * station["nose"] - te * station["x"] / 2
+    return F.transform(F.array(*[_station(x) for x in xs]), point)
 
 
 def soft_minimum(a: Column, b: Column, softness: Column) -> Column:
@@ -87,65 +95,56 @@ def soft_minimum(a: Column, b: Column, softness: Column) -> Column:
     return low - softness * F.log1p(F.exp((low - high) / softness))
 
 
-def describe_shape(upper: Column, lower: Column, le: Column, te: Column) -> dict[str, Column]:
-    """The descriptor columns; all zero for a shape without a nose (degenerate)."""
-    difference = F.zip_with(upper, lower, lambda u, v: u - v)
-    total = F.zip_with(upper, lower, lambda u, v: u + v)
+def coefficient(name: str, i: int) -> str:
+    return f"{name}_{i}"
 
-    def thickness(station: Column) -> Column:
-        return dot(difference, station["basis"]) + te * station["x"]
 
-    def camber(station: Column) -> Column:
-        return dot(total, station["basis"]) / 2 + le * station["nose"]
+def describe_shapes(shapes: DataFrame, keep: list[str]) -> DataFrame:
+    """Descriptor columns of rows with coefficients ``upper_0..7``, ``lower_0..7``, ``le``, ``te``.
 
-    even = _station_table(_even(PROFILE_STATIONS))
-    nose_upper = F.get(upper, F.lit(0)) * F.get(upper, F.lit(0)) / 2
-    nose_lower = F.get(lower, F.lit(0)) * F.get(lower, F.lit(0)) / 2
+    A shape without a nose is degenerate and gets zeros throughout.
+    """
+    upper = [F.col(coefficient("upper", i)) for i in range(N_WEIGHTS)]
+    lower = [F.col(coefficient("lower", i)) for i in range(N_WEIGHTS)]
+    le, te = F.col("le"), F.col("te")
+    stations = list(STATIONS)
+    outlined = shapes.select(
+        *keep, *upper, *lower, le, te,
+        surfaces_at(upper, lower, le, te, _even(PROFILE_STATIONS)).alias("_even"),
+        surfaces_at(upper, lower, le, te, stations).alias("_stations"),
+        surfaces_at(upper, lower, le, te, cosine_stations(PERIMETER_STATIONS)).alias("_cosine"),
+    )
+    nose_upper, nose_lower = upper[0] * upper[0] / 2, lower[0] * lower[0] / 2
     nose = nose_upper + nose_lower
-    tail_upper = F.atan(F.get(upper, F.lit(N_WEIGHTS - 1)) - te / 2)
-    tail_lower = F.atan(F.get(lower, F.lit(N_WEIGHTS - 1)) + te / 2)
-
+    area = te / 2
+    for i, weight in enumerate(area_basis()):
+        area = area + (upper[i] - lower[i]) * F.lit(weight)
+    last = N_WEIGHTS - 1
     described = {
-        "geom_max_thickness": F.array_max(F.transform(even, thickness)),
-        "geom_max_camber": F.array_max(F.transform(even, camber)),
+        "geom_max_thickness": F.array_max(F.transform("_even", lambda p: p["u"] - p["v"])),
+        "geom_max_camber": F.array_max(F.transform("_even", lambda p: (p["u"] + p["v"]) / 2)),
         "geom_le_radius": soft_minimum(nose_upper, nose_lower, F.lit(NOSE_SOFTNESS) * nose / 2),
-        "geom_te_angle": F.degrees(tail_upper - tail_lower),
-        "geom_area": dot(difference, literal_array(area_basis())) + te / 2,
-        "geom_perimeter": _perimeter(upper, lower, le, te),
+        "geom_te_angle": F.degrees(F.atan(upper[last] - te / 2) - F.atan(lower[last] + te / 2)),
+        "geom_area": area,
+        "geom_perimeter": _length(F.col("_cosine")),
     }
-    for x in STATIONS:
-        station = F.struct(
-            F.lit(x).alias("x"),
-            literal_array(surface_basis(x)).alias("basis"),
-            F.lit(nose_basis(x)).alias("nose"),
-        )
-        described[f"geom_thickness_{round(x * 100)}"] = thickness(station)
-        described[f"geom_camber_{round(x * 100)}"] = camber(station)
-    return {
-        name: F.when(nose > 0, described[name]).otherwise(F.lit(0.0))
+    for i, x in enumerate(stations):
+        p = F.get("_stations", F.lit(i))
+        described[f"geom_thickness_{round(x * 100)}"] = p["u"] - p["v"]
+        described[f"geom_camber_{round(x * 100)}"] = (p["u"] + p["v"]) / 2
+    return outlined.select(*keep, *[
+        F.when(nose > 0, described[name]).otherwise(F.lit(0.0)).alias(name)
         for name in DESCRIPTOR_COLUMNS
-    }
-
+    ])
 
-def _perimeter(upper: Column, lower: Column, le: Column, te: Column) -> Column:
-    """Length of both surfaces as polylines on a cosine grid, tail gap not included."""
-    table = _station_table(_cosine(PERIMETER_STATIONS))
-    start = F.struct(
-        F.lit(0.0).alias("length"), F.lit(0.0).alias("x"),
-        F.lit(0.0).alias("u"), F.lit(0.0).alias("v"),
-    )
 
-    def step(state: Column, station: Column) -> Column:
-        u = upper_at(upper, le, te, station)
-        v = lower_at(lower, le, te, station)
-        dx = station["x"] - state["x"]
-        return F.struct(
-            (
-                state["length"]
-                + F.sqrt(dx * dx + (u - state["u"]) * (u - state["u"]))
-                + F.sqrt(dx * dx + (v - state["v"]) * (v - state["v"]))
-            ).alias("length"),
-            station["x"].alias("x"), u.alias("u"), v.alias("v"),
-        )
+def _length(points: Column) -> Column:
+    """Length of both surfaces as polylines, tail gap not included."""
+    def step(p: Column, q: Column) -> Column:
+        dx, du, dv = q["x"] - p["x"], q["u"] - p["u"], q["v"] - p["v"]
+        return F.sqrt(dx * dx + du * du) + F.sqrt(dx * dx + dv * dv)
 
-    return F.aggregate(table, start, step, lambda state: state["length"])
+    steps = F.zip_with(
+        F.slice(points, 1, PERIMETER_STATIONS - 1), F.slice(points, 2, PERIMETER_STATIONS - 1), step
+    )
+    return F.aggregate(steps, F.lit(0.0), lambda total, s: total + s)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curveloom.functions.scalars import (
-    all_finite, clip, finite, half_even,
+    all_finite, clip, finite, half_even, literal_array,
     null_unless_finite, ratio_or_null,
 )
 from curveloom.operators.ordered import OrderedRows, following, number, previous
@@ -263,7 +263,7 @@ def resample(
     keys: Sequence[str],
     x: str,
     columns: Sequence[str],
-    stations: Column,
+    stations: Sequence[float],
     fewest: int = 1,
 ) -> tuple[DataFrame, DataFrame]:
     """Piecewise-linear values of each curve at increasing ``stations``, clamped at the ends.
@@ -276,7 +276,10 @@ def resample(
     keys = list(keys)
     columns = list(columns)
     samples = df.where(all_finite([F.col(x), *[F.col(c) for c in columns]]))
-    cell = F.size(F.filter(stations, lambda s: s < F.col(x)))
+    # Number of stations below the sample, as plain comparisons that are compiled.
+    cell = F.lit(0)
+    for station in stations:
+        cell = cell + (F.col(x) > F.lit(float(station))).cast("int")
     reduced = samples.withColumn("_cell", cell).groupBy(*keys, "_cell").agg(
         F.count(F.lit(1)).alias("_n"),
         F.min(x).alias("_x0"),
@@ -304,7 +307,7 @@ def resample(
         )
 
     pairs = gathered.where(F.col("_n") >= fewest).withColumn(
-        "_pairs", F.transform(stations, neighbours)
+        "_pairs", F.transform(literal_array(stations), neighbours)
     )
 
     def values(c: str) -> Column:
@@ -326,7 +329,7 @@ def resample(
 
 def resample_surface(
     df: DataFrame, keys: Sequence[str], x: str, ordinal: str, columns: Sequence[str],
-    stations: Column, hot: HotKeys | None = None,
+    stations: Sequence[float], hot: HotKeys | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Near-duplicate removal, then ``resample``; at least four distinct points are needed."""
     valid = df.where(all_finite([F.col(x), *[F.col(c) for c in columns]]))
@@ -335,14 +338,14 @@ def resample_surface(
 
 
 def resample_outline(
-    branches: DataFrame, keys: Sequence[str], x: str, y: str, stations: Column
+    branches: DataFrame, keys: Sequence[str], x: str, y: str, stations: Sequence[float]
 ) -> DataFrame:
     """Both branches of an outline on one grid: columns x, upper_y, lower_y (arrays)."""
     keys = list(keys)
     means = mean_by_abscissa(branches, [*keys, "surface"], x, [y])
     values, _ = resample(means, [*keys, "surface"], x, [y], stations)
     return values.groupBy(*keys).agg(
-        F.first(stations).alias("x"),
+        F.first(literal_array(stations)).alias("x"),
         F.max(F.when(F.col("surface") == UPPER, F.col(y))).alias("upper_y"),
         F.max(F.when(F.col("surface") == LOWER, F.col(y))).alias("lower_y"),
     )

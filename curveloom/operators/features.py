@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curveloom.functions.scalars import LOG_FLOOR, floored_log, standardise, unstandardise
-from curveloom.functions.shape import DESCRIPTOR_COLUMNS, describe_shape
+from curveloom.functions.shape import (
+    DESCRIPTOR_COLUMNS, N_WEIGHTS, coefficient, describe_shapes,
+)
 from curveloom.operators.quality import drop_overlap
 from curveloom.operators.skew import attach, find_hot_keys
-from curveloom.operators.split import first_per_entity
 
 CONDITION_COLUMNS = ["alpha", "Re", "mach", "n_crit", "xtr_upper", "xtr_lower"]
 
@@ -27,15 +28,20 @@ def add_descriptors(
     if all(c in df.columns for c in DESCRIPTOR_COLUMNS):
         return df
     df = drop_overlap(df, DESCRIPTOR_COLUMNS)
-    shapes = first_per_entity(df.select(entity, upper, lower, le, te), [entity], [upper, lower, le, te])
+    # One shape per entity, picked by the smallest hash. Plain numbers keyed by a number are
+    # aggregated in hash tables; arrays would make every task sort its rows first.
+    order = F.xxhash64(upper, lower, le, te)
+    coefficients = {
+        **{coefficient("upper", i): F.get(F.col(upper), F.lit(i)) for i in range(N_WEIGHTS)},
+        **{coefficient("lower", i): F.get(F.col(lower), F.lit(i)) for i in range(N_WEIGHTS)},
+        "le": F.col(le), "te": F.col(te),
+    }
+    shapes = df.groupBy(entity).agg(
+        *[F.min_by(c, order).alias(name) for name, c in coefficients.items()]
+    )
     # Much work on few bytes: keep the partition count instead of letting small ones be merged.
     n_partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    described = shapes.repartition(n_partitions, entity).select(
-        entity,
-        *[c.alias(name) for name, c in describe_shape(
-            F.col(upper), F.col(lower), F.col(le), F.col(te)
-        ).items()],
-    )
+    described = describe_shapes(shapes.repartition(n_partitions, entity), [entity])
     return attach(df, described, find_hot_keys(df, [entity]), "left")
 
 

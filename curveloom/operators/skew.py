@@ -32,6 +32,10 @@ class HotKeys:
     def any(self) -> bool:
         return self.table is not None
 
+    def finer(self, keys: Sequence[str]) -> "HotKeys | None":
+        """The same verdict for a key that refines this one; None (to be measured) when some are hot."""
+        return None if self.any else HotKeys(tuple(keys), self.rows_per_block)
+
 
 def find_hot_keys(
     df: DataFrame, keys: Sequence[str], smallest: int = SMALLEST_HOT_KEY

@@ -58,9 +58,12 @@ def operating_points(
         free = uniform(key, seed, f"{side}.free") < F.lit(config.free_transition_probability)
         return F.when(free, F.lit(1.0)).otherwise(uniform(key, seed, f"{side}.place"))
 
-    drawn = cases.withColumn("_shift", shift)
-    return drawn.withColumns({
-        "alphas": F.transform(literal_array(config.alpha_grid), lambda a: a + F.col("_shift")),
+    def moved(by: Column) -> Column:
+        return F.transform(literal_array(config.alpha_grid), lambda a: a + by)
+
+    return cases.withColumns({
+        # Bound to a lambda variable, the shift is drawn once for the whole grid.
+        "alphas": F.get(F.transform(F.array(shift), moved), F.lit(0)),
         "reynolds": power_of_ten(
             F.lit(config.log10_reynolds_mean)
             + F.lit(config.log10_reynolds_sigma) * normal(key, seed, "reynolds")
@@ -69,7 +72,7 @@ def operating_points(
         "n_crit": uniform_between(config.n_crit_low, config.n_crit_high, key, seed, "n_crit"),
         "xtr_upper": transition("xtr_upper"),
         "xtr_lower": transition("xtr_lower"),
-    }).drop("_shift")
+    })
 
 
 def explode_conditions(points: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from curveloom.operators.curves import (
 )
 from curveloom.operators.matching import nearest_match, unmatched
 from curveloom.operators.quality import PROFILE_POINTS, dataset_counts
+from curveloom.operators.skew import HotKeys, find_hot_keys
 from curveloom.operators.synth import SENTINEL, SamplingConfig, sentinel_rows
 from curveloom.sources.store import provenance
 from curveloom.sources.tables import pending_cases, write_shards, write_table
@@ -28,27 +29,30 @@ class Assembled:
 
 def surface_profiles(
     samples: DataFrame, keys: list[str], split_rule: str = "step_sign",
-    points: int = PROFILE_POINTS,
+    points: int = PROFILE_POINTS, hot: HotKeys | None = None,
 ) -> Assembled:
     """Six resampled profile arrays per curve, from samples (keys, ord, x, quantities).
 
     ``split_rule`` is ``step_sign`` (default) or ``minimum``.
     """
+    hot = find_hot_keys(samples, keys) if hot is None else hot
     if split_rule == "step_sign":
-        surfaces, unsplit = split_by_step_sign(samples, keys, "x", "ord")
+        surfaces, unsplit = split_by_step_sign(samples, keys, "x", "ord", hot=hot)
     elif split_rule == "minimum":
-        surfaces, unsplit = split_at_minimum(samples, keys, "x", "ord")
+        surfaces, unsplit = split_at_minimum(samples, keys, "x", "ord", hot=hot)
     else:
         raise ValueError(f"unknown split rule: {split_rule}")
     stations = midcell_stations(points)
+    sides = [*keys, "surface"]
+    within = hot.finer(sides) or find_hot_keys(surfaces, sides)
     tables, short = None, []
     for quantity in QUANTITIES:
         # Each quantity drops its own unusable samples.
         values, rejected = resample_surface(
-            surfaces, [*keys, "surface"], "x", "ord", [quantity], stations
+            surfaces, sides, "x", "ord", [quantity], stations, within
         )
         short.append(rejected.select(*keys, "reason"))
-        tables = values if tables is None else tables.join(values, [*keys, "surface"])
+        tables = values if tables is None else tables.join(values, sides)
     wide = tables.groupBy(*keys).agg(*[
         F.max(F.when(F.col("surface") == side, F.col(q))).alias(f"{side}_bl_{q}")
         for side in (UPPER, LOWER) for q in QUANTITIES

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curveloom.functions.scalars import cosine_stations, midcell_stations
+from curveloom.functions.scalars import cosine_stations, literal_array, midcell_stations
 from curveloom.operators import curves, matching
 from curveloom.operators.quality import first_failures
 from curveloom.plans.assembly import QUANTITIES, surface_profiles
@@ -149,16 +149,11 @@ def resample_uniform(spark, folder):
     )
     values, _ = curves.resample_surface(
         surfaces, ["curve_id", "surface"], "x", "ord", ["y"], midcell_stations(32),
-        hot=curves.find_hot_keys(surfaces, ["curve_id", "surface"]) if hot.any else _calm(hot),
+        hot=hot.finer(["curve_id", "surface"]),
     )
     return rounded(values.select("curve_id", "surface", F.posexplode("y").alias("i", "y")))
 
 
-def _calm(hot):
-    """No curve is hot, so no surface of one can be."""
-    return type(hot)(("curve_id", "surface"), hot.rows_per_block)
-
-
 @book.add("resample_cosine", f"""
 WITH {BRANCHES}, samples AS (
   SELECT curve_id, surface, x, avg(y) AS y FROM branches GROUP BY curve_id, surface, x),
@@ -184,7 +179,7 @@ WITH {VEC}, g AS (SELECT i, 0.5e0 * (1.0e0 - cos(pi() * i / 7.0e0)) AS x FROM (S
 SELECT entity_id, CAST(7 - i AS INTEGER) AS place, {r6("x", "x")}, {r6("upper[i + 1]", "y")} FROM vec, g
 UNION ALL SELECT entity_id, CAST(7 + i AS INTEGER), {r6("x")}, {r6("lower[i + 1]")} FROM vec, g WHERE i > 0""")
 def ordered_points(spark, folder):
-    points = curves.ordered_points(cosine_stations(8), F.col("upper"), F.col("lower"))
+    points = curves.ordered_points(literal_array(cosine_stations(8)), F.col("upper"), F.col("lower"))
     rows = vec(spark, folder).select("entity_id", F.posexplode(points).alias("place", "p"))
     return rounded(rows.select("entity_id", "place", "p.x", "p.y"))
 
@@ -399,12 +394,12 @@ SELECT curve_id, CAST(i AS INTEGER) AS i,
 FROM resampled GROUP BY curve_id, i""")
 def profiles(spark, folder):
     """Six profile arrays per curve, as rows of the training table hold them."""
-    rows, _ = _curve(spark, folder)
+    rows, hot = _curve(spark, folder)
     samples = rows.select(
         "curve_id", "ord", "x", (F.col("y") / 100).alias("theta"), (F.col("y") * 2).alias("H"),
         (F.col("y") - 1).alias("ue_vinf"),
     )
-    wide = surface_profiles(samples, KEY).rows
+    wide = surface_profiles(samples, KEY, hot=hot).rows
     names = [f"{s}_bl_{q}" for s in ("upper", "lower") for q in QUANTITIES]
     return rounded(
         wide.select("curve_id", F.posexplode(F.arrays_zip(*names)).alias("i", "p")).select(

@@ -17,9 +17,10 @@ from curveloom.operators.quality import envelope_flags, fill_conditions
 from curveloom.operators.synth import SamplingConfig, explode_conditions, operating_points, sample_shapes
 from curveloom.plans.training import SHAPE_FEATURES, TrainingPlan, flatten_shapes, stack, train
 from curveloom.registry.book import Book, r6, rounded
-from curveloom.registry.views import MODELS, OBS, VEC, obs, table, vec, vec18
+from curveloom.registry.views import MODELS, OBS, VEC, obs, spread_obs, table, vec, vec18
 from curveloom.session import shared_folder
 from curveloom.sources.store import RunStore, weights_table
+from curveloom.sources.tables import spread_scan
 
 book = Book()
 TARGETS = ("cl", "cd", "cm")
@@ -171,7 +172,9 @@ UNION ALL SELECT target, 'intercept', {r6("my - w1 * m1 - w2 * m2")} FROM w"""
 
 @book.add("ridge_coefficients", _ridge_sql())
 def ridge(spark, folder):
-    rows = _logged(spark, folder).select("alpha", "log_re", *TARGETS)
+    rows = spread_obs(spark, folder).withColumn("log_re", F.log10("reynolds")).select(
+        "alpha", "log_re", *TARGETS
+    )
     fitted = fit_models(rows, ["alpha", "log_re"], TARGETS, "ridge")
     return rounded(ridge_coefficients(fitted, rows))
 
@@ -412,7 +415,7 @@ FROM customer, (SELECT unnest(range(0, 7)) AS g)"""
 @book.add("synth_operating_points", _points_sql())
 def synth_operating_points(spark, folder):
     """One operating point per customer, exploded to its seven conditions."""
-    cases = table(spark, folder, "customer").select("c_custkey")
+    cases = spread_scan(table(spark, folder, "customer").select("c_custkey"), "c_custkey")
     points = explode_conditions(operating_points(cases, "c_custkey"))
     return rounded(
         points.withColumn("reynolds_millions", F.col("reynolds") / 1e6).select(
@@ -425,6 +428,6 @@ def synth_operating_points(spark, folder):
 @book.add("synth_shapes")
 def synth_shapes(spark, folder):
     """One synthetic shape per customer, blended from the shapes of the catalog."""
-    cases = table(spark, folder, "customer").select("c_custkey")
+    cases = spread_scan(table(spark, folder, "customer").select("c_custkey"), "c_custkey")
     shapes = sample_shapes(cases, "c_custkey", vec18(spark, folder), "entity_id", "vector")
     return shapes

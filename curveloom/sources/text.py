@@ -37,18 +37,25 @@ def parse_lines(
     pattern = NUMBER_OR_SPECIAL if specials else NUMBER
     separator = r"[\s,]+" if commas else r"\s+"
 
-    def parse(line: Column) -> Column:
-        words = F.split(F.regexp_replace(line, r"^[\s,]+" if commas else r"^\s+", ""), separator)
-        parsed = []
-        good = F.size(words) >= len(fields)
-        for i, name in enumerate(fields):
-            word = F.lower(F.get(words, F.lit(i)))
-            good = good & word.rlike(pattern)
-            parsed.append(word.try_cast("double").alias(name))
-        return F.when(good, F.struct(*parsed))
-
-    lines = F.split(text, LINE_END)
-    return F.filter(F.transform(lines, parse), lambda row: row.isNotNull())
+    def words(line: Column) -> Column:
+        # One field more than needed: the rest of the line stays unsplit.
+        start = r"^[\s,]+" if commas else r"^\s+"
+        return F.slice(
+            F.split(F.lower(F.regexp_replace(line, start, "")), separator, len(fields) + 1),
+            1, len(fields),
+        )
+
+    def numbers(found: Column) -> Column:
+        good = (F.size(found) == len(fields)) & F.forall(found, lambda w: w.rlike(pattern))
+        return F.when(good, F.transform(found, lambda w: w.try_cast("double")))
+
+    def named(values: Column) -> Column:
+        return F.struct(*[F.get(values, F.lit(i)).alias(n) for i, n in enumerate(fields)])
+
+    # Each step is bound to the next one's variable, so a line is split and read once.
+    split = F.transform(F.split(text, LINE_END), words)
+    read = F.filter(F.transform(split, numbers), lambda values: values.isNotNull())
+    return F.transform(read, named)
 
 
 def parse_pairs(df: DataFrame, text: str = "text") -> DataFrame:
