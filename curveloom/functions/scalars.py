@@ -141,8 +141,14 @@ def convex_weights(cuts: Column) -> Column:
     )
 
 
+def double_text(value: float) -> str:
+    """A float as SQL text that reads back as the same double."""
+    return f"{float(value)!r}D"
+
+
 def literal_array(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    """Array constant; one expression text instead of one call per element."""
+    return F.expr(f"array({', '.join(double_text(v) for v in values)})")
 
 
 # -- names ---------------------------------------------------------------------------------

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curveloom.functions.scalars import cosine_stations
+from curveloom.functions.scalars import cosine_stations, double_text
 
 N_WEIGHTS = 8
 STATIONS = (0.15, 0.30, 0.45, 0.60, 0.75)
@@ -53,12 +53,11 @@ def area_basis() -> list[float]:
     ]
 
 
-def _station(x: float) -> Column:
-    """Literal struct of a station: its place, the nose term and the basis values."""
-    return F.struct(
-        F.lit(float(x)).alias("x"), F.lit(nose_basis(x)).alias("nose"),
-        *[F.lit(b).alias(f"b{i}") for i, b in enumerate(surface_basis(x))],
-    )
+def station_text(x: float) -> str:
+    """SQL text of a station: its place, the nose term and the basis values."""
+    fields = {"x": x, "nose": nose_basis(x)}
+    fields |= {f"b{i}": b for i, b in enumerate(surface_basis(x))}
+    return f"named_struct({', '.join(f'{name!r}, {double_text(v)}' for name, v in fields.items())})"
 
 
 def _even(n: int) -> list[float]:
@@ -86,7 +85,7 @@ def surfaces_at(
             (_weighted(lower, station) + nose - tail).alias("v"),
         )
 
-    return F.transform(F.array(*[_station(x) for x in xs]), point)
+    return F.transform(F.expr(f"array({', '.join(map(station_text, xs))})"), point)
 
 
 def soft_minimum(a: Column, b: Column, softness: Column) -> Column:

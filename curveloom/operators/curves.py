@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curveloom.functions.scalars import (
-    all_finite, clip, finite, half_even, literal_array,
+    all_finite, clip, double_text, finite, half_even, literal_array,
     null_unless_finite, ratio_or_null,
 )
 from curveloom.operators.ordered import OrderedRows, following, number, previous
-from curveloom.operators.skew import HotKeys, attach, find_hot_keys
+from curveloom.operators.skew import HotKeys, find_hot_keys, reasons, with_facts
 
 SMALLEST_STEP = 1e-10
 NOSE_TOLERANCE = 1e-5
@@ -96,35 +96,31 @@ def split_by_step_sign(
     hot = _hot(df, keys, hot)
     stepped = OrderedRows(df, keys, [ordinal], hot).add(_after=following(x))
     step = null_unless_finite(F.col("_after") - F.col(x))
-    facts = stepped.groupBy(*keys).agg(
-        F.max(F.when(step < 0, F.col(ordinal))).alias("_last_down"),
-        F.min(F.when(step > 0, F.col(ordinal))).alias("_first_up"),
-        F.min(ordinal).alias("_first"),
-        F.max(ordinal).alias("_last"),
-    )
+    turned = with_facts(stepped, {
+        "_last_down": F.max(F.when(step < 0, F.col(ordinal))),
+        "_first_up": F.min(F.when(step > 0, F.col(ordinal))),
+        "_first": F.min(ordinal),
+        "_last": F.max(ordinal),
+    }, hot)
     # Ordinals are consecutive, so the surface sizes follow from the borders.
-    facts = facts.withColumn("_n_upper", F.col("_last_down") + 2 - F.col("_first")).withColumn(
-        "_n_lower", F.col("_last") + 1 - F.col("_first_up")
-    )
+    n_upper = F.col("_last_down") + 2 - F.col("_first")
+    n_lower = F.col("_last") + 1 - F.col("_first_up")
     reason = F.when(
         F.col("_last_down").isNull() | F.col("_first_up").isNull(),
         F.lit("could not identify upper/lower surfaces"),
     ).when(
-        (F.col("_n_upper") < shortest) | (F.col("_n_lower") < shortest),
-        F.lit("surface data is too short"),
+        (n_upper < shortest) | (n_lower < shortest), F.lit("surface data is too short")
     )
-    checked = facts.withColumn("reason", reason)
-    rejected = checked.where(F.col("reason").isNotNull()).select(*keys, "reason")
-    usable = checked.where(F.col("reason").isNull()).select(*keys, "_last_down", "_first_up")
+    checked = turned.withColumn("reason", reason)
     rows = _labelled(
-        attach(df, usable, hot),
+        checked.where(F.col("reason").isNull()),
         F.col(ordinal) <= F.col("_last_down") + 1,
         F.col(ordinal) >= F.col("_first_up"),
     )
     place = F.when(F.col("surface") == UPPER, F.col("_last_down") + 2 - F.col(ordinal)).otherwise(
         F.col(ordinal) - F.col("_first_up") + 1
     )
-    return rows.withColumn("place", place.cast("long")).drop("_last_down", "_first_up"), rejected
+    return rows.select(*df.columns, "surface", place.cast("long").alias("place")), reasons(checked, keys)
 
 
 def split_at_minimum(
@@ -134,18 +130,14 @@ def split_at_minimum(
     """Split a curve at its first row of least ``x``; that row is in both surfaces."""
     keys = list(keys)
     hot = _hot(df, keys, hot)
-    usable_x = F.when(finite(F.col(x)), F.col(x))
-    lowest = df.groupBy(*keys).agg(
-        F.min(usable_x).alias("_low"),
-        F.count(usable_x).alias("_finite"),
-        F.min(ordinal).alias("_first"),
-        F.max(ordinal).alias("_last"),
+    usable_x = null_unless_finite(F.col(x))
+    lowest = with_facts(df, {
+        "_low": F.min(usable_x), "_finite": F.count(usable_x),
+        "_first": F.min(ordinal), "_last": F.max(ordinal),
+    }, hot)
+    nosed = with_facts(
+        lowest, {"_nose": F.min(F.when(F.col(x) == F.col("_low"), F.col(ordinal)))}, hot
     )
-    nose = (
-        attach(df, lowest, hot).where(F.col(x) == F.col("_low"))
-        .groupBy(*keys).agg(F.min(ordinal).alias("_nose"))
-    )
-    facts = lowest.join(nose, keys, "left")
     reason = F.when(
         F.col("_finite") < fewest_finite, F.lit("x data is too short")
     ).when(
@@ -153,15 +145,13 @@ def split_at_minimum(
         | (F.col("_last") + 1 - F.col("_nose") < shortest),
         F.lit("surface data is too short"),
     )
-    checked = facts.withColumn("reason", reason)
-    rejected = checked.where(F.col("reason").isNotNull()).select(*keys, "reason")
-    usable = checked.where(F.col("reason").isNull()).select(*keys, "_nose")
+    checked = nosed.withColumn("reason", reason)
     rows = _labelled(
-        attach(df, usable, hot),
+        checked.where(F.col("reason").isNull()),
         F.col(ordinal) <= F.col("_nose"),
         F.col(ordinal) >= F.col("_nose"),
     )
-    return rows.drop("_nose"), rejected
+    return rows.select(*df.columns, "surface"), reasons(checked, keys)
 
 
 def detect_branches(
@@ -178,74 +168,58 @@ def detect_branches(
     hot = _hot(df, keys, hot)
     usable = df.where(all_finite([F.col(x), F.col(y)]))
     kept = drop_repeats(usable, keys, [ordinal], [x, y], hot).select(*keys, ordinal, x, y)
-    extent = kept.groupBy(*keys).agg(F.min(x).alias("_low"), F.max(x).alias("_high"))
-    flat = extent.where(F.col("_high") - F.col("_low") <= F.lit(SMALLEST_STEP)).select(
-        *keys, F.lit("outline must have non-zero extent").alias("reason")
-    )
-    scaled = attach(
-        kept, extent.where(F.col("_high") - F.col("_low") > F.lit(SMALLEST_STEP)), hot
-    ).withColumn(
-        x, (F.col(x) - F.col("_low")) / (F.col("_high") - F.col("_low"))
+    measured = with_facts(kept, {"_low": F.min(x), "_high": F.max(x)}, hot)
+    extent = F.col("_high") - F.col("_low")
+    flat = extent <= F.lit(SMALLEST_STEP)
+    scaled = measured.withColumn("_flat", flat).withColumn(
+        x, F.when(~flat, (F.col(x) - F.col("_low")) / extent)
     ).drop("_low", "_high")
 
     # After scaling the nose rows have x = 0 and the tail rows x = 1 exactly.
     at_nose, at_tail = F.col(x) == 0.0, F.col(x) == 1.0
-    turns = scaled.groupBy(*keys).agg(
-        F.min(ordinal).alias("_first"),
-        F.max(ordinal).alias("_last"),
-        F.min(F.when(at_nose, F.col(ordinal))).alias("_nose"),
-        F.min(F.when(at_tail, F.col(ordinal))).alias("_tail_first"),
-        F.max(F.when(at_tail, F.col(ordinal))).alias("_tail_last"),
-    )
+    turned = with_facts(scaled, {
+        "_first": F.min(ordinal),
+        "_last": F.max(ordinal),
+        "_nose": F.min(F.when(at_nose, F.col(ordinal))),
+        "_tail_first": F.min(F.when(at_tail, F.col(ordinal))),
+        "_tail_last": F.max(F.when(at_tail, F.col(ordinal))),
+    }, hot)
     nose_first = F.col("_nose") == F.col("_first")
-    nose_last = F.col("_nose") == F.col("_last")
+    nose_last = ~nose_first & (F.col("_nose") == F.col("_last"))
     cut = F.when(nose_first, F.col("_tail_first")).when(nose_last, F.col("_tail_last")).otherwise(
         F.col("_nose")
     )
     one_sided = (nose_first & (F.col("_tail_first") == F.col("_last"))) | (
-        ~nose_first & nose_last & (F.col("_tail_last") == F.col("_first"))
-    )
-    forms = turns.select(
-        *keys,
-        cut.alias("_cut"),
-        # Read backwards, the branch after the cut comes first.
-        (~nose_first & nose_last).alias("_reversed"),
-        F.when(one_sided, F.lit("points needed on both sides of the tail")).alias("reason"),
+        nose_last & (F.col("_tail_last") == F.col("_first"))
     )
-    rows = attach(
-        scaled, forms.where(F.col("reason").isNull()).select(*keys, "_cut", "_reversed"), hot
-    )
-    branch = F.explode(F.filter(
-        F.array(
-            F.when(F.col(ordinal) <= F.col("_cut"), ~F.col("_reversed")),
-            F.when(F.col(ordinal) >= F.col("_cut"), F.col("_reversed")),
-        ),
-        lambda b: b.isNotNull(),
-    ))
-    branches = rows.withColumn("_leading", branch).drop("_cut", "_reversed")
-    sides = branches.groupBy(*keys).agg(
-        F.avg(F.when(F.col("_leading"), F.col(y))).alias("_mean_a"),
-        F.avg(F.when(~F.col("_leading"), F.col(y))).alias("_mean_b"),
-        F.min(F.when(F.col("_leading"), F.col(x))).alias("_start_a"),
-        F.min(F.when(~F.col("_leading"), F.col(x))).alias("_start_b"),
+    # Read backwards, the branch after the cut comes first.
+    formed = turned.select(
+        *keys, ordinal, x, y, "_flat", cut.alias("_cut"), nose_last.alias("_reversed"),
+        one_sided.alias("_one_sided"),
     )
+    before, after = F.col(ordinal) <= F.col("_cut"), F.col(ordinal) >= F.col("_cut")
+    in_a = F.when(F.col("_reversed"), after).otherwise(before)
+    in_b = F.when(F.col("_reversed"), before).otherwise(after)
+    sided = with_facts(formed.withColumns({"_in_a": in_a, "_in_b": in_b}), {
+        "_mean_a": F.avg(F.when(F.col("_in_a"), F.col(y))),
+        "_mean_b": F.avg(F.when(F.col("_in_b"), F.col(y))),
+        "_start_a": F.min(F.when(F.col("_in_a"), F.col(x))),
+        "_start_b": F.min(F.when(F.col("_in_b"), F.col(x))),
+    }, hot)
     detached = F.greatest("_start_a", "_start_b") > F.lit(NOSE_TOLERANCE)
-    labels = sides.select(
-        *keys,
-        (F.col("_mean_a") >= F.col("_mean_b")).alias("_a_is_upper"),
-        F.when(detached, F.lit("both surfaces must reach the nose")).alias("reason"),
+    checked = sided.withColumn(
+        "reason",
+        F.when(F.col("_flat"), F.lit("outline must have non-zero extent"))
+        .when(F.col("_one_sided"), F.lit("points needed on both sides of the tail"))
+        .when(detached, F.lit("both surfaces must reach the nose")),
     )
-    good = attach(
-        branches, labels.where(F.col("reason").isNull()).select(*keys, "_a_is_upper"), hot
-    ).withColumn(
-        "surface",
-        F.when(F.col("_leading") == F.col("_a_is_upper"), F.lit(UPPER)).otherwise(F.lit(LOWER)),
+    a_is_upper = F.col("_mean_a") >= F.col("_mean_b")
+    good = _labelled(
+        checked.where(F.col("reason").isNull()),
+        F.when(a_is_upper, F.col("_in_a")).otherwise(F.col("_in_b")),
+        F.when(a_is_upper, F.col("_in_b")).otherwise(F.col("_in_a")),
     ).select(*keys, "surface", ordinal, x, y)
-    rejected = (
-        flat.unionByName(forms.where(F.col("reason").isNotNull()).select(*keys, "reason"))
-        .unionByName(labels.where(F.col("reason").isNotNull()).select(*keys, "reason"))
-    )
-    return good, rejected
+    return good, reasons(checked, keys)
 
 
 def mean_by_abscissa(
@@ -277,9 +251,7 @@ def resample(
     columns = list(columns)
     samples = df.where(all_finite([F.col(x), *[F.col(c) for c in columns]]))
     # Number of stations below the sample, as plain comparisons that are compiled.
-    cell = F.lit(0)
-    for station in stations:
-        cell = cell + (F.col(x) > F.lit(float(station))).cast("int")
+    cell = F.expr(" + ".join(f"cast(`{x}` > {double_text(s)} AS INT)" for s in stations))
     reduced = samples.withColumn("_cell", cell).groupBy(*keys, "_cell").agg(
         F.count(F.lit(1)).alias("_n"),
         F.min(x).alias("_x0"),

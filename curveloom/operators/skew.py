@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Keys below this many rows are never worth splitting, whatever their share.
@@ -81,3 +81,24 @@ def attach(rows: DataFrame, facts: DataFrame, hot: HotKeys, how: str = "inner")
         F.broadcast(facts.join(hot_list, keys, "left_semi")), keys, how
     )
     return cold.unionByName(split)
+
+
+def with_facts(rows: DataFrame, facts: dict[str, Column], hot: HotKeys) -> DataFrame:
+    """Add aggregates of each key to all its rows.
+
+    Keys of ordinary size are window aggregates: consecutive steps on the same key then share one
+    shuffle and read the source once. With hot keys the aggregates are combined before the shuffle
+    and joined back.
+    """
+    if not hot.any:
+        window = Window.partitionBy(*hot.keys)
+        return rows.select("*", *[c.over(window).alias(name) for name, c in facts.items()])
+    per_key = rows.groupBy(*hot.keys).agg(*[c.alias(name) for name, c in facts.items()])
+    return attach(rows, per_key, hot)
+
+
+def reasons(rows: DataFrame, keys: Sequence[str], reason: str = "reason") -> DataFrame:
+    """One row (keys, reason) per rejected key."""
+    return rows.where(F.col(reason).isNotNull()).groupBy(*keys).agg(
+        F.min(reason).alias("reason")
+    )

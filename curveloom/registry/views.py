@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from curveloom.functions.scalars import ratio_or_null
 from curveloom.operators.ordered import OrderedRows, number
-from curveloom.operators.skew import HotKeys, attach, find_hot_keys
+from curveloom.operators.skew import HotKeys, find_hot_keys, with_facts
 from curveloom.sources.tables import spread_scan
 
 MODELS = {m: {t: f"{t}_{m}" for t in ("cl", "cd", "cm")} for m in ("a", "b")}
@@ -108,15 +108,13 @@ def events_in_order(spark: SparkSession, folder: str, hot: HotKeys) -> DataFrame
 
 
 def curve(spark: SparkSession, folder: str, hot: HotKeys) -> DataFrame:
-    rows = events_in_order(spark, folder, hot)
-    span = table(spark, folder, "events").groupBy(F.col("user_id").alias("curve_id")).agg(
-        F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("_start"),
-        F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("_end"),
+    rows = with_facts(
+        events_in_order(spark, folder, hot), {"_start": F.min("at"), "_end": F.max("at")}, hot
     )
     place = ratio_or_null(
         (F.col("at") - F.col("_start")).cast("double"), (F.col("_end") - F.col("_start")).cast("double")
     )
-    return attach(rows, span, hot).select(
+    return rows.select(
         "curve_id", "ord", F.abs(F.lit(2.0) * place - 1.0).alias("x"),
         F.col("value").alias("y"), "event_id", "event_type",
     )
