@@ -114,20 +114,21 @@ def fit_models(
     rows hold no entity that is also fitted.
     """
     fitted = TargetModels(name, list(features))
+    held = F.coalesce(stopping, F.lit(False)) if stopping is not None else F.lit(False)
     stats = train.agg(
-        F.count(F.lit(1)).alias("n"), *[F.stddev_pop(t).alias(t) for t in targets]
+        F.count(F.lit(1)).alias("_rows"), F.count_if(held).alias("_held"),
+        *[F.stddev_pop(t).alias(t) for t in targets],
     ).first()
-    rows = assemble(train, features, "_features")
-    if name == "boosting" and stopping is not None:
-        rows = rows.withColumn("_stopping", stopping)
-    rows = rows.select(
-        "_features", *targets, *(["_stopping"] if "_stopping" in rows.columns else [])
+    # Without rows on both sides of the mark there is nothing to stop on: use all rounds.
+    early = name == "boosting" and 0 < stats["_held"] < stats["_rows"]
+    rows = assemble(train, features, "_features").withColumn("_stopping", held).select(
+        "_features", *targets, *(["_stopping"] if early else [])
     ).persist()
     try:
         for target in targets:
-            estimator = _estimator(name, config, stats["n"], stats[target] or 0.0)
+            estimator = _estimator(name, config, stats["_rows"], stats[target] or 0.0)
             estimator.setLabelCol(target)
-            if "_stopping" in rows.columns:
+            if early:
                 estimator.setValidationIndicatorCol("_stopping")
             fitted.models[target] = estimator.fit(rows)
     finally:

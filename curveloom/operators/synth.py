@@ -88,8 +88,11 @@ def covariance_factor(parents: DataFrame, vector: str, size: int = N_COEFFICIENT
     matrix = np.zeros((size, size))
     for r in vector_covariance(parents, vector, size).collect():
         matrix[r["i"], r["j"]] = matrix[r["j"], r["i"]] = r["covariance"]
-    values, vectors = np.linalg.eigh(matrix)
-    root = vectors * np.sqrt(np.clip(values, 0.0, None))
+    # Sums of floats differ in the last bits with the partitioning. Rounding them away keeps the
+    # factor, and so every drawn shape, the same; directions without spread get none.
+    digits = 12 - int(np.floor(np.log10(np.abs(matrix).max() or 1.0)))
+    values, vectors = np.linalg.eigh(np.round(matrix, digits))
+    root = vectors * np.sqrt(np.where(values > 1e-11 * max(values.max(), 0.0), values, 0.0))
     # The R factor of root' gives a triangular L with L L' = matrix, also for a singular matrix.
     return np.linalg.qr(root.T, mode="r").T
 
@@ -130,15 +133,22 @@ def sample_shapes(
         lambda i: F.floor(uniform(key, seed, "parent", i) * F.lit(n_parents)) + 1,
     )
     picked = cases.select(
-        case_id, F.explode(F.arrays_zip(convex_weights(cuts).alias("weight"), draws.alias("no")))
-        .alias("_p")
-    ).select(case_id, "_p.weight", F.col("_p.no").alias("parent_no"))
+        case_id,
+        F.posexplode(F.arrays_zip(convex_weights(cuts).alias("weight"), draws.alias("no")))
+        .alias("_at", "_p"),
+    ).select(case_id, "_at", "_p.weight", F.col("_p.no").alias("parent_no"))
     # Drawing is heavy on few bytes, so the partition count is fixed instead of left to be merged.
     n_partitions = int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = picked.join(numbered, "parent_no").repartition(n_partitions, case_id)
-    blended = parts.groupBy(case_id).agg(F.array(*[
-        F.sum(F.col("weight") * F.get("parent", F.lit(i))) for i in range(N_COEFFICIENTS)
-    ]).alias("blend"))
+    # The few parents of a case are added in the order they were drawn.
+    blended = parts.groupBy(case_id).agg(
+        F.array_sort(F.collect_list(F.struct("_at", "weight", "parent"))).alias("_parts")
+    ).select(case_id, F.transform(
+        F.sequence(F.lit(0), F.lit(N_COEFFICIENTS - 1)),
+        lambda i: F.aggregate(
+            "_parts", F.lit(0.0), lambda total, p: total + p["weight"] * F.get(p["parent"], i)
+        ),
+    ).alias("blend"))
 
     factor_rows = F.array(*[literal_array(row) for row in factor])
 

@@ -161,7 +161,7 @@ def train(
     histories, metrics, predictions = [], [], []
     for name in names:
         model = fit_models(
-            scaled, _scaled_names(plan), labels, name, config, stopping.alias("_stopping")
+            scaled, _scaled_names(plan), labels, name, config, stopping
         )
         model.save(store.path("models"))
         histories.append(training_history(model, scaled))
