@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from curveloom.operators.curves import thousandths
 from curveloom.operators.ordered import OrderedRows, last_known, next_known
-from curveloom.operators.skew import HotKeys, find_hot_keys
+from curveloom.operators.skew import HotKeys, attach, find_hot_keys
 
 MATCH_TOLERANCE = 1e-3
 
@@ -45,7 +45,9 @@ def nearest_match(
         F.struct(F.col(value).alias("value"), F.col("_hit").alias("hit")).alias("_hit"),
     )
     merged = answers.unionByName(asked, allowMissingColumns=True)
-    hot = find_hot_keys(merged, keys) if hot is None else hot
+    if hot is None:
+        # Counted before duplicates are removed: cheaper, and never too few.
+        hot = find_hot_keys(requested.select(*keys).unionByName(returned.select(*keys)), keys)
     seen = OrderedRows(merged, keys, [value, "_kind"], hot).add(
         _below=last_known("_hit"), _above=next_known("_hit")
     ).where(F.col("_kind") == 1)
@@ -87,9 +89,10 @@ def rounded_key_join(
     keyed = right.withColumn("_key", thousandths(F.col(value))).groupBy(*keys, "_key").agg(
         F.max(F.struct(ordinal, *payload)).alias("_hit")
     )
-    return left.withColumn("_key", thousandths(F.col(value))).join(
-        keyed, [*keys, "_key"], how
-    ).select(*left.columns, *[F.col("_hit")[c].alias(c) for c in payload])
+    asked = left.withColumn("_key", thousandths(F.col(value)))
+    return attach(asked, keyed, find_hot_keys(asked, [*keys, "_key"]), how).select(
+        *left.columns, *[F.col("_hit")[c].alias(c) for c in payload]
+    )
 
 
 def broadcast_conditions(df: DataFrame, conditions: Sequence[str]) -> DataFrame:
@@ -128,7 +131,8 @@ def resolve_entities(specs: DataFrame, catalog: DataFrame, name: str) -> tuple[D
     carried = [c for c in catalog.columns if c != name]
     # Of entries with the same normalised name the smallest row is used, on every run.
     entries = catalog.groupBy(key.alias("_name")).agg(F.min(F.struct(*carried)).alias("_entry"))
-    looked = specs.withColumn("_name", key).join(entries, "_name", "left")
+    named = specs.withColumn("_name", key)
+    looked = attach(named, entries, find_hot_keys(named, ["_name"]), "left")
     resolved = looked.where(F.col("_entry").isNotNull()).select(
         *specs.columns, *[F.col("_entry")[c].alias(c) for c in carried]
     )

@@ -167,7 +167,8 @@ def train(
         histories.append(training_history(model, scaled))
         columns = prediction_columns([name], plan.targets)
         scored = predict_physical(evaluated, model, scaler, plan, f"{name}__")
-        paired = pair_targets(scored, columns, ["split", plan.entity], plan.targets)
+        conditions = [c for c in CONDITION_COLUMNS if c in plan.features]
+        paired = pair_targets(scored, columns, ["split", plan.entity, *conditions], plan.targets)
         metrics.append(regression_metrics(paired, ["model", "split", "target"]))
         predictions.append(paired.where(F.col("split") == TEST).drop("split"))
     for table, parts in (("history", histories), ("predictions", predictions)):

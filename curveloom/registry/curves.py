@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curveloom.functions.scalars import cosine_stations, literal_array, midcell_stations
+from curveloom.functions.scalars import (
+    cosine_stations, file_stem, file_suffix, literal_array, midcell_stations,
+)
 from curveloom.operators import curves, matching
 from curveloom.operators.quality import first_failures
 from curveloom.plans.assembly import QUANTITIES, surface_profiles
@@ -356,6 +358,17 @@ def document_pair_counts(spark, folder):
     )
 
 
+@book.add("name_stems", r"""
+SELECT page_id, lower(regexp_replace(name, '^(.+)\.[^.]*$', '\1')) AS stem,
+  lower(regexp_extract(url, '(\.[^./]+)$', 1)) AS suffix
+FROM (SELECT page_id, url, string_split(url, '/')[-1] AS name FROM pages)""")
+def name_stems(spark, folder):
+    """Names and suffixes of resources, as specifications of entities are normalised."""
+    return table(spark, folder, "pages").select(
+        "page_id", file_stem(F.col("url")).alias("stem"), file_suffix(F.col("url")).alias("suffix")
+    )
+
+
 @book.add("json_properties", "SELECT event_id, CAST(props->>'k' AS BIGINT) AS k FROM events")
 def json_properties(spark, folder):
     return table(spark, folder, "events").select(

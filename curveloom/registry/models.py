@@ -7,11 +7,11 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from curveloom.functions.scalars import guarded_ratio, inclusive_sweep
+from curveloom.functions.scalars import guarded_ratio, inclusive_sweep, numbered_id
 from curveloom.functions.shape import DESCRIPTOR_COLUMNS, STATIONS
 from curveloom.operators import features, metrics, stacking
 from curveloom.operators.dense import LAYER_SCHEMA, load_layers, score_dense
-from curveloom.operators.matching import sweep
+from curveloom.operators.matching import broadcast_conditions, sweep
 from curveloom.operators.models import ModelConfig, fit_models, ridge_coefficients
 from curveloom.operators.quality import envelope_flags, fill_conditions
 from curveloom.operators.synth import SamplingConfig, explode_conditions, operating_points, sample_shapes
@@ -381,6 +381,19 @@ def predict_table(spark, folder):
     return out
 
 
+@book.add("broadcast_conditions", f"""WITH {VEC}
+SELECT entity_id, CAST(i - 1 AS INTEGER) AS condition_no, [upper[1] * 10, upper[2] * 10, upper[3] * 10][i] AS alpha,
+  100000.0e0 * (label + 1) AS "Re" FROM vec, (SELECT unnest(range(1, 4)) AS i)""")
+def broadcast_condition_lists(spark, folder):
+    """Condition lists of each shape against its single Reynolds number."""
+    u = F.col("upper")
+    listed = vec(spark, folder).select(
+        "entity_id", F.transform(F.slice(u, 1, 3), lambda a: a * 10).alias("alpha"),
+        F.array(F.lit(100000.0) * (F.col("label") + 1)).alias("Re"),
+    )
+    return broadcast_conditions(listed, ["alpha", "Re"])
+
+
 # -- synthetic cases ----------------------------------------------------------------------------
 
 
@@ -405,7 +418,7 @@ def _points_sql() -> str:
             f" ELSE {_u(side + '.place')} END"
         )
 
-    return f"""SELECT c_custkey, {r6(f"pow(10, {c.log10_reynolds_mean}e0 + {c.log10_reynolds_sigma}e0 * {_n('reynolds')}) / 1e6", "reynolds_millions")},
+    return f"""SELECT printf('TRAIN_%06d', c_custkey) AS case_name, {r6(f"pow(10, {c.log10_reynolds_mean}e0 + {c.log10_reynolds_sigma}e0 * {_n('reynolds')}) / 1e6", "reynolds_millions")},
   0.0e0 AS mach, {r6(f"{c.n_crit_low}e0 + {_u('n_crit')} * {c.n_crit_high - c.n_crit_low}e0", "n_crit")},
   {r6(xtr("xtr_upper"), "xtr_upper")}, {r6(xtr("xtr_lower"), "xtr_lower")},
   CAST(g AS INTEGER) AS condition_no, {r6(f"g * 5.0e0 - 15.0e0 + {shift}", "alpha")}
@@ -419,7 +432,7 @@ def synth_operating_points(spark, folder):
     points = explode_conditions(operating_points(cases, "c_custkey"))
     return rounded(
         points.withColumn("reynolds_millions", F.col("reynolds") / 1e6).select(
-            "c_custkey", "reynolds_millions", "mach", "n_crit", "xtr_upper", "xtr_lower",
+            numbered_id("TRAIN_", F.col("c_custkey")).alias("case_name"), "reynolds_millions", "mach", "n_crit", "xtr_upper", "xtr_lower",
             "condition_no", "alpha",
         )
     )

@@ -174,6 +174,31 @@ def test_build_resume_and_provenance(solved, spark, tmp_path):
     assert data.where("entity_id = 'TRAIN_000000'").count() == 2
 
 
+def test_dataset_of_polars_and_outlines(spark, tmp_path):
+    from curveloom.plans.dataset import load_dataset
+
+    outline = "\n".join(f"{x} {y}" for x, y in [
+        (1, 0), (0.7, 0.05), (0.4, 0.08), (0.1, 0.05), (0, 0), (0.1, -0.03), (0.4, -0.04), (0.7, -0.02), (1, 0)])
+    folder = tmp_path / "shapes"
+    folder.mkdir()
+    for name in ("A1", "b2", "c3"):
+        (folder / f"{name}.dat").write_text(f"{name}\n{outline}\n")
+    rows = [(e, a, 1e5, 0.0, 0.5, 0.01, -0.1) for e in ("A1", "b2", "c3") for a in (0.0, 2.0)]
+    polar = spark.createDataFrame(rows, tables.POLAR_SCHEMA)
+    tables.write_table(polar, f"{tmp_path}/polar", "csv")
+    data = load_dataset(spark, f"{tmp_path}/polar", str(folder), n_points=20)
+    assert data.outlines.count() == 3 and data.rejects.count() == 0
+    assert data.split().groupBy("split").count().count() == 3
+    extra = polar.unionByName(spark.createDataFrame([("zz", 0.0, 1e5, 0.0, 0.5, 0.01, -0.1)], tables.POLAR_SCHEMA))
+    tables.write_table(extra, f"{tmp_path}/extra", "csv")
+    with pytest.raises(ValueError, match="zz"):
+        load_dataset(spark, f"{tmp_path}/extra", str(folder))
+    bad = polar.withColumn("cd", F.lit(-0.5))
+    tables.write_table(bad, f"{tmp_path}/bad", "csv")
+    with pytest.raises(ValueError, match="drag_negative"):
+        load_dataset(spark, f"{tmp_path}/bad", str(folder))
+
+
 def test_table_formats_round_trip(spark, tmp_path):
     polar = spark.createDataFrame([("a", 1.0, 1e5, 0.0, 0.5, 0.01, -0.1)], tables.POLAR_SCHEMA)
     tables.write_table(polar, f"{tmp_path}/csv", "csv")
