@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curveloom.operators.skew import HotKeys, find_hot_keys
+from curveloom.operators.skew import HotKeys, cut_lineage, find_hot_keys
 
 SAMPLES_PER_BLOCK = 40
 SPLITS_PER_LIST = 128
@@ -70,6 +70,9 @@ class OrderedRows:
         self.keys = list(keys)
         self.order = list(order)
         self.hot = find_hot_keys(df, keys) if hot is None else hot
+        if self.hot.any:
+            # Read for the sample, for the block summary and for the rows themselves.
+            self.df = cut_lineage(df)
 
     def add(self, **wanted: Ordered) -> DataFrame:
         if not self.hot.any:

@@ -57,11 +57,15 @@ def find_hot_keys(
     return HotKeys(keys, threshold, table)
 
 
-def same_keys(left: Sequence[Column], right: Sequence[Column]) -> Column:
-    condition = F.lit(True)
-    for a, b in zip(left, right):
-        condition = condition & a.eqNullSafe(b)
-    return condition
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Keep ``df`` as files in the shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    For plans that read ``df`` more than once: without it every further step would repeat all
+    earlier ones. Where no such folder is set the plan is left as it is.
+    """
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", ""):
+        return df
+    return df.checkpoint()
 
 
 def attach(rows: DataFrame, facts: DataFrame, hot: HotKeys, how: str = "inner") -> DataFrame:
@@ -93,6 +97,7 @@ def with_facts(rows: DataFrame, facts: dict[str, Column], hot: HotKeys) -> DataF
     if not hot.any:
         window = Window.partitionBy(*hot.keys)
         return rows.select("*", *[c.over(window).alias(name) for name, c in facts.items()])
+    rows = cut_lineage(rows)
     per_key = rows.groupBy(*hot.keys).agg(*[c.alias(name) for name, c in facts.items()])
     return attach(rows, per_key, hot)
 

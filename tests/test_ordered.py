@@ -42,3 +42,13 @@ def test_hot_group_is_cut_into_blocks(skewed):
 def test_no_hot_keys_without_large_groups(skewed):
     assert not find_hot_keys(skewed, ["curve", "id"], smallest=50).any
     assert not find_hot_keys(skewed.limit(0), ["curve"], smallest=1).any
+
+
+def test_lineage_is_cut_in_the_shared_folder(spark, skewed):
+    from curveloom.operators.skew import cut_lineage
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    assert folder and spark.sparkContext.getCheckpointDir().startswith(f"file:{folder}")
+    kept = cut_lineage(skewed)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" in plan and kept.count() == 941
