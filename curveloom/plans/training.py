@@ -27,6 +27,7 @@ from curveloom.operators.split import (
 )
 from curveloom.operators.stacking import blend, fit_stacking, weighted_mean, weights_as_dict
 from curveloom.sources.store import RunStore
+from curveloom.sources.tables import combine
 
 SHAPE_FEATURES = [
     *[f"upper_{i}" for i in range(8)], *[f"lower_{i}" for i in range(8)], "le", "te",
@@ -132,7 +133,7 @@ def train(
     """Split by entity, fit, score and persist; returns the metrics of this run.
 
     Written to the store: split, scaler, models, history, metrics (other models keep theirs),
-    predictions on test rows and the configuration.
+    predictions on validation and test rows and the configuration.
     """
     names = select_models(only)
     df = with_features(df, plan)
@@ -158,7 +159,7 @@ def train(
     stopping = uniform(F.col(plan.entity), plan.seed, "stopping") < F.lit(STOPPING_SHARE)
     labels = [f"y_{t}" for t in plan.targets]
     evaluated = scale_inputs(rows.where(F.col("split") != TRAIN), scaler, plan)
-    histories, metrics, predictions = [], [], []
+    histories, predictions = [], []
     for name in names:
         model = fit_models(
             scaled, _scaled_names(plan), labels, name, config, stopping
@@ -169,19 +170,13 @@ def train(
         scored = predict_physical(evaluated, model, scaler, plan, f"{name}__")
         conditions = [c for c in CONDITION_COLUMNS if c in plan.features]
         paired = pair_targets(scored, columns, ["split", plan.entity, *conditions], plan.targets)
-        metrics.append(regression_metrics(paired, ["model", "split", "target"]))
-        predictions.append(paired.where(F.col("split") == TEST).drop("split"))
-    for table, parts in (("history", histories), ("predictions", predictions)):
-        whole = parts[0]
-        for part in parts[1:]:
-            whole = whole.unionByName(part)
-        if table == "history":
-            store.write("history", whole)
-        else:
-            store.save_predictions(whole)
-    result = metrics[0]
-    for part in metrics[1:]:
-        result = result.unionByName(part)
+        predictions.append(paired)
+    store.write("history", combine(histories))
+    # Rows are scored once, on their way into the predictions table; metrics read that table.
+    stored = store.save_predictions(combine(predictions))
+    result = regression_metrics(
+        stored.where(F.col("model").isin(*names)), ["model", "split", "target"]
+    )
     store.save_config({
         "seed": plan.seed, "log_drag": plan.log_drag, "targets": list(plan.targets),
         "features": list(plan.features), "entity": plan.entity, "reynolds": plan.reynolds,

@@ -5,7 +5,7 @@ Each view exists twice: as a DataFrame and as SQL text for the independent check
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curveloom.functions.scalars import ratio_or_null
@@ -139,7 +139,7 @@ curve AS (
 def vec(spark: SparkSession, folder: str) -> DataFrame:
     e = F.col("embedding")
 
-    def part(start: int) -> "F.Column":
+    def part(start: int) -> Column:
         return F.transform(F.slice(e, start, 8), lambda v: v.cast("double"))
 
     return table(spark, folder, "embeddings").select(
@@ -201,7 +201,7 @@ def curve_lines(spark: SparkSession, folder: str, hot: HotKeys) -> DataFrame:
     )
 
 
-def join_lines(rows: DataFrame, line) -> DataFrame:
+def join_lines(rows: DataFrame, line: Column) -> DataFrame:
     lines = F.array_sort(F.collect_list(F.struct("ord", line.alias("line"))))
     return rows.groupBy("curve_id", "chunk").agg(
         F.array_join(F.transform(lines, lambda e: e["line"]), "\n").alias("body")

@@ -71,11 +71,12 @@ class RunStore:
 
     # -- predictions, one partition per model -------------------------------------------------
 
-    def save_predictions(self, predictions: DataFrame) -> None:
+    def save_predictions(self, predictions: DataFrame) -> DataFrame:
         (
             predictions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("model").parquet(self.path("predictions"))
         )
+        return self.spark.read.parquet(self.path("predictions"))
 
     # -- scaler, weights, configuration ---------------------------------------------------------
 

@@ -49,8 +49,9 @@ def test_training_leaves_its_artefacts(trained, spark):
     assert store.split().where("seed = 42").count() == 12
     assert training.recorded_plan(store) == plan
     split = {r["entity_id"]: r["split"] for r in store.split().collect()}
-    tested = {r["entity_id"] for r in store.read("predictions").select("entity_id").distinct().collect()}
+    tested = {r["entity_id"] for r in store.read("predictions").where("split = 'test'").select("entity_id").distinct().collect()}
     assert tested == {e for e, s in split.items() if s == "test"}
+    assert store.read("predictions").where("split = 'train'").isEmpty()
 
 
 def test_other_models_keep_their_metrics(trained, table):
