@@ -65,13 +65,14 @@ def pair_targets(
 
 
 def slice_rows(
-    paired: DataFrame, alpha: str = "alpha", reynolds: str = "reynolds", overall: bool = False,
+    df: DataFrame, alpha: str = "alpha", reynolds: str = "reynolds", overall: bool = False,
     regimes: Sequence[tuple[float, float, str]] = REGIMES,
 ) -> DataFrame:
     """One copy of each row per slice it belongs to: (dimension, value).
 
     Slices are the condition regime (rows outside all regimes have none), the Reynolds number and,
-    on request, the whole table. The copies are combined again before the shuffle.
+    on request, the whole table. The copies are combined again before the shuffle. Slice before
+    pairing: a label is then worked out once per row, not once per model and target.
     """
     def entry(dimension: str, value: Column) -> Column:
         return F.struct(F.lit(dimension).alias("dimension"), value.alias("value"))
@@ -83,9 +84,9 @@ def slice_rows(
     ]
     if overall:
         entries.append(entry("overall", F.lit("all")))
-    others = [c for c in paired.columns if c not in (alpha, reynolds)]
-    return paired.select(
-        *others, F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("_s")
+    others = [c for c in df.columns if c not in (alpha, reynolds)]
+    return df.select(*others, F.explode(F.array(*entries)).alias("_s")).where(
+        F.col("_s").isNotNull()
     ).select("_s.dimension", "_s.value", *others)
 
 
@@ -225,12 +226,13 @@ def drag_summary(
             F.abs(reference - estimate).alias("ratio_error"),
             F.greatest(F.abs(reference), F.lit(RATIO_FLOOR)).alias("ratio_scale"),
         ))
-    rows = df.select(alpha, reynolds, F.explode(F.array(*entries)).alias("_p")).select(
-        alpha, reynolds, "_p.*"
-    )
-    sliced = slice_rows(rows, alpha, reynolds, overall=True)
+    used = {"cl", "cd"} | {p[t] for p in models.values() for t in ("cl", "cd")}
+    sliced = slice_rows(df.select(alpha, reynolds, *sorted(used)), alpha, reynolds, overall=True)
+    rows = sliced.select(
+        "dimension", "value", F.explode(F.array(*entries)).alias("_p")
+    ).select("dimension", "value", "_p.*")
     e = _error()
-    return sliced.groupBy("model", "dimension", "value").agg(
+    return rows.groupBy("model", "dimension", "value").agg(
         F.avg(F.abs(e)).alias("mae"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
         determination(F.sum(e * e), F.var_pop("actual") * F.count("actual")).alias("r2"),

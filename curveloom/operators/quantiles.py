@@ -96,13 +96,10 @@ def exact_quantiles(
         rows = sizes.groups * len(wanted) * 2
         return F.broadcast(table) if rows <= MOST_BROADCAST_GROUPS else table
 
-    entries = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("_name"), F.col(column).cast("double").alias("_v"))
-        for i, (column, _) in enumerate(wanted.values())
-    ]))
-    long = df.select(*keys, entries.alias("_e")).select(*keys, "_e._name", "_e._v").where(
-        finite(F.col("_v"))
-    ).withColumn("_bucket", magnitude_bucket(F.col("_v")))
+    entries = F.posexplode(F.array(*[F.col(c).cast("double") for c, _ in wanted.values()]))
+    long = df.select(*keys, entries.alias("_name", "_v")).where(finite(F.col("_v"))).withColumn(
+        "_bucket", magnitude_bucket(F.col("_v"))
+    )
     q = F.get(F.array(*[F.lit(float(q)) for _, q in wanted.values()]), F.col("_name"))
 
     def counted(rows: DataFrame, columns: list[str]) -> DataFrame:

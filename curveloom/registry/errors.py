@@ -81,13 +81,13 @@ sliced AS (
     model, target, actual, predicted FROM paired)
 {percentage_sql("model, dimension, value", "sliced")}""")
 def regime_reynolds_slices(spark, folder):
-    rows = spread_obs(spark, folder)
-    measured = metrics.measure_groups(metrics.slice_rows(rows), ["dimension", "value"])
+    sliced = metrics.slice_rows(spread_obs(spark, folder))
+    measured = metrics.measure_groups(sliced, ["dimension", "value"])
     sizes = metrics.GroupSizes(measured.groups * 8, measured.largest)
-    paired = metrics.pair_targets(rows, MODELS, ["alpha", "reynolds"], ratio=True)
-    return rounded(metrics.percentage_metrics(
-        metrics.slice_rows(paired), ["model", "dimension", "value"], sizes=sizes
-    ))
+    paired = metrics.pair_targets(sliced, MODELS, ["dimension", "value"], ratio=True)
+    return rounded(
+        metrics.percentage_metrics(paired, ["model", "dimension", "value"], sizes=sizes)
+    )
 
 
 @book.add("regression_metrics", f"""
