@@ -113,8 +113,8 @@ WITH split AS (
   SELECT key, max(doc_id) AS last_doc FROM keyed WHERE length(key) >= 40
   GROUP BY key HAVING count(DISTINCT doc_id) >= 5
 )
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (last_doc <> doc_id) AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (last_doc IS NULL OR last_doc = doc_id), ''))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE last_doc <> doc_id) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE last_doc IS NULL OR last_doc = doc_id), ''))
     AS kept_sha256
 FROM keyed LEFT JOIN frequent USING (key) GROUP BY doc_id
 """
