@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curveloom.llm import lines, mixing, packing, simhash, tokens
+from curveloom.llm import (
+    language, lines, mixing, neighbours, packing, rules, secret_spans, simhash, tokens, urls,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,6 +30,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_language_id")
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents"))
+
+
 MIX_SQL = r"""
 WITH sizes AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
@@ -101,11 +108,52 @@ def source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_digest(table(spark, folder, "documents"))
 
 
+URL_SQL = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+), known AS (
+  SELECT *, regexp_replace(regexp_replace(host, ':[0-9]*$', ''), '^(www|m)\.', '')
+    || regexp_replace(regexp_replace(path, '\.html$', ''), '/+$', '') AS address,
+    string_split(host, '.') AS names FROM parts
+), listed AS (
+  SELECT DISTINCT address FROM known WHERE len(names) >= 3 AND address <> '' AND names[-3] IN
+    ('casino-win', 'ads-track', 'free-bets', 'spam-farm', 'cheap-pills', 'adult-x')
+), rules(host, path, verdict) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+    ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), fitting AS (
+  SELECT k.page_id, r.host || r.path AS rule, r.verdict, row_number() OVER (
+    PARTITION BY k.page_id ORDER BY length(r.host || r.path) DESC) AS n
+  FROM known k JOIN rules r ON (k.host = r.host OR ends_with(k.host, '.' || r.host)) AND starts_with(k.path, r.path)
+)
+SELECT k.page_id, k.host, k.path, f.rule,
+  coalesce(f.verdict, CASE WHEN l.address IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+  l.address IS NOT NULL AS listed
+FROM known k LEFT JOIN fitting f ON f.page_id = k.page_id AND f.n = 1 LEFT JOIN listed l ON l.address = k.address
+"""
+
+
+@query("op3_url_filter", URL_SQL)
+def url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return urls.judge_urls(pages, urls.listed_pages(pages))
+
+
+@query("op4_secret_spans")
+def secrets_found(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_spans.find_secrets(table(spark, folder, "documents"))
+
+
 LINES_SQL = r"""
 WITH split AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
 ), numbered AS (
-  SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS at FROM split
+  SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM split
 ), keyed AS (
   SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM numbered
@@ -114,7 +162,7 @@ WITH split AS (
   GROUP BY key HAVING count(DISTINCT doc_id) >= 5
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE last_doc <> doc_id) AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE last_doc IS NULL OR last_doc = doc_id), ''))
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE last_doc IS NULL OR last_doc = doc_id), ''))
     AS kept_sha256
 FROM keyed LEFT JOIN frequent USING (key) GROUP BY doc_id
 """
@@ -125,6 +173,11 @@ def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.line_digest(table(spark, folder, "documents"))
 
 
+@query("op6_nearest_vectors")
+def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest_vectors(table(spark, folder, "embeddings"))
+
+
 @query("op7_token_counts")
 def token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_counts(table(spark, folder, "documents"))
@@ -141,3 +194,8 @@ def simhash_components(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_packing")
 def packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
+
+
+@query("op10_quality_rules")
+def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.quality(table(spark, folder, "documents"))
