@@ -35,18 +35,22 @@ def pair_targets(
     keep: Sequence[str],
     targets: Sequence[str] = TARGETS,
     ratio: bool = False,
+    guarded: bool = True,
 ) -> DataFrame:
     """Long form (keep..., model, target, actual, predicted).
 
     ``models`` maps a model to its prediction column per target. With ``ratio`` the pair of cl/cd
-    is added as target ``ld``, NULL on rows where either drag is not usable.
+    is added as target ``ld``: guarded, it is NULL on rows where either drag is not usable; else
+    only where a drag is zero.
     """
     entries = []
     for model, predicted in models.items():
         for target in targets:
             entries.append((model, target, F.col(target), F.col(predicted[target])))
         if ratio:
-            usable = (F.col("cd") >= F.lit(SMALLEST_RATIO_DRAG)) & (F.col(predicted["cd"]) > 0)
+            usable = F.lit(True)
+            if guarded:
+                usable = (F.col("cd") >= F.lit(SMALLEST_RATIO_DRAG)) & (F.col(predicted["cd"]) > 0)
             entries.append((
                 model, RATIO,
                 F.when(usable, F.try_divide(F.col("cl"), F.col("cd"))),
@@ -213,13 +217,13 @@ def drag_summary(
 ) -> DataFrame:
     """Drag metrics and cl/cd errors per model: overall, by regime and by Reynolds number.
 
-    Rows whose cl/cd is not usable are left out of the ratio columns and counted.
+    The ratio errors take in every row, also with tiny or negative drag; only rows with a drag of
+    zero, which have no ratio, are left out of them and counted.
     """
     entries = []
     for model, predicted in models.items():
-        usable = (F.col("cd") >= F.lit(SMALLEST_RATIO_DRAG)) & (F.col(predicted["cd"]) > 0)
-        reference = F.when(usable, F.try_divide(F.col("cl"), F.col("cd")))
-        estimate = F.when(usable, F.try_divide(F.col(predicted["cl"]), F.col(predicted["cd"])))
+        reference = F.try_divide(F.col("cl"), F.col("cd"))
+        estimate = F.try_divide(F.col(predicted["cl"]), F.col(predicted["cd"]))
         entries.append(F.struct(
             F.lit(model).alias("model"), F.col("cd").alias("actual"),
             F.col(predicted["cd"]).alias("predicted"),
@@ -245,8 +249,8 @@ def drag_summary(
 def drag_error_by(
     df: DataFrame, by: str, models: dict[str, dict[str, str]]
 ) -> DataFrame:
-    """Mean drag and cl/cd error per value of a condition and model."""
-    paired = pair_targets(df, models, [by], targets=("cd",), ratio=True)
+    """Mean drag and cl/cd error per value of a condition and model, over all rows that have a ratio."""
+    paired = pair_targets(df, models, [by], targets=("cd",), ratio=True, guarded=False)
     e = F.abs(_error())
     return paired.groupBy("model", by).agg(
         F.avg(F.when(F.col("target") == "cd", e)).alias("cd_abs_error"),

@@ -66,7 +66,10 @@ obs AS (
   FROM obs0)"""
 
 
-def paired_sql(keep: str, targets: tuple[str, ...] = ("cl", "cd", "cm"), ratio: bool = False) -> str:
+def paired_sql(
+    keep: str, targets: tuple[str, ...] = ("cl", "cd", "cm"), ratio: bool = False,
+    guarded: bool = True,
+) -> str:
     keep = f"{keep}, " if keep else ""
     parts = []
     for m in ("a", "b"):
@@ -75,7 +78,7 @@ def paired_sql(keep: str, targets: tuple[str, ...] = ("cl", "cd", "cm"), ratio:
             for t in targets
         ]
         if ratio:
-            ok = f"cd >= 1e-4 AND cd_{m} > 0"
+            ok = f"cd >= 1e-4 AND cd_{m} > 0" if guarded else f"cd <> 0 AND cd_{m} <> 0"
             parts.append(
                 f"SELECT {keep}'{m}' AS model, 'ld' AS target, CASE WHEN {ok} THEN cl / cd END AS actual,"
                 f" CASE WHEN {ok} THEN cl_{m} / cd_{m} END AS predicted FROM obs"

@@ -94,6 +94,15 @@ def test_best_candidate_breaks_ties_by_number(spark):
     assert out == {"m": 0, "n": 3}
 
 
+def test_drag_ratios_take_in_small_and_negative_drag(spark):
+    rows = [(1.0, 1e5, 0.5, 0.01, 0.0, 0.5, -0.02, 0.0), (1.0, 1e5, 0.5, 5e-5, 0.0, 0.5, 1e-4, 0.0)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    out = {r["dimension"]: r for r in metrics.drag_summary(df, MODEL).collect()}["overall"]
+    assert out["n_ld_excluded"] == 0 and out["ld_mae"] == pytest.approx((75.0 + 5000.0) / 2)
+    by = metrics.drag_error_by(df, "alpha", MODEL).first()
+    assert by["ld_abs_error"] == pytest.approx((75.0 + 5000.0) / 2)
+
+
 def test_drag_summary_counts_unusable_ratios(spark):
     df = spark.createDataFrame([(1.0, 1e5, 0.5, 0.01, 0.0, 0.5, 0.02, 0.0), (1.0, 1e5, 0.5, 0.0, 0.0, 0.5, 0.02, 0.0)], COLUMNS)
     out = {r["dimension"]: r for r in metrics.drag_summary(df, MODEL).collect()}
