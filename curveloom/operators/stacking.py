@@ -6,7 +6,6 @@ Weights are a table (target, model, weight); the intercept is the pseudo-model `
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -59,26 +58,33 @@ def gram_table(
 
 
 def nonnegative_ridge(gram: np.ndarray, cross: np.ndarray, alpha: float) -> np.ndarray:
-    """Minimise w'Gw - 2c'w + alpha w'w over w >= 0 for a handful of models.
+    """Minimise w'Gw - 2c'w + alpha w'w over w >= 0 on the k x k sums of k models.
 
-    Every set of active weights is tried; the number of models is checked by the caller.
+    Active sets: the weight with the steepest descent joins the free ones; a step that would turn a
+    free weight negative stops at zero and fixes it there. Every round lowers the objective, so no
+    set comes twice and the rounds end at the one minimum.
     """
-    k = len(cross)
-    best, best_value = np.zeros(k), 0.0
-    for size in range(1, k + 1):
-        for chosen in combinations(range(k), size):
-            pick = np.ix_(chosen, chosen)
-            part = np.linalg.solve(gram[pick] + alpha * np.eye(size), cross[list(chosen)])
-            if (part < 0).any():
-                continue
-            value = float(part @ (gram[pick] + alpha * np.eye(size)) @ part - 2 * cross[list(chosen)] @ part)
-            if value < best_value:
-                best, best_value = np.zeros(k), value
-                best[list(chosen)] = part
-    return best
-
-
-MOST_MODELS = 12
+    matrix = gram + alpha * np.eye(len(cross))
+    weights = np.zeros(len(cross))
+    free = np.zeros(len(cross), bool)
+    slack = 1e-12 * max(1.0, float(np.abs(cross).max(initial=0.0)))
+    while True:
+        descent = np.where(free, -np.inf, cross - matrix @ weights)
+        steepest = int(descent.argmax())
+        if descent[steepest] <= slack:
+            return weights
+        free[steepest] = True
+        while True:
+            wanted = np.zeros(len(cross))
+            wanted[free] = np.linalg.solve(matrix[np.ix_(free, free)], cross[free])
+            falling = free & (wanted <= 0)
+            if not falling.any():
+                break
+            step = (weights[falling] / (weights[falling] - wanted[falling])).min()
+            weights = weights + step * (wanted - weights)
+            free &= weights > 1e-15
+            weights[~free] = 0.0
+        weights = wanted
 
 
 def fit_stacking(
@@ -90,8 +96,8 @@ def fit_stacking(
     One pass over ``df`` for all targets; the driver sees one row of sums per target.
     """
     models = list(predictions)
-    if not 1 <= len(models) <= MOST_MODELS:
-        raise ValueError(f"between 1 and {MOST_MODELS} models can be stacked")
+    if not models:
+        raise ValueError("stacking needs a model")
     aggregates = []
     for target, column in actual.items():
         used = [p[target] for p in predictions.values()]
@@ -137,22 +143,45 @@ def blend(
     return df.withColumns(blended)
 
 
+#: Weights a table may have to be broadcast; beyond that it is joined by a shuffle.
+MOST_BROADCAST_WEIGHTS = 100_000
+
+
 def blend_long(predictions: DataFrame, weights: DataFrame, row_keys: Sequence[str]) -> DataFrame:
     """Long form: (row keys, target, model, predicted) joined with the weights table."""
     shared = weights.where(F.col("model") != INTERCEPT)
     intercepts = weights.where(F.col("model") == INTERCEPT).select(
         "target", F.col("weight").alias("_intercept")
     )
+    table = shared.join(intercepts, "target", "left")
+    if weights.count() <= MOST_BROADCAST_WEIGHTS:
+        table = F.broadcast(table)
     return (
-        predictions.join(shared, ["target", "model"])
+        predictions.join(table, ["target", "model"])
         .groupBy(*row_keys, "target")
-        .agg(F.sum(F.col("weight") * F.col("predicted")).alias("_sum"))
-        .join(intercepts, "target", "left")
-        .select(*row_keys, "target",
-                (F.coalesce("_intercept", F.lit(0.0)) + F.col("_sum")).alias("predicted"))
+        .agg(
+            (F.sum(F.col("weight") * F.col("predicted")) + F.coalesce(F.max("_intercept"), F.lit(0.0)))
+            .alias("predicted")
+        )
     )
 
 
+def blend_rows(
+    df: DataFrame, weights: DataFrame, predictions: dict[str, dict[str, str]], keep: Sequence[str]
+) -> DataFrame:
+    """(keep, target, predicted) from wide rows and a weights table.
+
+    The weights, one a target and model, are applied inside the row: nothing is joined, regrouped or
+    shuffled, and rows need no key.
+    """
+    mixed = blend(df, weights_as_dict(weights), predictions, "_blend_")
+    pairs = F.array(*[
+        F.struct(F.lit(t).alias("target"), F.col(f"_blend_{t}").alias("predicted"))
+        for t in next(iter(predictions.values()))
+    ])
+    return mixed.select(*keep, F.explode(pairs).alias("_p")).select(*keep, "_p.target", "_p.predicted")
+
+
 def weighted_mean(
     df: DataFrame, targets: Sequence[str], predictions: dict[str, dict[str, str]],
     weights: Sequence[float] | None = None, prefix: str = "",

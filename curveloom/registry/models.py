@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -187,7 +186,7 @@ PLAN = TrainingPlan(
 
 
 def _store(spark) -> RunStore:
-    root = shared_folder(spark, fallback=tempfile.gettempdir())
+    root = shared_folder(spark)
     return RunStore(spark, f"{root}/curveloom-{spark.sparkContext.applicationId}-{spark.range(1).select(F.uuid()).first()[0]}")
 
 
@@ -311,18 +310,17 @@ def blend_fixed_weights(spark, folder):
     return mixed.select("l_orderkey", "entity_id", "alpha", *[f"blend_{t}" for t in TARGETS])
 
 
-@book.add("blend_by_weights_table", f"""WITH {OBS} SELECT entity_id, target, {r6("avg(predicted)", "mean_predicted")},
-  count(*) AS n FROM (
+@book.add("blend_by_weights_table", f"""WITH {OBS} SELECT entity_id, target,
+  CAST(round(sum(CAST(predicted AS DECIMAL(24, 12))), 6) AS DOUBLE) AS sum_predicted, count(*) AS n FROM (
   {" UNION ALL ".join(f"SELECT entity_id, '{t}' AS target, {_blend_term(t)} AS predicted FROM obs" for t in TARGETS)}
 ) b GROUP BY entity_id, target""")
 def blend_by_weights_table(spark, folder):
-    """Long form: predictions joined with the weights table, summed per row and target."""
-    keyed = obs(spark, folder).withColumn("row_key", F.monotonically_increasing_id())
-    long = metrics.pair_targets(keyed, MODELS, ["row_key", "entity_id"]).drop("actual")
-    blended = stacking.blend_long(long, weights_table(spark, WEIGHTS), ["row_key", "entity_id"])
-    return rounded(blended.groupBy("entity_id", "target").agg(
-        F.avg("predicted").alias("mean_predicted"), F.count(F.lit(1)).alias("n")
-    ))
+    """Weights looked up in a table by target and model; sums are exact decimals, so their rounding is too."""
+    blended = stacking.blend_rows(obs(spark, folder), weights_table(spark, WEIGHTS), MODELS, ["entity_id"])
+    exact = F.sum(F.col("predicted").cast("decimal(24,12)"))
+    return blended.groupBy("entity_id", "target").agg(
+        F.round(exact, 6).cast("double").alias("sum_predicted"), F.count(F.lit(1)).alias("n")
+    )
 
 
 @book.add("weighted_mean", f"""WITH {OBS} SELECT l_orderkey, entity_id, alpha,
