@@ -122,6 +122,10 @@ def regime_label(value: Column, regimes: Sequence[tuple[float, float, str]] = RE
     return label
 
 
+#: Intervals up to this number are broadcast, more are joined by a shuffle on the cell.
+MOST_BROADCAST_INTERVALS = 100_000
+
+
 def join_intervals(df: DataFrame, value: str, bounds: DataFrame, width: float) -> DataFrame:
     """Inner join of values to half-open intervals ``[low, high)`` held in a table.
 
@@ -132,6 +136,8 @@ def join_intervals(df: DataFrame, value: str, bounds: DataFrame, width: float) -
         F.floor(F.col("low") / F.lit(width)), F.floor(F.col("high") / F.lit(width))
     ))
     listed = bounds.withColumn("_cell", cells)
+    if bounds.count() <= MOST_BROADCAST_INTERVALS:
+        listed = F.broadcast(listed)
     return (
         df.withColumn("_cell", F.floor(F.col(value) / F.lit(width)))
         .join(listed, "_cell")
@@ -215,10 +221,23 @@ def orphans(df: DataFrame, catalog: DataFrame, id_column: str) -> DataFrame:
     return df.select(id_column).distinct().join(catalog.select(id_column), id_column, "left_anti")
 
 
-def require_catalogued(df: DataFrame, catalog: DataFrame, id_column: str, shown: int = 20) -> None:
-    missing = [r[0] for r in orphans(df, catalog, id_column).orderBy(id_column).limit(shown).collect()]
-    if missing:
-        raise ValueError(f"no catalog entry for: {missing}")
+class MissingEntities(ValueError):
+    """Entities that are not where they must be; ``table`` holds all of them, however many."""
+
+    def __init__(self, what: str, table: DataFrame) -> None:
+        self.table = table
+        self.n = table.count()
+        super().__init__(f"{what}: {self.n} entities, for example {table.first()[0]} (all are in .table)")
+
+
+def require_none(missing: DataFrame, what: str) -> None:
+    """Fail with the whole table of missing entities unless it is empty."""
+    if not missing.isEmpty():
+        raise MissingEntities(what, missing)
+
+
+def require_catalogued(df: DataFrame, catalog: DataFrame, id_column: str) -> None:
+    require_none(orphans(df, catalog, id_column), "no catalog entry")
 
 
 def sorted_distinct(df: DataFrame, column: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curveloom.functions.scalars import half_even
+from curveloom.operators.quality import require_none
 from curveloom.operators.ranking import rank_by_digest
 from curveloom.operators.skew import attach, find_hot_keys
 
@@ -20,7 +21,9 @@ TRAIN, VALIDATION, TEST = "train", "validation", "test"
 
 def _check_fractions(test_fraction: float, validation_fraction: float) -> None:
     if test_fraction <= 0 or validation_fraction <= 0 or test_fraction + validation_fraction >= 1:
-        raise ValueError("fractions must be positive and sum to less than one")
+        raise ValueError(
+            f"test and validation need a share each and must leave some to train on: {test_fraction}, {validation_fraction}"
+        )
 
 
 def _share(n: Column, fraction: float) -> Column:
@@ -57,9 +60,7 @@ def fixed_holdout_split(
     ids = df.select(F.col(id_column).cast("string").alias(id_column)).distinct()
     given = holdout.select(F.col(id_column).cast("string").alias(id_column)).distinct()
     if strict:
-        unknown = given.join(ids, id_column, "left_anti").orderBy(id_column).limit(20).collect()
-        if unknown:
-            raise ValueError(f"test entities not in the data: {[r[0] for r in unknown]}")
+        require_none(given.join(ids, id_column, "left_anti"), "held-out entities without rows")
     remaining = rank_by_digest(ids.join(given, id_column, "left_anti"), id_column, seed)
     n = F.col("n_ids")
     n_validation = _share(n, validation_fraction)
