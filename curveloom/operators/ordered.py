@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curveloom.operators.skew import HotKeys, cut_lineage, find_hot_keys
+from curveloom.operators.skew import HotKeys, cut_lineage, find_hot_keys, separate
 
 SAMPLES_PER_BLOCK = 40
 SPLITS_PER_LIST = 128
@@ -70,14 +70,16 @@ class OrderedRows:
         self.keys = list(keys)
         self.order = list(order)
         self.hot = find_hot_keys(df, keys) if hot is None else hot
+        self.cold: DataFrame | None = None
         if self.hot.any:
+            self.cold, hot_rows = separate(df, self.hot)
             # Read for the sample, for the block summary and for the rows themselves.
-            self.df = cut_lineage(df)
+            self.df = cut_lineage(hot_rows)
 
     def add(self, **wanted: Ordered) -> DataFrame:
-        if not self.hot.any:
+        if self.cold is None:
             return self._add_plain(self.df, self.keys, wanted)
-        return self._add_blocked(wanted)
+        return self._add_plain(self.cold, self.keys, wanted).unionByName(self._add_blocked(wanted))
 
     # -- one window partition per group ------------------------------------------------------
 
@@ -166,9 +168,7 @@ class OrderedRows:
         partition = [*self.keys, "_block"]
         columns = sorted({w.column for w in wanted.values() if w.column is not None})
         at = F.struct(*self.order)
-        summary = blocked.join(
-            F.broadcast(self.hot.table.select(*self.keys)), self.keys, "left_semi"
-        ).groupBy(*partition).agg(
+        summary = blocked.groupBy(*partition).agg(
             F.count(F.lit(1)).alias("_rows"),
             *[F.min_by(F.struct(c), at).alias(f"_first_{c}") for c in columns],
             *[F.max_by(F.struct(c), at).alias(f"_last_{c}") for c in columns],

@@ -1,8 +1,8 @@
 """Finding the few keys that are too large for one task, and joining around them.
 
-A key is *hot* when it holds more than a set share of all rows. Because the share is fixed, there
-can never be more than ``1 / share`` hot keys however large the data is, so the list of hot keys
-is small enough for the driver and for broadcasting; everything else uses ordinary shuffles.
+A key is *hot* when it holds more rows than a task should work on: a share of all rows, and never
+more than ``TASK_ROWS``, however large the table. A list of hot keys too long to be broadcast is
+joined by a shuffle; everything else uses ordinary shuffles.
 """
 
 from __future__ import annotations
@@ -13,11 +13,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curveloom.session import shared_folder
+
 # Keys below this many rows are never worth splitting, whatever their share.
 SMALLEST_HOT_KEY = 2_000_000
-# A hot key holds more than 1 / (4 * shuffle partitions) of the rows, but the list stays bounded.
+# A hot key holds more than 1 / (4 * shuffle partitions) of the rows, or more than a task's budget.
 HOT_KEYS_PER_PARTITION = 4
-MOST_HOT_KEYS = 20_000
+TASK_ROWS = 20_000_000
+# Up to this many hot keys are broadcast.
+MOST_BROADCAST_KEYS = 200_000
 
 
 @dataclass(frozen=True)
@@ -27,11 +31,16 @@ class HotKeys:
     keys: tuple[str, ...]
     rows_per_block: int
     table: DataFrame | None = None
+    few: bool = True
 
     @property
     def any(self) -> bool:
         return self.table is not None
 
+    def small(self, df: DataFrame) -> DataFrame:
+        """A table of one row a hot key, marked for broadcasting if the keys are few."""
+        return F.broadcast(df) if self.few else df
+
     def finer(self, keys: Sequence[str]) -> "HotKeys | None":
         """The same verdict for a key that refines this one; None (to be measured) when some are hot."""
         return None if self.any else HotKeys(tuple(keys), self.rows_per_block)
@@ -47,27 +56,37 @@ def find_hot_keys(
     totals = counts.agg(F.sum("n_rows").alias("total"), F.max("n_rows").alias("largest")).first()
     total, largest = totals["total"] or 0, totals["largest"] or 0
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = min(MOST_HOT_KEYS, HOT_KEYS_PER_PARTITION * max(1, partitions))
-    threshold = max(smallest, total // pieces)
+    pieces = HOT_KEYS_PER_PARTITION * max(1, partitions)
+    threshold = min(max(smallest, total // pieces), max(smallest, TASK_ROWS))
     if largest <= threshold:
         return HotKeys(keys, threshold)
-    # At most total / threshold <= pieces rows.
     hot = counts.where(F.col("n_rows") > F.lit(threshold))
-    table = spark.createDataFrame(hot.collect(), hot.schema)
-    return HotKeys(keys, threshold, table)
+    # Fewer than total / threshold keys can be hot.
+    few = total // threshold <= MOST_BROADCAST_KEYS
+    table = spark.createDataFrame(hot.collect(), hot.schema) if few else cut_lineage(hot)
+    return HotKeys(keys, threshold, table, few)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Keep ``df`` as files in the shared folder the cluster names in ``spark.checkpoint.dir``.
 
     For plans that read ``df`` more than once: without it every further step would repeat all
-    earlier ones. Where no such folder is set the plan is left as it is.
+    earlier ones.
     """
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", ""):
-        return df
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def separate(rows: DataFrame, hot: HotKeys) -> tuple[DataFrame, DataFrame]:
+    """Rows of ordinary keys, and rows of hot keys; null keys are never hot."""
+    keys = list(hot.keys)
+    hot_list = hot.small(hot.table.select(*keys))
+    return (
+        rows.join(hot_list, keys, "left_anti").select(*rows.columns),
+        rows.join(hot_list, keys, "left_semi").select(*rows.columns),
+    )
+
+
 def attach(rows: DataFrame, facts: DataFrame, hot: HotKeys, how: str = "inner") -> DataFrame:
     """Join one row of facts per key onto many rows per key.
 
@@ -77,12 +96,12 @@ def attach(rows: DataFrame, facts: DataFrame, hot: HotKeys, how: str = "inner")
     keys = list(hot.keys)
     if not hot.any:
         return rows.join(facts, keys, how)
-    hot_list = F.broadcast(hot.table.select(*keys))
+    hot_list = hot.small(hot.table.select(*keys))
     cold = rows.join(hot_list, keys, "left_anti").join(
         facts.join(hot_list, keys, "left_anti"), keys, how
     )
     split = rows.join(hot_list, keys, "left_semi").join(
-        F.broadcast(facts.join(hot_list, keys, "left_semi")), keys, how
+        hot.small(facts.join(hot_list, keys, "left_semi")), keys, how
     )
     return cold.unionByName(split)
 
@@ -91,15 +110,19 @@ def with_facts(rows: DataFrame, facts: dict[str, Column], hot: HotKeys) -> DataF
     """Add aggregates of each key to all its rows.
 
     Keys of ordinary size are window aggregates: consecutive steps on the same key then share one
-    shuffle and read the source once. With hot keys the aggregates are combined before the shuffle
-    and joined back.
+    shuffle and read the source once. Rows of hot keys are stored, aggregated before the shuffle and
+    met with their one row of facts.
     """
+    window = Window.partitionBy(*hot.keys)
+    over_windows = [c.over(window).alias(name) for name, c in facts.items()]
     if not hot.any:
-        window = Window.partitionBy(*hot.keys)
-        return rows.select("*", *[c.over(window).alias(name) for name, c in facts.items()])
-    rows = cut_lineage(rows)
-    per_key = rows.groupBy(*hot.keys).agg(*[c.alias(name) for name, c in facts.items()])
-    return attach(rows, per_key, hot)
+        return rows.select("*", *over_windows)
+    cold, hot_rows = separate(rows, hot)
+    hot_rows = cut_lineage(hot_rows)
+    per_key = hot_rows.groupBy(*hot.keys).agg(*[c.alias(name) for name, c in facts.items()])
+    return cold.select("*", *over_windows).unionByName(
+        hot_rows.join(hot.small(per_key), list(hot.keys)).select(*rows.columns, *facts)
+    )
 
 
 def reasons(rows: DataFrame, keys: Sequence[str], reason: str = "reason") -> DataFrame:

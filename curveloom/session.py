@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -24,14 +26,22 @@ def build_session(
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
+_own_folders: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
     """Folder for checkpoints and intermediate tables that every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. ``fallback`` is for tests on one machine.
+    The cluster names it in ``spark.checkpoint.dir``. Where it is unset and all runs in one process,
+    as in tests, a temporary folder is used; on a cluster that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", "") or ""
     if configured:
         return configured
-    if fallback is None:
+    context = spark.sparkContext
+    if not (context.master == "local" or context.master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return fallback
+    if context.applicationId not in _own_folders:
+        _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(_own_folders[context.applicationId])
+    return _own_folders[context.applicationId]

@@ -33,10 +33,13 @@ def test_ordered_values_match_pandas(skewed, smallest):
 def test_hot_group_is_cut_into_blocks(skewed):
     hot = find_hot_keys(skewed, ["curve"], smallest=50)
     assert [r["curve"] for r in hot.table.collect()] == ["big"]
-    blocks = OrderedRows(skewed, ["curve"], ["t", "id"], hot)._with_blocks()
+    ordered = OrderedRows(skewed, ["curve"], ["t", "id"], hot)
+    blocks = ordered._with_blocks()
     sizes = blocks.where("curve = 'big'").groupBy("_block").count().toPandas()["count"]
     assert len(sizes) > 8 and sizes.max() < 300
-    assert blocks.where("curve <> 'big'").select("_block").distinct().count() == 1
+    # Only hot rows are stored and cut; the others stay as they are.
+    assert blocks.where("curve <> 'big'").isEmpty()
+    assert {r["curve"] for r in ordered.cold.select("curve").distinct().collect()} == {"mid", "one"}
 
 
 def test_no_hot_keys_without_large_groups(skewed):
