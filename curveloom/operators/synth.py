@@ -98,7 +98,11 @@ def covariance_factor(parents: DataFrame, vector: str, size: int = N_COEFFICIENT
 
 
 def numbered_parents(parents: DataFrame, id_column: str, vector: str) -> DataFrame:
-    """(parent_no from 1, n_parents, vector), numbered independently of the partitioning."""
+    """(parent_no from 1, n_parents, vector), numbered independently of the partitioning.
+
+    An id that occurs more than once is one parent, with the smallest of its vectors.
+    """
+    parents = parents.groupBy(id_column).agg(F.min(vector).alias(vector))
     ranks = rank_by_digest(parents, id_column, 0, "parents")
     return parents.select(id_column, vector).join(ranks, id_column).select(
         F.col("position").alias("parent_no"), F.col("n_ids").alias("n_parents"),

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curveloom.functions.scalars import cosine_stations, file_stem
+from curveloom.functions.scalars import cosine_stations
 from curveloom.operators.curves import detect_branches, outline_is_valid, resample_outline
 from curveloom.operators.quality import (
     POLAR_COLUMNS, enforce, polar_rules, require_catalogued, require_columns,
@@ -56,18 +56,36 @@ def outlines_from_texts(
     return outlines, rejected(parsed, ["entity_id"]).unionByName(unusable)
 
 
+def coordinate_texts(entities: DataFrame, texts: DataFrame) -> DataFrame:
+    """(entity_id, text): one text of each entity that has any, from ``texts`` (path, text).
+
+    A file belongs to the entity its name spells, in either case, with ``.dat``, ``.txt`` or nothing
+    behind it; of several the first in this order is taken, then the first path.
+    """
+    name = F.lower(F.element_at(F.split("path", "/"), -1))
+    endings = {".dat": 0, ".txt": 1}
+    candidates = [
+        F.struct(F.regexp_replace(name, rf"\{ending}$", "").alias("stem"), F.lit(place).alias("place"))
+        for ending, place in endings.items()
+    ]
+    entries = F.filter(
+        F.array(*candidates, F.struct(name.alias("stem"), F.lit(2).alias("place"))),
+        lambda c: (c["place"] == 2) | (c["stem"] != name),
+    )
+    named = texts.select("path", "text", F.explode(entries).alias("_c"))
+    wanted = entities.select("entity_id").distinct()
+    return wanted.join(named, F.lower("entity_id") == F.col("_c.stem")).groupBy("entity_id").agg(
+        F.min_by("text", F.struct("_c.place", "path")).alias("text")
+    )
+
+
 def load_dataset(
     spark: SparkSession, polar_csv: str, coordinates: str, n_points: int = 100,
     strict: bool = True,
 ) -> CurveDataset:
     """Polars from CSV, outlines from a folder with one coordinate file per entity."""
     polars = read_csv(spark, polar_csv, POLAR_SCHEMA)
-    texts = read_texts(spark, coordinates).select(file_stem(F.col("path")).alias("entity_id"), "text")
-    wanted = polars.select("entity_id").distinct()
-    matched = wanted.join(
-        texts.withColumnRenamed("entity_id", "_stem"),
-        F.lower("entity_id") == F.col("_stem"),
-    ).select("entity_id", "text")
+    matched = coordinate_texts(polars.select("entity_id"), read_texts(spark, coordinates))
     outlines, rejects = outlines_from_texts(matched, n_points)
     dataset = CurveDataset(polars, outlines, rejects)
     return dataset.validate() if strict else dataset

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from curveloom.operators.models import ModelConfig
 from curveloom.operators.synth import sentinel_rows
-from curveloom.plans import assembly, prediction, training
+from curveloom.plans import assembly, dataset, prediction, training
 from curveloom.sources import tables
 from curveloom.sources.store import RunStore, merge_by_key
 from curveloom.streaming.incremental import process_new_files, processed_rows
@@ -200,6 +200,35 @@ def test_dataset_of_polars_and_outlines(spark, tmp_path):
         load_dataset(spark, f"{tmp_path}/bad", str(folder))
 
 
+def test_one_file_of_an_entity_is_read(spark):
+    texts = spark.createDataFrame([
+        ("/s/A.txt", "second"), ("/s/a.DAT", "first"), ("/s/b", "plain"), ("/s/b.txt", "text"), ("/s/c.d", "odd"),
+        ("/s/c.d.dat", "data"), ("/s/x.dat", "none")], "path string, text string")
+    wanted = spark.createDataFrame([("a",), ("B",), ("c.d",), ("a",), ("zz",)], "entity_id string")
+    got = dataset.coordinate_texts(wanted, texts).collect()
+    assert sorted(map(tuple, got)) == [("B", "text"), ("a", "first"), ("c.d", "data")]
+
+
+def test_last_curve_of_a_rounded_condition_is_used(solved, spark):
+    cases, returned, samples = solved
+    first = samples.where("alpha < 1").withColumns({"alpha": F.col("alpha") + 0.0001, "theta": F.col("theta") * 3})
+    done = assembly.assemble_training_rows(cases, returned, samples.unionByName(first))
+    rows = {(r["entity_id"], r["alpha"]): r for r in done.rows.collect()}
+    np.testing.assert_allclose(rows["TRAIN_000000", 0.0]["upper_bl_theta"], [0.3 * (i + 0.5) / 32 for i in range(32)], atol=1e-12)
+    np.testing.assert_allclose(rows["TRAIN_000000", 5.0]["upper_bl_theta"], [0.1 * (i + 0.5) / 32 for i in range(32)], atol=1e-12)
+
+
+def test_first_run_may_resume_and_an_empty_build_shows_failures(solved, spark, tmp_path):
+    cases, returned, samples = solved
+    record = assembly.build_dataset(spark, f"{tmp_path}/a", cases, returned, samples, resume=True, n_buckets=4, catalog_size=3).first()
+    settings = json.loads(record["settings"])
+    assert (settings["requested_cases"], settings["catalog_size"], settings["vector_size"]) == (3, 3, 222)
+    by_case = {r["entity_id"]: r for r in spark.read.parquet(f"{tmp_path}/a/failures_by_case").collect()}
+    assert by_case["TRAIN_000001"]["n_failures"] == 1
+    with pytest.raises(RuntimeError, match="TRAIN_000000.*not returned"):
+        assembly.build_dataset(spark, f"{tmp_path}/b", cases, returned.where("false"), samples, n_buckets=4)
+
+
 def test_table_formats_round_trip(spark, tmp_path):
     polar = spark.createDataFrame([("a", 1.0, 1e5, 0.0, 0.5, 0.01, -0.1)], tables.POLAR_SCHEMA)
     tables.write_table(polar, f"{tmp_path}/csv", "csv")
