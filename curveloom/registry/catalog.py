@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from curveloom.registry import curves, entities, errors, models
+from curveloom.registry import curves, entities, errors, jobs, models
 from curveloom.registry.book import Query
 
-BOOKS = (errors, entities, curves, models)
+BOOKS = (errors, entities, curves, models, jobs)
 
 
 def all_queries() -> dict[str, Query]:

@@ -185,7 +185,7 @@ PLAN = TrainingPlan(
 )
 
 
-def _store(spark) -> RunStore:
+def runrun_store(spark) -> RunStore:
     root = shared_folder(spark)
     return RunStore(spark, f"{root}/curveloom-{spark.sparkContext.applicationId}-{spark.range(1).select(F.uuid()).first()[0]}")
 
@@ -199,18 +199,18 @@ def _training_rows(spark, folder):
 
 @book.add("forest_scores")
 def forest_scores(spark, folder):
-    return train(_training_rows(spark, folder), _store(spark), PLAN, LIGHT, ["random_forest"])
+    return train(_training_rows(spark, folder), run_store(spark), PLAN, LIGHT, ["random_forest"])
 
 
 @book.add("boosted_scores")
 def boosted_scores(spark, folder):
-    return train(_training_rows(spark, folder), _store(spark), PLAN, LIGHT, ["boosting"])
+    return train(_training_rows(spark, folder), run_store(spark), PLAN, LIGHT, ["boosting"])
 
 
 @book.add("train_and_stack")
 def train_and_stack(spark, folder):
     """Ridge and forest trained, then blended on validation entities; metrics on test entities."""
-    rows, store = _training_rows(spark, folder), _store(spark)
+    rows, store = _training_rows(spark, folder), run_store(spark)
     train(rows, store, PLAN, LIGHT, ["ridge", "random_forest"])
     return stack(rows, store, ["ridge", "random_forest"])
 
