@@ -185,7 +185,7 @@ PLAN = TrainingPlan(
 )
 
 
-def runrun_store(spark) -> RunStore:
+def run_store(spark) -> RunStore:
     root = shared_folder(spark)
     return RunStore(spark, f"{root}/curveloom-{spark.sparkContext.applicationId}-{spark.range(1).select(F.uuid()).first()[0]}")
 
