@@ -27,11 +27,6 @@ def abs_error(actual: Column, predicted: Column) -> Column:
     return F.abs(actual - predicted)
 
 
-def floored_relative_error(actual: Column, predicted: Column, floor: Column | float) -> Column:
-    floor = floor if isinstance(floor, Column) else F.lit(float(floor))
-    return abs_error(actual, predicted) / F.greatest(F.abs(actual), floor)
-
-
 def guarded_ratio(numerator: Column, denominator: Column, above: float = 1e-9) -> Column:
     """Ratio, NULL unless the denominator is larger than ``above``."""
     return F.when(denominator > F.lit(above), numerator / denominator)
@@ -108,7 +103,7 @@ def inclusive_sweep(start: Column, stop: Column, step: Column) -> Column:
 def cosine_stations(n: int) -> list[float]:
     """``n`` stations on [0, 1], dense at both ends."""
     if n < 4:
-        raise ValueError("n_points must be at least 4")
+        raise ValueError(f"an outline needs four stations or more, not {n}")
     return [0.5 * (1.0 - math.cos(math.pi * i / (n - 1))) for i in range(n)]
 
 
@@ -124,14 +119,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
-def vector_sum(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x + y)
-
-
-def scaled_vector(a: Column, factor: Column) -> Column:
-    return F.transform(a, lambda x: x * factor)
-
-
 def convex_weights(cuts: Column) -> Column:
     """Cut points in (0, 1) to the lengths of the pieces; one more than the cuts, sum 1."""
     edges = F.concat(F.array(F.lit(0.0)), F.array_sort(cuts), F.array(F.lit(1.0)))

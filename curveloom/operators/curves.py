@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from curveloom.functions.scalars import (
     all_finite, clip, double_text, finite, half_even, literal_array,
-    null_unless_finite, ratio_or_null,
+    null_unless_finite,
 )
 from curveloom.operators.ordered import OrderedRows, following, number, previous
 from curveloom.operators.skew import HotKeys, find_hot_keys, reasons, with_facts
@@ -107,9 +107,9 @@ def split_by_step_sign(
     n_lower = F.col("_last") + 1 - F.col("_first_up")
     reason = F.when(
         F.col("_last_down").isNull() | F.col("_first_up").isNull(),
-        F.lit("could not identify upper/lower surfaces"),
+        F.lit("the curve does not turn into two sides"),
     ).when(
-        (n_upper < shortest) | (n_lower < shortest), F.lit("surface data is too short")
+        (n_upper < shortest) | (n_lower < shortest), F.lit("one side of the curve has too few samples")
     )
     checked = turned.withColumn("reason", reason)
     rows = _labelled(
@@ -139,11 +139,11 @@ def split_at_minimum(
         lowest, {"_nose": F.min(F.when(F.col(x) == F.col("_low"), F.col(ordinal)))}, hot
     )
     reason = F.when(
-        F.col("_finite") < fewest_finite, F.lit("x data is too short")
+        F.col("_finite") < fewest_finite, F.lit("the curve has too few samples")
     ).when(
         (F.col("_nose") + 1 - F.col("_first") < shortest)
         | (F.col("_last") + 1 - F.col("_nose") < shortest),
-        F.lit("surface data is too short"),
+        F.lit("one side of the curve has too few samples"),
     )
     checked = nosed.withColumn("reason", reason)
     rows = _labelled(
@@ -267,7 +267,7 @@ def resample(
         ))).alias("_cells"),
     )
     rejected = gathered.where(F.col("_n") < fewest).select(
-        *keys, F.lit("too few distinct points").alias("reason")
+        *keys, F.lit("not enough different abscissas on one side").alias("reason")
     )
 
     def neighbours(station: Column, i: Column) -> Column:
@@ -377,12 +377,6 @@ def sweep_position(value: Column) -> Column:
     )
 
 
-def shape_factor(displacement: Column, momentum: Column) -> Column:
-    return ratio_or_null(displacement, momentum)
-
-
 def thousandths(value: Column) -> Column:
     """Integer key of a condition rounded to three decimals."""
     return half_even(value * 1000)
-
-

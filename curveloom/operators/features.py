@@ -105,10 +105,6 @@ class Scaler:
         })
 
 
-def log_condition(df: DataFrame, reynolds: str) -> DataFrame:
-    return df.withColumn(reynolds, F.log10(F.col(reynolds)))
-
-
 # -- labels -------------------------------------------------------------------------------------
 
 

@@ -22,6 +22,7 @@ class ModelConfig:
     forest_min_leaf: int = 5
     forest_depth: int = 14
     forest_features: str = "0.8"
+    forest_bootstrap: bool = True
     boosting_rounds: int = 250
     boosting_rate: float = 0.1
     boosting_depth: int = 7
@@ -39,7 +40,7 @@ def select_models(only: Sequence[str] | None = None) -> list[str]:
         return list(MODEL_NAMES)
     unknown = sorted(set(only) - set(MODEL_NAMES))
     if unknown:
-        raise ValueError(f"unknown model names: {unknown}; available: {sorted(MODEL_NAMES)}")
+        raise ValueError(f"no model is called {unknown}; there are {list(MODEL_NAMES)}")
     return [name for name in MODEL_NAMES if name in only]
 
 
@@ -95,7 +96,7 @@ def _estimator(name: str, config: ModelConfig, n_rows: int, label_std: float):
         return RandomForestRegressor(
             numTrees=config.forest_trees, minInstancesPerNode=config.forest_min_leaf,
             maxDepth=config.forest_depth, featureSubsetStrategy=config.forest_features,
-            seed=config.seed, **common,
+            bootstrap=config.forest_bootstrap, seed=config.seed, **common,
         )
     return GBTRegressor(
         maxIter=config.boosting_rounds, stepSize=config.boosting_rate,

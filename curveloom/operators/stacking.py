@@ -190,7 +190,7 @@ def weighted_mean(
     models = list(predictions)
     weights = [1.0] * len(models) if weights is None else list(weights)
     if len(weights) != len(models):
-        raise ValueError("weights must have the same length as the models")
+        raise ValueError(f"{len(models)} models, but {len(weights)} weights")
     means = {}
     for target in targets:
         total = F.lit(0.0)

@@ -33,7 +33,7 @@ def query_rows(shapes: DataFrame, conditions: dict[str, float | Sequence[float]]
     return rows.withColumn(
         "Re",
         F.when(F.col("Re") > 0, F.col("Re")).otherwise(
-            F.raise_error(F.lit("Reynolds number must be positive"))
+            F.raise_error(F.lit("a condition has a Reynolds number of zero or below"))
         ),
     )
 

@@ -148,7 +148,9 @@ def train(
     split = store.save_split(split, plan.seed).drop("seed")
 
     used = [plan.entity, *plan.features, *plan.targets]
-    labelled = label_rows(df.select(*used), split, plan.entity)
+    # What identifies a row in the stored predictions; rows that agree in everything share it.
+    keyed = df.select(*used, F.xxhash64(*used).alias("row_key"))
+    labelled = label_rows(keyed, split, plan.entity)
     # The derived features are read by every fit, so they are kept as a table of the run.
     rows = store.write("training_rows", labelled)
     training = rows.where(F.col("split") == TRAIN)
@@ -169,7 +171,8 @@ def train(
         columns = prediction_columns([name], plan.targets)
         scored = predict_physical(evaluated, model, scaler, plan, f"{name}__")
         conditions = [c for c in CONDITION_COLUMNS if c in plan.features]
-        paired = pair_targets(scored, columns, ["split", plan.entity, *conditions], plan.targets)
+        kept = ["split", "row_key", plan.entity, *conditions]
+        paired = pair_targets(scored, columns, kept, plan.targets)
         predictions.append(paired)
     store.write("history", combine(histories))
     # Rows are scored once, on their way into the predictions table; metrics read that table.
@@ -315,11 +318,3 @@ def search(
         found, "model string, candidate int, settings string, score double"
     )
     return scores, best_candidates(scores, ["model"], "candidate")
-
-
-def sound_labels(df: DataFrame, targets: Sequence[str]) -> DataFrame:
-    """Rows whose labels are all finite."""
-    keep = F.lit(True)
-    for t in targets:
-        keep = keep & finite(F.col(t))
-    return df.where(keep)

@@ -76,7 +76,7 @@ def split_by_step_sign(spark, folder):
 
 @book.add("split_rejects", f"""
 WITH {STEP_SIGN} SELECT curve_id, CASE WHEN down IS NULL OR up IS NULL
-  THEN 'could not identify upper/lower surfaces' ELSE 'surface data is too short' END AS reason
+  THEN 'the curve does not turn into two sides' ELSE 'one side of the curve has too few samples' END AS reason
 FROM (SELECT curve_id, down, up, n FROM turn) t
 WHERE down IS NULL OR up IS NULL OR down + 1 < 30 OR n + 1 - up < 30""")
 def split_rejects(spark, folder):

@@ -76,8 +76,8 @@ def training_rows(spark, folder):
 _FAILED = f"""{_REQUESTS}, failed AS (SELECT CAST(curve_id AS VARCHAR) AS entity_id, alpha,
   CASE WHEN alpha > 0 AND curve_id % 2 = 1 THEN 'condition 2.500: not returned'
     WHEN alpha > 0 AND curve_id % 4 = 2 THEN 'no curve was produced'
-    WHEN down IS NULL OR up IS NULL THEN 'could not identify upper/lower surfaces'
-    WHEN down + 1 < 5 OR n + 1 - up < 5 THEN 'surface data is too short' END AS reason
+    WHEN down IS NULL OR up IS NULL THEN 'the curve does not turn into two sides'
+    WHEN down + 1 < 5 OR n + 1 - up < 5 THEN 'one side of the curve has too few samples' END AS reason
   FROM asked JOIN turn USING (curve_id))"""
 
 

@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 
 from curveloom.functions.scalars import guarded_ratio, inclusive_sweep, numbered_id
 from curveloom.functions.shape import DESCRIPTOR_COLUMNS, STATIONS
-from curveloom.operators import features, metrics, stacking
+from curveloom.operators import features, stacking
 from curveloom.operators.dense import LAYER_SCHEMA, load_layers, score_dense
 from curveloom.operators.matching import broadcast_conditions, sweep
 from curveloom.operators.models import ModelConfig, fit_models, ridge_coefficients
 from curveloom.operators.quality import envelope_flags, fill_conditions
 from curveloom.operators.synth import SamplingConfig, explode_conditions, operating_points, sample_shapes
-from curveloom.plans.training import SHAPE_FEATURES, TrainingPlan, flatten_shapes, stack, train
+from curveloom.plans.training import (
+    SHAPE_FEATURES, TrainingPlan, evaluate, flatten_shapes, stack, train,
+)
 from curveloom.registry.book import Book, r6, rounded
+from curveloom.registry.entities import SPLIT
 from curveloom.registry.views import MODELS, OBS, VEC, obs, spread_obs, table, vec, vec18
 from curveloom.session import shared_folder
 from curveloom.sources.store import RunStore, weights_table
@@ -178,13 +181,67 @@ def ridge(spark, folder):
     return rounded(ridge_coefficients(fitted, rows))
 
 
-LIGHT = ModelConfig(forest_trees=20, forest_depth=6, boosting_rounds=20, boosting_depth=4)
+# Trees of one split over a feature of few values: SQL finds the same split by least squares.
+STUMPS = ModelConfig(
+    forest_trees=1, forest_depth=1, forest_min_leaf=1, forest_features="all", forest_bootstrap=False,
+    boosting_rounds=1, boosting_depth=1,
+)
 PLAN = TrainingPlan(
-    features=("alpha", "reynolds", "l_suppkey", "l_partkey"), targets=TARGETS,
-    reynolds="reynolds", drag="cd", log_drag=True,
+    features=("reynolds",), targets=TARGETS, reynolds="reynolds", drag="cd", log_drag=True,
 )
 
 
+def _labels_sql(extra: str = "") -> str:
+    """Rows with their part of the split and the label a model is fitted on."""
+    parts = " UNION ALL ".join(
+        f"SELECT entity_id, split, reynolds, log10(reynolds) AS x, '{t}' AS target, {t} AS actual, "
+        + ("ln(greatest(cd, 1e-6))" if t == "cd" else t) + " AS label FROM obs JOIN split USING (entity_id)"
+        for t in TARGETS)
+    return f"""WITH {OBS}, {SPLIT}, lab AS ({parts}){extra}"""
+
+
+def _stump_sql(fitted: str) -> str:
+    """The split with the least squared error over rows that meet ``fitted``, and what it predicts."""
+    return f""", per AS (SELECT target, reynolds, count(*) AS n, sum(label) AS s FROM lab WHERE {fitted} GROUP BY ALL),
+cuts AS (SELECT a.target, a.reynolds AS cut, sum(b.n) FILTER (WHERE b.reynolds <= a.reynolds) AS nl,
+    sum(b.s) FILTER (WHERE b.reynolds <= a.reynolds) AS sl, sum(b.n) FILTER (WHERE b.reynolds > a.reynolds) AS nr,
+    sum(b.s) FILTER (WHERE b.reynolds > a.reynolds) AS sr
+  FROM per a JOIN per b USING (target) GROUP BY a.target, a.reynolds),
+best AS (SELECT target, cut, sl / nl AS low, sr / nr AS high FROM cuts WHERE nr > 0
+  QUALIFY row_number() OVER (PARTITION BY target ORDER BY sl * sl / nl + sr * sr / nr DESC) = 1),
+stump AS (SELECT lab.*, CASE WHEN reynolds <= cut THEN low ELSE high END AS fit FROM lab JOIN best USING (target)),
+stumped AS (SELECT *, CASE WHEN target = 'cd' THEN exp(fit) ELSE fit END AS predicted FROM stump)"""
+
+
+def _scores_sql(model: str, source: str, by: str) -> str:
+    e = "(actual - predicted)"
+    sst = "var_pop(actual) * count(actual)"
+    return f"""SELECT '{model}' AS model, {by}, {r6(f"avg(abs{e})", "mae")}, {r6(f"sqrt(avg({e} * {e}))", "rmse")},
+  {r6(f"CASE WHEN {sst} > 0 THEN 1 - sum({e} * {e}) / ({sst}) WHEN sum({e} * {e}) = 0 THEN 1 ELSE 0 END", "r2")}
+FROM {source} GROUP BY {by}"""
+
+
+_STOPPING = "('0x' || substr(md5('42|' || entity_id || '|stopping|0'), 1, 13))::BIGINT + 0.5e0 < 0.1e0 * 4503599627370496.0e0"
+# Ridge on one scaled input: the slope is the sum of products over the rows and the penalty.
+_RIDGE = """, scale AS (SELECT target, avg(x) AS mx, stddev_pop(x) AS sx, avg(label) AS my, stddev_pop(label) AS sy,
+  count(*) AS n, covar_pop(x, label) AS c FROM lab WHERE split = 'train' GROUP BY target),
+line AS (SELECT lab.*, my + sy * (c * n / (sx * sy)) / (n + 1.0e0) * (x - mx) / sx AS fit FROM lab JOIN scale USING (target)),
+ridged AS (SELECT *, CASE WHEN target = 'cd' THEN exp(fit) ELSE fit END AS predicted FROM line)"""
+# Non-negative weights of two models: both if neither is negative, else the better of one alone.
+_STACK = """, both_all AS (SELECT split, target, actual, a.predicted AS p1, b.predicted AS p2 FROM (
+    SELECT *, row_number() OVER (PARTITION BY entity_id, target ORDER BY actual, reynolds) AS r FROM ridged) a JOIN (
+    SELECT *, row_number() OVER (PARTITION BY entity_id, target ORDER BY actual, reynolds) AS r FROM stumped) b
+    USING (entity_id, target, r, split, actual)),
+sums AS (SELECT target, avg(p1) AS m1, avg(p2) AS m2, avg(actual) AS my, covar_pop(p1, p1) * count(*) + 1 AS g11,
+  covar_pop(p1, p2) * count(*) AS g12, covar_pop(p2, p2) * count(*) + 1 AS g22, covar_pop(p1, actual) * count(*) AS c1,
+  covar_pop(p2, actual) * count(*) AS c2 FROM both_all WHERE split = 'validation' GROUP BY target),
+solved AS (SELECT *, (c1 * g22 - c2 * g12) / (g11 * g22 - g12 * g12) AS u1, (c2 * g11 - c1 * g12) / (g11 * g22 - g12 * g12) AS u2 FROM sums),
+weights AS (SELECT *, CASE WHEN u1 >= 0 AND u2 >= 0 THEN u1 WHEN greatest(c1, 0) ^ 2 / g11 >= greatest(c2, 0) ^ 2 / g22 THEN greatest(c1, 0) / g11 ELSE 0 END AS w1,
+  CASE WHEN u1 >= 0 AND u2 >= 0 THEN u2 WHEN greatest(c1, 0) ^ 2 / g11 >= greatest(c2, 0) ^ 2 / g22 THEN 0 ELSE greatest(c2, 0) / g22 END AS w2 FROM solved),
+stacked AS (SELECT target, actual, my - w1 * m1 - w2 * m2 + w1 * p1 + w2 * p2 AS predicted
+  FROM both_all JOIN weights USING (target) WHERE split = 'test')"""
+
+
 def run_store(spark) -> RunStore:
     root = shared_folder(spark)
     return RunStore(spark, f"{root}/curveloom-{spark.sparkContext.applicationId}-{spark.range(1).select(F.uuid()).first()[0]}")
@@ -197,22 +254,32 @@ def _training_rows(spark, folder):
     )
 
 
-@book.add("forest_scores")
+@book.add("forest_scores", _labels_sql(_stump_sql("split = 'train'"))
+          + _scores_sql("random_forest", "stumped WHERE split <> 'train'", "split, target"))
 def forest_scores(spark, folder):
-    return train(_training_rows(spark, folder), run_store(spark), PLAN, LIGHT, ["random_forest"])
+    return rounded(train(_training_rows(spark, folder), run_store(spark), PLAN, STUMPS, ["random_forest"]))
 
 
-@book.add("boosted_scores")
+@book.add("boosted_scores", _labels_sql(_stump_sql(f"split = 'train' AND NOT ({_STOPPING})"))
+          + _scores_sql("boosting", "stumped WHERE split <> 'train'", "split, target"))
 def boosted_scores(spark, folder):
-    return train(_training_rows(spark, folder), run_store(spark), PLAN, LIGHT, ["boosting"])
+    return rounded(train(_training_rows(spark, folder), run_store(spark), PLAN, STUMPS, ["boosting"]))
 
 
-@book.add("train_and_stack")
+@book.add("train_and_stack", _labels_sql(_stump_sql("split = 'train'") + _RIDGE + _STACK) + _scores_sql("stack", "stacked", "target"))
 def train_and_stack(spark, folder):
     """Ridge and forest trained, then blended on validation entities; metrics on test entities."""
     rows, store = _training_rows(spark, folder), run_store(spark)
-    train(rows, store, PLAN, LIGHT, ["ridge", "random_forest"])
-    return stack(rows, store, ["ridge", "random_forest"])
+    train(rows, store, PLAN, STUMPS, ["ridge", "random_forest"])
+    return rounded(stack(rows, store, ["ridge", "random_forest"]))
+
+
+@book.add("saved_model_scores", _labels_sql(_RIDGE) + _scores_sql("ridge", "ridged WHERE split = 'test'", "target"))
+def saved_model_scores(spark, folder):
+    """A model trained, saved and loaded again, scored on the test entities on record."""
+    rows, store = _training_rows(spark, folder), run_store(spark)
+    train(rows, store, PLAN, STUMPS, ["ridge"])
+    return rounded(evaluate(rows, store, "ridge"))
 
 
 HIDDEN = [[((o * 7 + i * 3) % 11 - 5) / 10 for i in range(18)] for o in range(6)]

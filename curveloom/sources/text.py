@@ -115,7 +115,7 @@ def parse_dump(df: DataFrame, keys: Sequence[str], text: str = "text") -> tuple[
     """
     parsed = df.withColumn("_rows", parse_lines(F.col(text), DUMP_FIELDS, specials=True))
     reason = F.when(F.col(text).isNull(), F.lit("text is missing")).when(
-        F.size("_rows") < FEWEST_ROWS, F.lit("too few data points")
+        F.size("_rows") < FEWEST_ROWS, F.lit("the text has not enough rows")
     )
     checked = parsed.withColumn("reason", reason)
     infinity = F.lit(float("inf"))

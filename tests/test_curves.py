@@ -87,7 +87,7 @@ def test_step_sign_rule_shares_the_turning_rows(spark):
     monotone = _rows(spark, m=[(x, 0) for x in range(9)], s=[(1, 0), (0, 0), (1, 0)])
     _, rejected = curves.split_by_step_sign(monotone, ["curve"], "x", "ord")
     assert {r["curve"]: r["reason"] for r in rejected.collect()} == {
-        "m": "could not identify upper/lower surfaces", "s": "surface data is too short",
+        "m": "the curve does not turn into two sides", "s": "one side of the curve has too few samples",
     }
 
 

@@ -97,7 +97,7 @@ def test_conditions_must_fit_and_be_positive(table):
     shape = table.select("entity_id", "upper", "lower", "le", "te").limit(1)
     with pytest.raises(Exception, match="different lengths"):
         prediction.query_rows(shape, {"alpha": [0.0, 1.0], "Re": [1e5, 2e5, 3e5]}).collect()
-    with pytest.raises(Exception, match="must be positive"):
+    with pytest.raises(Exception, match="zero or below"):
         prediction.query_rows(shape, {"alpha": 0.0, "Re": 0.0}).collect()
 
 
@@ -158,7 +158,7 @@ def test_assembled_rows_and_failures(solved):
     failures = {(r["entity_id"], r["alpha"]): r["reason"] for r in done.failures.collect()}
     assert failures == {
         ("TRAIN_000001", 5.0): "condition 5.000: not returned",
-        ("TRAIN_000002", 5.0): "could not identify upper/lower surfaces",
+        ("TRAIN_000002", 5.0): "the curve does not turn into two sides",
     }
 
 
