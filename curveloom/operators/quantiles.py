@@ -4,8 +4,10 @@ The built-in exact percentile keeps every distinct value of a group in one aggre
 is used only for groups measured to be small. Beyond that, values are counted in buckets of a
 fixed increasing function (hash aggregations that combine before the shuffle), the buckets that
 hold the wanted positions are found from the counts, and only the values in those buckets are put
-in order. For very large groups such a bucket is first cut into slices in the same way. NULL and
-non-finite values are ignored.
+in order. A bucket with more rows than a task should order is cut into slices between its smallest and
+largest value, and so on until each fits: a bucket spans less than one part in 128 of its values, so
+the bits of a double are used up after five cuts, however the values lie. NULL and non-finite values
+are ignored.
 """
 
 from __future__ import annotations
@@ -17,10 +19,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curveloom.functions.scalars import finite, null_unless_finite
+from curveloom.operators.skew import cut_lineage
 
 LARGEST_BUFFERED_GROUP = 50_000
-# A bucket holds about one percent of a group, which one task orders easily up to this size.
-LARGEST_SINGLE_LEVEL = 50_000_000
+# Rows of different values that one task puts in order.
+LARGEST_CELL = 2_000_000
 # Tables with one row per group and quantile are broadcast up to this many rows.
 MOST_BROADCAST_GROUPS = 20_000
 BUCKETS_PER_E_FOLD = 128
@@ -82,6 +85,7 @@ def exact_quantiles(
     wanted: dict[str, tuple[str, float]],
     sizes: GroupSizes | None = None,
     every_group: bool = True,
+    largest_cell: int = LARGEST_CELL,
 ) -> DataFrame:
     """One row per group: for each ``name: (value column, q)`` the interpolated quantile.
 
@@ -107,26 +111,22 @@ def exact_quantiles(
             F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max")
         )
 
+    def with_cells(rows: DataFrame, cells: DataFrame) -> DataFrame:
+        return rows.join(small(cells.select(*by, *path, "_rank", "_before", "_min", "_max")), [*by, *path])
+
     path = ["_bucket"]
-    cells = _holding(counted(long, [*by, "_bucket"]).withColumn("_q", q), by, path, ranked=False)
-    found = small(cells.select(*by, "_bucket", "_rank", "_before", "_min", "_max"))
-    rows = long.join(found, [*by, "_bucket"])
-    if sizes.largest > LARGEST_SINGLE_LEVEL:
-        width = F.col("_max") - F.col("_min")
-        place = F.greatest(F.lit(0.0), F.least(
-            F.lit(SLICES - 1.0), F.try_divide(F.col("_v") - F.col("_min"), width) * SLICES
-        ))
-        rows = rows.withColumn("_slice", F.coalesce(place.cast("int"), F.lit(0))).drop("_min", "_max")
-        inside = [*by, "_bucket", "_rank", "_before", "_slice"]
-        slices = _holding(
-            counted(rows, inside).withColumnRenamed("_before", "_base"),
-            [*by, "_bucket"], ["_slice"], ranked=True,
-        )
-        rows = rows.drop("_before", "_rank").join(
-            small(slices.select(*by, "_bucket", "_slice", "_rank", "_before")),
-            [*by, "_bucket", "_slice"],
-        )
-        path = ["_bucket", "_slice"]
+    cells = cut_lineage(_holding(counted(long, [*by, "_bucket"]).withColumn("_q", q), by, path, ranked=False))
+    rows = with_cells(long, cells)
+    while (cells.where("_min < _max").agg(F.max("_n")).first()[0] or 0) > largest_cell:
+        place = F.try_divide(F.col("_v") - F.col("_min"), F.col("_max") - F.col("_min")) * SLICES
+        level = f"_slice_{len(path)}"
+        rows = rows.withColumn(
+            level, F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(SLICES - 1.0), place)).cast("int"), F.lit(0))
+        ).drop("_min", "_max")
+        counts = counted(rows, [*by, *path, "_rank", "_before", level]).withColumnRenamed("_before", "_base")
+        cells = cut_lineage(_holding(counts, [*by, *path, "_rank"], [level], ranked=True))
+        path = [*path, level]
+        rows = with_cells(rows.drop("_before", "_rank"), cells)
 
     values = rows.groupBy(*by, *path, "_rank", "_before", "_v").agg(F.count(F.lit(1)).alias("_n"))
     running = Window.partitionBy(*by, *path).orderBy("_v").rowsBetween(

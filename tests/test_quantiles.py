@@ -29,6 +29,21 @@ def test_equals_numpy_with_one_and_two_levels(values, largest):
             assert got[g][name] == pytest.approx(np.percentile(vs, q), rel=1e-14, abs=1e-300), (g, name)
 
 
+@pytest.mark.parametrize("largest_cell", [1, 50, 700])
+def test_cells_are_cut_until_they_fit(values, spark, largest_cell):
+    """All values within a thousandth, one outlier, and a cluster next to it."""
+    groups, df = values
+    rng = np.random.default_rng(6)
+    groups["close"] = np.append(0.5 + rng.uniform(0, 5e-4, 2000), [1e9])
+    groups["clustered"] = np.concatenate([0.5 + rng.uniform(0, 1e-13, 800), [0.5009]])
+    df = df.unionByName(spark.createDataFrame([(g, float(v)) for g in ("close", "clustered") for v in groups[g]], df.schema))
+    wanted = {"p10": ("v", 0.1), "p50": ("v", 0.5), "p95": ("v", 0.95)}
+    got = {r["g"]: r for r in exact_quantiles(df, ["g"], wanted, GroupSizes(10, 3000), largest_cell=largest_cell).collect()}
+    for g, vs in groups.items():
+        for name, q in (("p10", 10), ("p50", 50), ("p95", 95)):
+            assert got[g][name] == pytest.approx(np.percentile(vs, q), rel=1e-14, abs=1e-300), (g, name)
+
+
 def test_measured_sizes(values):
     _, df = values
     sizes = measure_groups(df, ["g"])
