@@ -46,6 +46,8 @@ def surface_profiles(
         surfaces, unsplit = split_at_minimum(samples, keys, "x", "ord", hot=hot)
     else:
         raise ValueError(f"unknown split rule: {split_rule}")
+    # Read once for each quantity: kept, instead of splitting the curves again.
+    surfaces = cut_lineage(surfaces)
     stations = midcell_stations(points)
     sides = [*keys, "surface"]
     within = hot.finer(sides) or find_hot_keys(surfaces, sides)
