@@ -39,7 +39,7 @@ def query_rows(shapes: DataFrame, conditions: dict[str, float | Sequence[float]]
 
 
 def feature_rows(queries: DataFrame, plan: TrainingPlan) -> DataFrame:
-    return with_features(flatten_shapes(queries), plan)
+    return with_features(flatten_shapes(queries), plan, labelled=False)
 
 
 def predict_table(

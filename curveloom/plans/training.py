@@ -59,15 +59,19 @@ def flatten_shapes(df: DataFrame) -> DataFrame:
     })
 
 
-def with_features(df: DataFrame, plan: TrainingPlan) -> DataFrame:
-    """Derive whatever feature columns of the plan are missing, then check that all exist."""
+def with_features(df: DataFrame, plan: TrainingPlan, labelled: bool = True) -> DataFrame:
+    """Derive whatever feature columns of the plan are missing, then check that all exist.
+
+    Rows to be predicted have no targets: pass ``labelled=False``.
+    """
     wanted = set(plan.features)
     if wanted & set(DESCRIPTOR_COLUMNS):
         df = add_descriptors(df, plan.entity)
     if wanted & set(SHAPE_FEATURES) - set(df.columns):
         df = flatten_shapes(df)
     require_columns(df, plan.features, "feature")
-    require_columns(df, plan.targets, "target")
+    if labelled:
+        require_columns(df, plan.targets, "target")
     return df
 
 

@@ -14,8 +14,9 @@ from curveloom.operators.matching import broadcast_conditions, sweep
 from curveloom.operators.models import ModelConfig, fit_models, ridge_coefficients
 from curveloom.operators.quality import envelope_flags, fill_conditions
 from curveloom.operators.synth import SamplingConfig, explode_conditions, operating_points, sample_shapes
+from curveloom.plans.prediction import feature_rows, predict_table as predictions_of, query_rows
 from curveloom.plans.training import (
-    SHAPE_FEATURES, TrainingPlan, evaluate, flatten_shapes, stack, train,
+    SHAPE_FEATURES, TrainingPlan, evaluate, evaluate_mean, flatten_shapes, stack, train,
 )
 from curveloom.registry.book import Book, r6, rounded
 from curveloom.registry.entities import SPLIT
@@ -282,6 +283,43 @@ def saved_model_scores(spark, folder):
     return rounded(evaluate(rows, store, "ridge"))
 
 
+@book.add("mean_of_models_scores", _labels_sql(_stump_sql("split = 'train'") + _RIDGE + _STACK + """, mixed AS (
+  SELECT target, actual, (2 * p1 + p2) / 3 AS predicted FROM both_all WHERE split = 'test')""") + _scores_sql("mean", "mixed", "target"))
+def mean_of_models_scores(spark, folder):
+    """Two saved models weighted two to one, scored on the test entities on record."""
+    rows, store = _training_rows(spark, folder), run_store(spark)
+    train(rows, store, PLAN, STUMPS, ["ridge", "random_forest"])
+    return rounded(evaluate_mean(rows, store, ["ridge", "random_forest"], [2.0, 1.0]))
+
+
+_LINE = "my + sy * (c * n / (sx * sy)) / (n + 1.0e0) * (log10(re) - mx) / sx"
+
+
+@book.add("predicted_conditions", _labels_sql(_RIDGE) + f""", {VEC.removeprefix("WITH ")}, asked AS (
+  SELECT entity_id, unnest([0.0e0, 30.0e0, 5.0e0]) AS alpha, unnest([1e3, 1e5, 1e6]) AS re FROM vec),
+fits AS (SELECT entity_id, alpha, re, {", ".join(
+    f"max(CASE WHEN target = '{t}' THEN {'exp' if t == 'cd' else ''}({_LINE}) END) AS {t}_fit" for t in TARGETS)}
+  FROM asked CROSS JOIN scale GROUP BY ALL),
+blended AS (SELECT *, 0.01e0 + 0.9e0 * cl_fit AS cl, 0.001e0 + 0.8e0 * cd_fit AS cd, 1.1e0 * cm_fit - 0.02e0 AS cm FROM fits)
+SELECT entity_id, alpha, re AS "Re", {", ".join(r6(t, t) for t in TARGETS)}, {", ".join(r6(f"{t}_fit", f"ridge__{t}") for t in TARGETS)},
+  {r6("CASE WHEN cd > 1e-9 THEN cl / cd END", '"L_over_D"')}, array_to_string(list_filter([
+    CASE WHEN re < 1778.2794100389228e0 THEN 'reynolds' END, CASE WHEN alpha < -25 OR alpha > 25 THEN 'alpha' END],
+    lambda f: f IS NOT NULL), ' ') AS outside FROM blended""")
+def predicted_conditions(spark, folder):
+    """The prediction job: a trained model, blending weights, all shapes of the catalog at listed conditions."""
+    plan = TrainingPlan(features=("Re",), targets=TARGETS, reynolds="Re", drag="cd", log_drag=True)
+    rows, store = _training_rows(spark, folder).withColumnRenamed("reynolds", "Re"), run_store(spark)
+    train(rows, store, plan, STUMPS, ["ridge"])
+    shapes = vec(spark, folder).select("entity_id", "upper", "lower", "le", "te")
+    asked = query_rows(shapes, {"alpha": [0.0, 30.0, 5.0], "Re": [1e3, 1e5, 1e6]})
+    weights = {"cl": {"ridge": 0.9, "intercept": 0.01}, "cd": {"ridge": 0.8, "intercept": 0.001},
+               "cm": {"ridge": 1.1, "intercept": -0.02}}
+    table = predictions_of(feature_rows(asked, plan), store, ["entity_id"], per_model=True, weights=weights)
+    return rounded(table.select(
+        "entity_id", "alpha", "Re", *TARGETS, *[f"ridge__{t}" for t in TARGETS], "L_over_D",
+        F.array_join("outside", " ").alias("outside")))
+
+
 HIDDEN = [[((o * 7 + i * 3) % 11 - 5) / 10 for i in range(18)] for o in range(6)]
 OUTPUT = [[((o * 5 + i * 2) % 7 - 3) / 10 for i in range(6)] for o in range(3)]
 
