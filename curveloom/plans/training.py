@@ -20,7 +20,9 @@ from curveloom.operators.metrics import (
 from curveloom.operators.models import (
     ModelConfig, TargetModels, fit_models, select_models, training_history,
 )
-from curveloom.operators.quality import keep_recorded, require_columns
+from curveloom.operators.quality import (
+    PROFILE_COLUMNS, PROFILE_POINTS, keep_recorded, require_columns, target_columns,
+)
 from curveloom.operators.split import (
     TEST, TRAIN, VALIDATION, entity_split, fixed_holdout_split, label_rows, rows_of,
     sample_entities,
@@ -38,7 +40,10 @@ STOPPING_SHARE = 0.1
 
 @dataclass(frozen=True)
 class TrainingPlan:
-    """What to train on; the columns are addressed by name throughout."""
+    """What to train on; the columns are addressed by name throughout.
+
+    ``targets=all_targets(df)`` trains on every output and profile position of a table.
+    """
 
     features: tuple[str, ...] = tuple(ALL_FEATURES)
     targets: tuple[str, ...] = ("CL", "CD", "CM")
@@ -71,10 +76,29 @@ def with_features(df: DataFrame, plan: TrainingPlan, labelled: bool = True) -> D
         df = flatten_shapes(df)
     require_columns(df, plan.features, "feature")
     if labelled:
+        df = flatten_profiles(df, plan.targets)
         require_columns(df, plan.targets, "target")
     return df
 
 
+def all_targets(df: DataFrame) -> tuple[str, ...]:
+    """Names of everything a training table has to predict: the outputs it holds and every position
+    of its profiles, whether these are arrays or already columns."""
+    arrays = [c for c in PROFILE_COLUMNS if c in df.columns]
+    wide = [f"{a}_{i}" for a in arrays for i in range(PROFILE_POINTS)]
+    columns = [c for c in target_columns(df) if c in df.columns and c not in arrays]
+    return tuple([*columns, *[c for c in wide if c not in columns]])
+
+
+def flatten_profiles(df: DataFrame, targets: Sequence[str]) -> DataFrame:
+    """Profile arrays to columns, as far as positions of theirs are targets and not columns yet."""
+    missing = set(targets) - set(df.columns)
+    arrays = [a for a in PROFILE_COLUMNS if a in df.columns and any(t.startswith(f"{a}_") for t in missing)]
+    return df.withColumns({
+        f"{a}_{i}": F.get(F.col(a), F.lit(i)) for a in arrays for i in range(PROFILE_POINTS) if f"{a}_{i}" in missing
+    }) if arrays else df
+
+
 def scale_inputs(df: DataFrame, scaler: Scaler, plan: TrainingPlan) -> DataFrame:
     """Scaled copies ``z_*`` of the features; the originals stay for reports."""
     raw = df.withColumns({

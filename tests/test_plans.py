@@ -114,6 +114,19 @@ def test_fixed_holdout_and_errors(spark, table, tmp_path):
         training.train(table.drop("CL"), store, plan, LIGHT, ["ridge"])
 
 
+def test_profile_positions_are_targets(spark, table, tmp_path):
+    names = [f"{s}_bl_{q}" for s in ("upper", "lower") for q in ("theta", "H", "ue_vinf")]
+    rows = table.withColumns({n: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.col("CL") * i) for n in names})
+    every = training.all_targets(rows)
+    assert len(every) == 3 + 6 * 32 and every[:3] == ("CL", "CD", "CM") and "lower_bl_ue_vinf_31" in every
+    assert training.all_targets(training.flatten_profiles(rows, every).drop(*names)) == every
+    plan = training.TrainingPlan(features=("alpha", "Re"), targets=("CL", "upper_bl_theta_1", "lower_bl_H_2", "upper_bl_H_31"))
+    scores = training.train(rows, RunStore(spark, str(tmp_path)), plan, LIGHT, ["ridge"]).where("split = 'test'").collect()
+    assert {r["target"] for r in scores} == set(plan.targets)
+    r2 = {r["target"]: r["r2"] for r in scores}
+    assert r2["upper_bl_H_31"] == pytest.approx(r2["CL"])
+
+
 def test_search_scores_every_candidate(table):
     grid = {"random_forest": [{"forest_trees": 2, "forest_depth": 1}, {"forest_trees": 8, "forest_depth": 6}],
             "boosting": [{"boosting_rounds": 2, "boosting_depth": 2}]}
