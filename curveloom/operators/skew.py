@@ -56,7 +56,7 @@ def find_hot_keys(
     totals = counts.agg(F.sum("n_rows").alias("total"), F.max("n_rows").alias("largest")).first()
     total, largest = totals["total"] or 0, totals["largest"] or 0
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = HOT_KEYS_PER_PARTITION * max(1, partitions)
+    pieces = max(1, int(HOT_KEYS_PER_PARTITION * partitions))
     threshold = min(max(smallest, total // pieces), max(smallest, TASK_ROWS))
     if largest <= threshold:
         return HotKeys(keys, threshold)

@@ -110,3 +110,36 @@ def test_dense_network_matches_numpy(spark, data):
     np.testing.assert_allclose(scored[["p", "q"]].to_numpy(), expected)
     with pytest.raises(ValueError):
         score_dense(df, FEATURES, load_layers(table), ["p"], ["f0"])
+
+
+def test_active_sets_find_the_least_of_all_sets():
+    """Against every set of free weights, and on more models than could be enumerated."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(3)
+    for k in (1, 2, 3, 5, 6):
+        for _ in range(8):
+            x, y = rng.normal(size=(30, k)), rng.normal(size=30)
+            x[:, -1] = x[:, 0] + 0.01 * x[:, -1]
+            gram, cross = x.T @ x, x.T @ y
+            matrix = gram + 0.5 * np.eye(k)
+            best = 0.0
+            for size in range(1, k + 1):
+                for chosen in map(list, combinations(range(k), size)):
+                    w = np.linalg.solve(matrix[np.ix_(chosen, chosen)], cross[chosen])
+                    if (w >= 0).all():
+                        best = min(best, float(w @ matrix[np.ix_(chosen, chosen)] @ w - 2 * cross[chosen] @ w))
+            found = stacking.nonnegative_ridge(gram, cross, 0.5)
+            assert (found >= 0).all()
+            assert float(found @ matrix @ found - 2 * cross @ found) == pytest.approx(best, abs=1e-9)
+    x, y = rng.normal(size=(200, 40)), rng.normal(size=200)
+    w = stacking.nonnegative_ridge(x.T @ x, x.T @ y, 1.0)
+    slope = x.T @ y - (x.T @ x + np.eye(40)) @ w
+    assert (w >= 0).all() and (slope <= 1e-8).all() and np.abs(slope[w > 0]).max() < 1e-8
+
+
+def test_blend_rows_needs_no_row_key(spark):
+    rows = spark.createDataFrame([("e", 1.0, 2.0), ("e", 1.0, 2.0)], "entity string, a double, b double")
+    table = spark.createDataFrame([("t", "a", 0.5), ("t", "b", 2.0), ("t", "intercept", 0.25)], stacking.WEIGHTS_SCHEMA)
+    out = stacking.blend_rows(rows, table, {"a": {"t": "a"}, "b": {"t": "b"}}, ["entity"]).collect()
+    assert [tuple(r) for r in out] == [("e", "t", 4.75)] * 2

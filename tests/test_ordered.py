@@ -55,3 +55,17 @@ def test_lineage_is_cut_in_the_shared_folder(spark, skewed):
     kept = cut_lineage(skewed)
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "ExistingRDD" in plan and kept.count() == 941
+
+
+def test_a_hot_key_has_a_row_budget_whatever_the_total(spark, monkeypatch):
+    from curveloom.operators import skew
+
+    rows = spark.range(3000).selectExpr("id % 2 AS k")
+    assert not skew.find_hot_keys(rows, ["k"], smallest=2000).any
+    monkeypatch.setattr(skew, "TASK_ROWS", 1000)
+    monkeypatch.setattr(skew, "HOT_KEYS_PER_PARTITION", 0.0001)
+    found = skew.find_hot_keys(rows, ["k"], smallest=10)
+    assert found.rows_per_block == 1000 and found.table.count() == 2
+    monkeypatch.setattr(skew, "MOST_BROADCAST_KEYS", 1)
+    many = skew.find_hot_keys(rows, ["k"], smallest=10)
+    assert not many.few and many.table.count() == 2

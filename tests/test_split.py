@@ -96,3 +96,12 @@ def test_hot_entity_gets_its_label(spark):
 def test_first_per_entity(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 5, "z")], "e string, k int, v string")
     assert _as_set(split.first_per_entity(df, ["e"], ["k"])) == [("a", 1, "y"), ("b", 5, "z")]
+
+
+def test_all_missing_entities_are_reported(spark):
+    from curveloom.operators.quality import MissingEntities, require_catalogued
+
+    rows = spark.createDataFrame([(f"e{i:03d}",) for i in range(60)], "entity_id string")
+    with pytest.raises(MissingEntities, match="50 entities") as error:
+        require_catalogued(rows, rows.where("entity_id < 'e010'"), "entity_id")
+    assert error.value.table.count() == error.value.n == 50
