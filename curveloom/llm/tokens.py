@@ -22,7 +22,7 @@ PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 #: Most words whose identifiers a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: Identifiers in a block of a flat file.
 BLOCK_IDS = 1 << 18
 
@@ -134,8 +134,8 @@ def write_flat_files(
         for batch in batches:
             id_type = batch["doc_id"].type
             full: list[bytes] = []
-            for text in batch["text"].to_pylist():
-                text = text or ""
+            for value in batch["text"]:
+                text = value.as_py() or ""
                 if "<|endoftext|>" in text:
                     ids = np.array(encoding.encode_ordinary(text), "<u2").tobytes()
                 else:
