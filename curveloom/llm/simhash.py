@@ -250,12 +250,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = 2) -> DataFr
 def keep_one(docs: DataFrame, shingle: int = 3, reach: int = 2) -> DataFrame:
     """The rows of ``docs`` whose document stays: one, the smallest doc_id, of each component.
 
-    Of rows that repeat a staying id one is kept. Rows with a null id stay only if their whole
-    component has no id.
+    Of rows that repeat a staying id one is kept. Rows with a null id count as one document: one of
+    them is kept, and only if a component has no id at all.
     """
     found = near_duplicates(docs, shingle, reach)
     staying = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
         F.col("doc_id").alias("__kept")
     ).distinct()
-    kept = docs.join(staying, docs["doc_id"].eqNullSafe(staying["__kept"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    # A plain equality, so that the texts, once dealt by id, are not dealt again for the repeated rows.
+    named = docs.join(staying, docs["doc_id"] == staying["__kept"], "left_semi").dropDuplicates(["doc_id"])
+    one = docs.where("doc_id is null").orderBy(F.xxhash64("text"), "text").limit(1)
+    nameless = staying.where("__kept is null")
+    return named.unionByName(one.join(nameless, one["doc_id"].eqNullSafe(nameless["__kept"]), "left_semi"))
