@@ -159,6 +159,15 @@ def mix_digest(docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 
+def _row_key(size: Column) -> list[Column]:
+    """Two numbers for id, source and size of a row: joins and windows on them deal rows once."""
+    return [F.xxhash64(F.lit(half), "doc_id", "source", size).alias(f"__{name}") for half, name in enumerate("ab")]
+
+
+def _most_first(x: Column, y: Column) -> Column:
+    return F.when(x > y, -1).when(x < y, 1).otherwise(0)
+
+
 def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
     """The mix as rows of ``docs``: a whole text as often as it is taken whole, and the words that a
     partial pass takes, in their order, as a text of their own with the white space before each word.
@@ -166,18 +175,19 @@ def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
     Documents of which nothing is taken go. Rows that repeat a doc_id fare alike only if their sizes
     are equal; which of them a partial pass meets is not defined.
     """
-    taken = mix(docs.select("doc_id", "source", "text"), **options).where("taken > 0")
+    taken = mix(docs.select("doc_id", "source", "text"), **options)
+    decisions = taken.select(
+        *_row_key(F.col("size")), F.struct("taken", "whole", "part_start", "part_words", "more_words").alias("__decision"),
+    ).groupBy("__a", "__b").agg(F.array_sort(F.collect_list("__decision"), _most_first).alias("__all"))
     # The n-th row of an id meets the n-th decision; ids are nearly unique, so these are small windows.
-    nth = lambda df, *by: df.withColumn("__nth", F.row_number().over(
-        Window.partitionBy("doc_id", "source", "__size").orderBy(*by)))
-    decisions = nth(taken.withColumnRenamed("size", "__size"), "taken", "part_start").select(
-        F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("__size").alias("__words"),
-        F.col("__nth").alias("__n"), F.col("whole").alias("__whole"), F.col("part_start").alias("__from"),
-        F.col("part_words").alias("__count"), F.col("more_words").alias("__more"))
-    rows = nth(docs.withColumn("__size", word_count(F.col("text"))), F.xxhash64("text"))
-    met = rows.join(decisions, F.col("doc_id").eqNullSafe(F.col("__doc"))
-                    & F.col("source").eqNullSafe(F.col("__source"))
-                    & (F.col("__size") == F.col("__words")) & (F.col("__nth") == F.col("__n")))
+    nth = F.row_number().over(Window.partitionBy("__a", "__b").orderBy(F.xxhash64("text")))
+    rows = docs.select("*", *_row_key(word_count(F.col("text")))).withColumn("__n", nth)
+    decision = F.get("__all", F.col("__n") - 1)
+    met = rows.join(decisions, ["__a", "__b"]).select(
+        *docs.columns, decision["taken"].alias("__taken"), decision["whole"].alias("__whole"),
+        decision["part_start"].alias("__from"), decision["part_words"].alias("__count"),
+        decision["more_words"].alias("__more"),
+    ).where("__taken > 0")
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     cut = lambda start, n: F.array_join(F.slice(words, start + 1, n), "")
     zero = F.lit(0)
