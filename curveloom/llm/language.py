@@ -92,6 +92,12 @@ def _bits(docs: DataFrame) -> DataFrame:
         F.col("bits").isNotNull())
 
 
+def _units(bits: list[bytes]) -> np.ndarray:
+    """Presence vectors of length one."""
+    rows = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1).astype(np.float32)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS,
         ridge: float = RIDGE) -> LanguageModel | None:
     """Fit on a bounded sample, in hash order, of the labelled rows of ``docs`` (doc_id, text, lang).
@@ -118,13 +124,12 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, landmarks: int = LANDMARK
     if not rows:
         return None
     languages = sorted({r["lang"] for r in rows})
-    x = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in rows]).astype(np.float32)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    marks = x[[i for i, r in enumerate(rows) if r["n"] <= max(1, landmarks // len(counts))]]
+    bits = [bytes(r["bits"]) for r in rows]
+    marks = _units([b for b, r in zip(bits, rows) if r["n"] <= max(1, landmarks // len(counts))])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     sound = values > 1e-6 * values.max()
     root = vectors[:, sound] / np.sqrt(values[sound])
-    features = (x @ marks.T).astype(np.float64) @ root
+    features = np.concatenate([_units(bits[at:at + ROWS]) @ marks.T for at in range(0, len(bits), ROWS)]).astype(np.float64) @ root
     wanted = np.array([[float(r["lang"] == name) for name in languages] for r in rows])
     gram = features.T @ features + ridge * np.eye(features.shape[1])
     coefficients = root @ np.linalg.solve(gram, features.T @ wanted)
