@@ -16,6 +16,9 @@ BLANKS = " \t\n\x0b\x0c\r"
 #: can never be more than this many.
 HOT_PARTS = 2000
 
+#: Rows of an Arrow batch that are worked on together.
+PIECE_ROWS = 1024
+
 _own_folders: dict[str, str] = {}
 
 
@@ -40,11 +43,14 @@ def stored(df: DataFrame) -> DataFrame:
 def map_batches(
     df: DataFrame, columns: Sequence[str], run: Callable[[pa.RecordBatch], dict[str, pa.Array]], schema: str
 ) -> DataFrame:
-    """``run`` over Arrow batches of the given columns; it returns the output columns by name."""
+    """``run`` over pieces of Arrow batches of the given columns; it returns the output columns by name.
+
+    Pieces are short, so that few texts are Python objects at a time.
+    """
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(run(batch))
+            for at in range(0, batch.num_rows, PIECE_ROWS):
+                yield pa.RecordBatch.from_pydict(run(batch.slice(at, PIECE_ROWS)))
 
     return df.select(*columns).mapInArrow(over, schema)
 
