@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from curveloom.llm.common import attach, map_batches, stored
 
-#: Neighbours a node keeps, and reverse neighbours a node joins or is searched by (the nearest ones).
-DEGREE, REVERSE = 16, 16
+#: Neighbours a node keeps, and the nearest reverse neighbours it is joined with and searched by.
+DEGREE, REVERSE, SEARCHED_REVERSE = 20, 20, 48
 #: The first graph: exact neighbours within shards around pivots, in so many rounds of other pivots.
-SHARD_NODES, SEED_ROUNDS, MOST_PIVOTS = 4096, 3, 4096
+SHARD_NODES, SEED_ROUNDS, MOST_PIVOTS = 8192, 5, 4096
 #: Most rounds of NN-descent; they end earlier when the graph no longer changes.
-ROUNDS = 4
+ROUNDS = 3
 #: Nodes a search keeps, its hops, and nodes whose similarity is measured exactly in the end.
-BEAM, HOPS, RERANKED = 64, 5, 32
+BEAM, HOPS, RERANKED = 128, 6, 32
 
 
 def sound(vector: Column) -> Column:
@@ -221,7 +221,7 @@ def neighbour_graph(nodes: DataFrame, size: int, degree: int = DEGREE, reverse:
 
 
 def search_graph(graph: DataFrame, queries: DataFrame, size: int, beam: int = BEAM, hops: int = HOPS,
-                 reverse: int = REVERSE) -> DataFrame:
+                 reverse: int = SEARCHED_REVERSE) -> DataFrame:
     """(node, ids, sims): nodes found near the queries (node), which are nodes of the graph.
 
     Greedy search: it starts at the query's own node, and each hop looks at all nodes around those
