@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -247,18 +247,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = 2) -> DataFr
     return attach(prints, facts, ["fingerprint"], "n_docs").select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, reach: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose document stays: one, the smallest doc_id, of each component.
+def one_of_each(docs: DataFrame, smallest_ids: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of ``docs`` that stay: exactly one of each component.
 
-    Of rows that repeat a staying id one is kept. Rows with a null id count as one document: one of
-    them is kept, and only if a component has no id at all.
+    ``smallest_ids`` gives the smallest doc_id of each component of its rows (component_id). It gets the rank of
+    each row as doc_id: rows with an id before others, the smallest id, then a hash of the text and a row key,
+    so rows that share an id, or have none, are chosen from one by one. Of rows that repeat id and text one is kept.
     """
-    found = near_duplicates(docs, shingle, reach)
-    staying = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("__kept")
-    ).distinct()
-    # A plain equality, so that the texts, once dealt by id, are not dealt again for the repeated rows.
-    named = docs.join(staying, docs["doc_id"] == staying["__kept"], "left_semi").dropDuplicates(["doc_id"])
-    one = docs.where("doc_id is null").orderBy(F.xxhash64("text"), "text").limit(1)
-    nameless = staying.where("__kept is null")
-    return named.unionByName(one.join(nameless, one["doc_id"].eqNullSafe(nameless["__kept"]), "left_semi"))
+    row = [F.xxhash64(F.lit(i), "doc_id", "text") for i in range(2)]
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("of_text"),
+                    row[0].alias("row_a"), row[1].alias("row_b"))
+    staying = smallest_ids(docs.select(rank.alias("doc_id"), "text")).select(
+        F.col("component_id.row_a").alias("__ka"), F.col("component_id.row_b").alias("__kb"))
+    keyed = docs.select("*", row[0].alias("__ra"), row[1].alias("__rb"))
+    # A plain equality, so that the texts, once dealt by row key, are not dealt again for the repeated rows.
+    met = (F.col("__ra") == F.col("__ka")) & (F.col("__rb") == F.col("__kb"))
+    return keyed.join(staying, met, "left_semi").dropDuplicates(["__ra", "__rb"]).drop("__ra", "__rb")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, reach: int = 2) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each component, as ``one_of_each`` chooses it."""
+    return one_of_each(docs, lambda rows: near_duplicates(rows, shingle, reach).select("component_id").distinct())
