@@ -98,6 +98,29 @@ def vector_covariance(spark, folder):
     return rounded(features.vector_covariance(vec18(spark, folder), "vector", 18))
 
 
+def _embeddings(spark, folder):
+    return table(spark, folder, "embeddings").select(
+        F.transform("embedding", lambda v: v.cast("double")).alias("vector"))
+
+
+EMBEDDED = "v AS (SELECT list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS v FROM embeddings)"
+
+
+@book.add("embedding_mean", f"""WITH {EMBEDDED}
+SELECT CAST(i - 1 AS INTEGER) AS i, {r6("avg(v[i])", "mean")} FROM v, (SELECT unnest(range(1, 65)) AS i) GROUP BY i""")
+def embedding_mean(spark, folder):
+    """The mean of all 64 elements; ``vector_mean`` is that of the 18 of a shape."""
+    return rounded(features.vector_mean(_embeddings(spark, folder), "vector", 64))
+
+
+@book.add("embedding_covariance", f"""WITH {EMBEDDED}, k AS (SELECT unnest(range(1, 65)) AS k)
+SELECT CAST(a.k - 1 AS INTEGER) AS i, CAST(b.k - 1 AS INTEGER) AS j, {r6("covar_samp(v[a.k], v[b.k])", "covariance")}
+FROM v, k a, k b WHERE a.k <= b.k GROUP BY a.k, b.k""")
+def embedding_covariance(spark, folder):
+    """The covariances of all 64 elements; ``vector_covariance`` has those of the 18 of a shape."""
+    return rounded(features.vector_covariance(_embeddings(spark, folder), "vector", 64))
+
+
 COMB = "[" + ", ".join(f"{math.comb(7, i)}.0e0" for i in range(8)) + "]"
 BASIS = f"({COMB})[i + 1] * pow(x, i + 0.5e0) * pow(1.0e0 - x, 8 - i)"
 NOSE = "le * x * pow(1.0e0 - x, 8.5e0)"
