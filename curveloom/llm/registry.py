@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curveloom.llm import (
-    language, lines, mixing, neighbours, packing, rules, secret_spans, simhash, tokens, urls,
+    audit, language, lines, mixing, neighbours, packing, rules, secret_spans, simhash, tokens, urls,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -199,3 +199,52 @@ def packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_quality_rules")
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.quality(table(spark, folder, "documents"))
+
+
+AUDIT_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents
+), marks AS (
+  SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic
+  FROM labels GROUP BY doc_id
+), worded AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS least
+  FROM docs
+), judged AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [
+    len(words) < 200,
+    100 * len(list_distinct(words)) < 50 * len(words),
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text),
+    regexp_matches(text, '[#$%&*|]'),
+    coalesce(doc_id > least, false)] AS fails
+  FROM worded LEFT JOIN marks USING (doc_id)
+), patterns AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS n_good, count(*) FILTER (WHERE toxic) AS n_toxic
+  FROM judged GROUP BY ALL
+), letters AS (SELECT unnest(range(1, 6)) AS i), orders AS (
+  SELECT [a.i, b.i, c.i, d.i, 15 - a.i - b.i - c.i - d.i] AS places FROM letters a, letters b, letters c, letters d
+  WHERE a.i <> b.i AND a.i <> c.i AND b.i <> c.i AND a.i <> d.i AND b.i <> d.i AND c.i <> d.i
+), steps AS (
+  SELECT places, array_to_string(list_transform(places, lambda p: 'ABCDE'[p]), '') AS filter_order,
+    unnest(range(1, 6)) AS step FROM orders
+), counted AS (
+  SELECT part, filter_order, step, places[step] AS own,
+    sum(n) FILTER (WHERE NOT before AND NOT fails[places[step]]) AS kept,
+    sum(n) FILTER (WHERE NOT before AND fails[places[step]]) AS removed,
+    sum(n) FILTER (WHERE before AND fails[places[step]]) AS redundant,
+    sum(n) FILTER (WHERE fails[places[step]] AND len(list_filter(fails, lambda f: f)) = 1) AS unique_fails,
+    sum(n_good) FILTER (WHERE NOT before AND fails[places[step]]) AS good_lost,
+    sum(n_toxic) FILTER (WHERE NOT before AND fails[places[step]]) AS toxic_lost
+  FROM (SELECT *, len(list_filter(places[1:step - 1], lambda p: fails[p])) > 0 AS before FROM patterns, steps) GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+  coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, own), 0)::BIGINT AS shapley
+FROM counted
+"""
+
+
+@query("op12_filter_audit", AUDIT_SQL)
+def filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
