@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curveloom.llm import (
-    audit, language, lines, mixing, neighbours, packing, rules, secret_spans, simhash, tokens, urls,
+    alignment, audit, language, lines, mixing, neighbours, packing, rules, secret_spans, simhash,
+    tokens, urls,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -248,3 +249,9 @@ FROM counted
 @query("op12_filter_audit", AUDIT_SQL)
 def filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit.audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op13_token_alignment")
+def token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.link_support(table(spark, folder, "documents")).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_shared")
