@@ -215,15 +215,16 @@ def _sections(text: str) -> Iterator[str]:
     yield text[start:]
 
 
-_encoders: dict[tuple[str, str], Encoders] = {}
-
-
 def encoders(path_a: str, path_b: str) -> Encoders:
-    """The tokenizers of this worker process."""
+    """The tokenizers of this worker process, kept on an installed module: functions that travel by value have
+    globals of their own in each task."""
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_kept_pairs", {})
     key = path_a, path_b
-    if key not in _encoders:
-        _encoders[key] = Encoders(path_a, path_b)
-    return _encoders[key]
+    if key not in kept:
+        kept[key] = Encoders(path_a, path_b)
+    return kept[key]
 
 
 def _sums(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curveloom.llm import (
-    alignment, audit, language, lines, mixing, neighbours, packing, rules, secret_spans, simhash,
-    tokens, urls,
+    alignment, audit, language, lines, mixing, neighbours, packing, rules, secret_spans, set_join,
+    simhash, tokens, urls,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -255,3 +255,8 @@ def filter_audit(spark: SparkSession, folder: str) -> DataFrame:
 def token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.link_support(table(spark, folder, "documents")).select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_shared")
+
+
+@query("op11_set_join")
+def similar_shingle_sets(spark: SparkSession, folder: str) -> DataFrame:
+    return set_join.similar_sets(table(spark, folder, "documents"))
