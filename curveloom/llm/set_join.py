@@ -28,19 +28,47 @@ PIECE = 4096
 _record = np.dtype([("token", "<u8"), ("nid", "<i8"), ("home", "<i8"), ("n", "<i4"), ("hot", "?")])
 
 
-class _Words(dict):
-    """Hashes of words seen lately."""
+#: Base of the polynomial hash of a word's bytes; odd, so its powers can be divided by.
+_BASE = 0x9E3779B97F4A7C15
+#: Bytes of a text that are hashed together.
+SECTION = 1 << 16
+_is_blank = np.zeros(256, bool)
+_is_blank[list(b" \t\n\x0b\x0c\r")] = True
 
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            if len(self) >= 200_000:
-                self.clear()
-            self[word] = value
-        return value
 
+def _powers(base: int, n: int) -> np.ndarray:
+    values = np.full(n, base, np.uint64)
+    values[:1] = 1
+    return np.multiply.accumulate(values)
 
-_words = _Words()
+
+_up, _down = _powers(_BASE, SECTION), _powers(pow(_BASE, -1, 1 << 64), SECTION)
+
+
+def _word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of each word: differences of running sums of the bytes times powers of a base."""
+    values = np.frombuffer(data, np.uint8)
+    edge = np.diff(_is_blank[values].astype(np.int8), prepend=1, append=1)
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    up, down = (_up, _down) if len(values) <= SECTION else (
+        _powers(_BASE, len(values)), _powers(pow(_BASE, -1, 1 << 64), len(values)))
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum((values + np.uint64(1)) * up[:len(values)], out=sums[1:])
+    found = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    found = (found ^ (found >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return found ^ (found >> np.uint64(29))
+
+
+def _sections(data: bytes) -> Iterator[bytes]:
+    """Parts of a text, cut at blanks; a part is longer than a section only if it starts with a word that is."""
+    while len(data) > SECTION:
+        cut = max(data.rfind(blank, 0, SECTION) for blank in (b" ", b"\n", b"\t", b"\x0b", b"\x0c", b"\r"))
+        if cut < 0:
+            later = [at for blank in (b" ", b"\n", b"\t", b"\x0b", b"\x0c", b"\r") if (at := data.find(blank, SECTION)) >= 0]
+            cut = min(later, default=len(data) - 1)
+        yield data[:cut + 1]
+        data = data[cut + 1:]
+    yield data
 
 
 def token_set(text: bytes | None, n: int) -> np.ndarray:
@@ -48,12 +76,12 @@ def token_set(text: bytes | None, n: int) -> np.ndarray:
 
     A-Z are lower-cased and words are ``[^\\x20\\x09-\\x0D]+``.
     """
-    words = (text or b"").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    of_words = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    width = min(n, len(words))
-    count = len(words) - width + 1
+    of_words = [_word_hashes(s) for s in _sections((text or b"").lower())]
+    of_words = of_words[0] if len(of_words) == 1 else np.concatenate(of_words)
+    if not len(of_words):
+        return of_words
+    width = min(n, len(of_words))
+    count = len(of_words) - width + 1
     mixed = np.full(count, width, np.uint64)
     for i in range(width):
         mixed = (mixed ^ of_words[i:i + count]) * np.uint64(0x9E3779B97F4A7C15)
@@ -77,16 +105,16 @@ def _ordered(tokens: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.n
 
     Tokens are ordered by the level of their frequency, rare ones first, then by value. With o(n) tokens needed
     and s(n) of slack, a prefix has n - o(n) + s(n) tokens, so the prefixes of linked sets share s of the smaller size
-    at least. The home is the most frequent kind of token without the slack, and of these the least value: copies
+    at least. The home is of the most frequent kind of token in the prefix the one of the least value: copies
     and near copies mostly have the same, and texts that only share a passage do not.
     """
     level = levels[(tokens >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
     order = np.argsort(level, kind="stable")
     spare = len(tokens) - _needed(len(tokens), percent) + 1
     prefix = order[: min(len(tokens), spare - 1 + _slack(len(tokens)))]
-    plain = level[prefix[:spare]]
-    home = tokens[prefix[np.argmax(plain == plain.max())]]
-    return tokens[prefix], level[prefix], int(home.view(np.int64))
+    of_prefix = level[prefix]
+    home = tokens[prefix[np.argmax(of_prefix == of_prefix.max())]]
+    return tokens[prefix], of_prefix, int(home.view(np.int64))
 
 
 def _rows(df: DataFrame, columns: Iterable[str], run: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]],
@@ -153,71 +181,126 @@ def token_levels(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
 
 
 def _documents(docs: DataFrame, n: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """doc_id, row key, size, node (digest of the set; null for none), its short form nid, and home of each text."""
+    """doc_id, row key, size n, node (digest of the set; null for none), its short form nid, its home and the number of
+    frequent tokens in its prefix (hot) of each text."""
     table = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        nodes, nids, homes, sizes = [], [], [], []
+        nodes, nids, homes, sizes, hots = [], [], [], [], []
         for text in text_bytes(batch["text"]):
             tokens = token_set(text, n)
             node = xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None
             nodes.append(node)
             nids.append(int.from_bytes(node[:8], "little", signed=True) if node else None)
-            homes.append(_ordered(tokens, table.value, percent)[2] if node else None)
+            _, level, home = _ordered(tokens, table.value, percent) if node else (None, np.empty(0), None)
+            homes.append(home)
+            hots.append(int((level > 0).sum()))
             sizes.append(len(tokens))
         return {"doc_id": batch["doc_id"], "row_a": batch["row_a"], "node": pa.array(nodes, pa.binary()),
-                "nid": pa.array(nids, pa.int64()), "home": pa.array(homes, pa.int64()), "n": pa.array(sizes, pa.int64())}
+                "nid": pa.array(nids, pa.int64()), "home": pa.array(homes, pa.int64()), "n": pa.array(sizes, pa.int64()),
+                "hot": pa.array(hots, pa.int64())}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_batches(docs, ["doc_id", "row_a", "text"], run,
-                       f"doc_id {kind}, row_a long, node binary, nid long, home long, n long")
+                       f"doc_id {kind}, row_a long, node binary, nid long, home long, n long, hot long")
+
+
+def _dealt(key: np.ndarray, rows: np.ndarray, parts: int) -> dict[str, pa.Array]:
+    """Records as rows (part, data), by the low bits of their keys."""
+    part = (((key & np.uint64(0xFFFFFFFF)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    part, rows = part[order], rows[order]
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    return {"part": pa.array(part[first], pa.int64()),
+            "data": pa.array([r.tobytes() for r in np.split(rows, first[1:])], pa.binary())}
+
+
+def _each_part(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[np.ndarray]:
+    """The records of each part, of sorted rows."""
+    now, waiting = None, []
+    for batch in batches:
+        for part, data in zip(batch["part"].to_pylist(), batch["data"].to_pylist()):
+            if part != now and waiting:
+                yield np.concatenate(waiting)
+                waiting = []
+            now = part
+            waiting.append(np.frombuffer(data, kind))
+    if waiting:
+        yield np.concatenate(waiting)
+
+
+def _nid(tokens: np.ndarray) -> int:
+    return int.from_bytes(xxhash.xxh3_128_digest(tokens.tobytes())[:8], "little", signed=True)
+
+
+def _shared(docs: DataFrame, n: int, percent: int, levels: np.ndarray, total: int) -> DataFrame:
+    """(nid, shared): prefix tokens that do not stand out and that another set has in its prefix.
+
+    This is what any one set can have in common with it at most, without the frequent tokens.
+    """
+    table, parts = docs.sparkSession.sparkContext.broadcast(levels), total // (15 * PART_TOKENS) + 1
+    kind = np.dtype([("token", "<u8"), ("nid", "<i8")])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            found = []
+            for text in text_bytes(batch["text"]):
+                tokens = token_set(text, n)
+                if len(tokens):
+                    prefix, level, _ = _ordered(tokens, table.value, percent)
+                    rows = np.empty(int((level == 0).sum()), kind)
+                    rows["token"], rows["nid"] = prefix[level == 0], _nid(tokens)
+                    found.append(rows)
+            if found and sum(map(len, found)):
+                rows = np.concatenate(found)
+                yield _dealt(rows["token"], rows, parts)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for rows in _each_part(batches, kind):
+            rows = rows[np.lexsort((rows["nid"], rows["token"]))]
+            same = rows["token"][1:] == rows["token"][:-1]
+            rows = rows[np.concatenate([[True], ~same | (rows["nid"][1:] != rows["nid"][:-1])])]
+            same = rows["token"][1:] == rows["token"][:-1]
+            met = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            nids, counts = np.unique(rows["nid"][met], return_counts=True)
+            yield {"nid": pa.array(nids, pa.int64()), "shared": pa.array(counts, pa.int64())}
+
+    dealt = _rows(docs, ["text"], split, "part long, data binary").repartition(parts, "part").sortWithinPartitions("part")
+    return _rows(dealt, ["part", "data"], meet, "nid long, shared long").groupBy("nid").agg(F.sum("shared").alias("shared"))
 
 
-def _asks(docs: DataFrame, n: int, percent: int, levels: np.ndarray, total: int) -> DataFrame:
+def _asks(docs: DataFrame, n: int, percent: int, levels: np.ndarray, passing: np.ndarray, total: int) -> DataFrame:
     """(nid, group): sets and other groups with a smaller home, whose prefix tokens they share enough of.
 
-    The token-group matrix has a row (token, group) for each prefix token of a group's members. Tokens that do not stand
-    out are dealt by value, so a list of one of them is bounded by the level; frequent ones are dealt by text, and
-    only their distinct (token, group) rows are joined.
+    The token-group matrix has a row (token, group) for each prefix token of a group's members; only rows of ``docs`` that
+    pass the filter take part. Tokens that do not stand out are dealt by value, so a list of one of them is bounded by
+    the level; frequent ones are dealt by text, and only their distinct (token, group) rows are joined.
     """
     spark = docs.sparkSession
     table, parts = spark.sparkContext.broadcast(levels), total // (5 * PART_TOKENS) + 1
+    bits = spark.sparkContext.broadcast(passing)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             found = []
-            for text in text_bytes(batch["text"]):
+            for text in text_bytes(batch["text"].take(pa.array(_passing(batch, bits.value)))):
                 tokens = token_set(text, n)
                 if len(tokens):
                     prefix, level, home = _ordered(tokens, table.value, percent)
                     rows = np.empty(len(prefix), _record)
                     rows["token"], rows["hot"], rows["home"], rows["n"] = prefix, level > 0, home, len(tokens)
-                    rows["nid"] = int.from_bytes(xxhash.xxh3_128_digest(tokens.tobytes())[:8], "little", signed=True)
+                    rows["nid"] = _nid(tokens)
                     found.append(rows)
-            if not found:
-                continue
-            rows = np.concatenate(found)
-            key = np.where(rows["hot"], rows["nid"].view("<u8"), rows["token"]) & np.uint64(0xFFFFFFFF)
-            part = ((key * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            part, rows = part[order], rows[order]
-            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            yield {"part": pa.array(part[first], pa.int64()),
-                   "data": pa.array([r.tobytes() for r in np.split(rows, first[1:])], pa.binary())}
+            if found:
+                rows = np.concatenate(found)
+                yield _dealt(np.where(rows["hot"], rows["nid"].view("<u8"), rows["token"]), rows, parts)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        now, waiting = None, []
-        for batch in batches:
-            for part, data in zip(batch["part"].to_pylist(), batch["data"].to_pylist()):
-                if part != now and waiting:
-                    yield from _met(np.concatenate(waiting))
-                    waiting = []
-                now = part
-                waiting.append(np.frombuffer(data, _record))
-        if waiting:
-            yield from _met(np.concatenate(waiting))
+        for rows in _each_part(batches, _record):
+            yield from _met(rows)
 
-    dealt = _rows(docs, ["text"], split, "part long, data binary").repartition(parts, "part").sortWithinPartitions("part")
+    dealt = _rows(docs, ["row_a", "text"], split, "part long, data binary").repartition(
+        parts, "part").sortWithinPartitions("part")
     found = stored(_rows(dealt, ["part", "data"], meet, "token long, nid long, home long, n int, matches long"))
     hot = stored(found.where("token is not null").select("token", "nid", "home", "n").distinct())
     weights = hot.groupBy("token").agg(F.count(F.lit(1)).alias("weight"), F.min("home").alias("x"), F.max("home").alias("y"))
@@ -278,6 +361,12 @@ def _places(keys: np.ndarray) -> list[np.ndarray]:
             ((mixed >> np.uint64(6)) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)]
 
 
+def _passing(batch: pa.RecordBatch, bits: np.ndarray) -> np.ndarray:
+    """The rows of a batch that pass a filter."""
+    places = _places(batch["row_a"].to_numpy(zero_copy_only=False))
+    return np.flatnonzero(np.logical_and(*[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 for at in places]))
+
+
 def _sets(docs: DataFrame, n: int, wanted: np.ndarray) -> DataFrame:
     """(nid, node, tokens): sets of the rows that pass the filter, each node once."""
     bits = docs.sparkSession.sparkContext.broadcast(wanted)
@@ -285,8 +374,7 @@ def _sets(docs: DataFrame, n: int, wanted: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         seen: set[bytes] = set()
         for batch in batches:
-            places = _places(batch["row_a"].to_numpy(zero_copy_only=False))
-            passing = np.flatnonzero(np.logical_and(*[(bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 for at in places]))
+            passing = _passing(batch, bits.value)
             for start in range(0, len(passing), 256):
                 nodes, sets = [], []
                 for text in text_bytes(batch["text"].take(pa.array(passing[start:start + 256]))):
@@ -405,7 +493,7 @@ def similar_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFr
     are linked with nothing. A null id is never the smallest unless all ids of a component are null; repeated
     rows are documents of their own with the same values. An empty table gives no rows; other columns are not read.
 
-    Equal sets are one node. A node's group is its home token; a group's members are linked inside one task, in blocks of a
+    Equal sets are one node. Nodes that share too few tokens of their prefixes with any others are left alone. A node's group is its home token; a group's members are linked inside one task, in blocks of a
     bounded number of tokens, where each emits one edge at most, and nodes with enough prefix tokens in common with
     another group are compared with its members only if the union of their tokens holds enough of the node's.
     """
@@ -414,26 +502,31 @@ def similar_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFr
     seen = stored(_documents(docs, shingle, percent, levels))
     nodes = stored(seen.where("n > 0").groupBy("node", "nid", "home").agg(
         F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("least"), F.min("row_a").alias("row_a"),
-        F.first("n").alias("n")))
-    asks = stored(_asks(docs, shingle, percent, levels, total))
+        F.first("n").alias("n"), F.first("hot").alias("hot")))
+    # A set is linked with another only if it has enough prefix tokens in common with others.
+    shared = _shared(docs, shingle, percent, levels, total)
+    able = stored(nodes.join(shared, "nid", "left").where(
+        F.col("hot") + F.coalesce("shared", F.lit(0)) >= 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 20)))
+    asks = stored(_asks(docs, shingle, percent, levels, _filter(able.select("row_a")), total).join(
+        able.select("nid"), "nid", "left_semi"))
 
     # Groups with company, or with a set that asks them.
-    sizes = nodes.groupBy("home").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens"))
+    sizes = able.groupBy("home").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens"))
     asking = asks.groupBy(F.col("group").alias("home")).agg(F.count(F.lit(1)).alias("asking"))
     live = stored(sizes.join(asking, "home", "left").where("members > 1 or asking > 0").select(
         "home", (F.col("members") + F.coalesce("asking", F.lit(0))).alias("weight"),
         F.ceil(F.col("tokens") / BLOCK_TOKENS).alias("blocks")))
     group = F.col("home").alias("group")
-    members = attach(nodes, live, ["home"], "weight").withColumn("own", F.pmod(F.xxhash64("nid"), "blocks"))
+    members = attach(able, live, ["home"], "weight").withColumn("own", F.pmod(F.xxhash64("nid"), "blocks"))
     at_home = members.select("nid", group, F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("block"), "own", "n_docs").select(
         "nid", "group", "block", (F.col("block") == F.col("own")).alias("is_member"), "n_docs")
-    named = asks.join(nodes.select("nid", "n_docs"), "nid").select("nid", F.col("group").alias("home"), "n_docs")
+    named = asks.join(able.select("nid", "n_docs"), "nid").select("nid", F.col("group").alias("home"), "n_docs")
     elsewhere = attach(named, live, ["home"], "weight").select(
         "nid", group, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
         F.lit(False).alias("is_member"), "n_docs")
     places = stored(at_home.unionByName(elsewhere))
 
-    wanted = nodes.join(places.select("nid").distinct(), "nid", "left_semi").select("row_a")
+    wanted = able.join(places.select("nid").distinct(), "nid", "left_semi").select("row_a")
     sets = _sets(docs, shingle, _filter(wanted))
     found = stored(_linked(sets.join(places, "nid"), percent))
     roots = connected_components(found.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")))

@@ -79,9 +79,18 @@ def test_awkward_rows_and_empty_table(spark, corpus, corpus_rows, empty, clashin
     assert sorted(map(tuple, got), key=str) == sorted(brute_force(corpus_rows, 4, 85), key=str)
 
 
-def test_tokens_do_not_depend_on_what_is_remembered():
-    text = (" ".join(f"Word{i} und  so\tweiter" for i in range(300)) + " " + "x" * 5000).encode()
+def test_tokens_do_not_depend_on_sections(monkeypatch):
+    text = (" ".join(f"Word{i} und  so\tweiter" for i in range(300)) + " " + "x" * 5000 + "\n" + "y " * 9 + "z" * 7000).encode()
     first = set_join.token_set(text, 4)
-    set_join._words.clear()
-    assert (set_join.token_set(text.upper().replace(b"UND", b"und"), 4) == first).all()
+    monkeypatch.setattr(set_join, "SECTION", 1000)
+    for name, base in (("_up", set_join._BASE), ("_down", pow(set_join._BASE, -1, 1 << 64))):
+        monkeypatch.setattr(set_join, name, set_join._powers(base, 1000))
+    assert (set_join.token_set(text.upper(), 4) == set_join.token_set(text.lower(), 4)).all()
+    assert (set_join.token_set(text, 4) == first).all()
     assert len(first) == len(shingles(text.decode(), 4))
+
+
+def test_hashes_of_many_words_differ():
+    words = {bytes([a, b, c]) for a in range(33, 65) for b in range(33, 65) for c in range(33, 65)}
+    words |= {bytes([a]) * n for a in range(33, 127) for n in range(1, 50)}
+    assert len(set(set_join._word_hashes(b" ".join(words)).tolist())) == len(words)
