@@ -20,7 +20,7 @@ VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Most bytes of text whose incidence matrices are held at once, but for a group that is longer.
 BLOCK_BYTES = 1 << 20
 #: Most chunks of text whose identifiers a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 150_000, 64
+REMEMBERED, LONGEST = 120_000, 64
 #: Characters encoded at once, and texts worked on together.
 SECTION, TEXTS = 1 << 20, 256
 #: Linked id pairs that are broadcast; a larger table is joined by a shuffle, but for its frequent pairs.
@@ -28,6 +28,7 @@ BROADCAST_PAIRS = 400_000
 #: Both tokenizers may be run on the parts between these places and give the same as on the whole: neither merges
 #: across a single blank or line end between two characters that are not white space.
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+TWO_BLANKS = re.compile(r"\s\s")
 
 
 @dataclass
@@ -149,39 +150,73 @@ class Encoders:
         #: Each identifier as text with what may follow it: in a list, last of a list of A, last of a group.
         self.texts = [b"%d%s" % (i, mark) for n, marks in ((len(self.bytes_a), b",|"), (len(self.bytes_b), b",;"))
                       for mark in (marks[:1], marks[1:]) for i in range(n)]
-        self.memory: dict[str, tuple[bytes, bytes] | None] = {}
+        #: Identifiers by A and B of a word after a blank, of a word with its line end, or of a chunk with its blank.
+        self.memory: dict[str, tuple[bytes, bytes]] = {}
+        self.before: dict[str, tuple[bytes, bytes]] = {}
 
-    def _encode(self, chunks: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Identifiers of chunks that start with a blank or a line end; None where the bytes are not theirs."""
-        of_a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
+    def _whole(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Identifiers of a text that starts with a blank or a line end; None where the bytes are not its own."""
+        a = self.a.encode(text, add_special_tokens=False).ids
         # B puts a blank before what it gets; before a line end that is one token too many.
-        of_b = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
-        out: list[tuple[bytes, bytes] | None] = []
-        for chunk, a, b in zip(chunks, of_a, of_b):
-            b = b if chunk[0] == " " else b[1:]
-            data = chunk.encode()
-            same = all(b"".join(map(table.__getitem__, ids)) == data
-                       for table, ids in ((self.bytes_a, a), (self.bytes_b, b)))
-            out.append((np.array(a, "<i4").tobytes(), np.array(b, "<i4").tobytes()) if same else None)
+        b = self.b.encode(text[1:]) if text[0] == " " else self.b.encode(text)[1:]
+        data = text.encode()
+        if any(b"".join(map(t.__getitem__, ids)) != data for t, ids in ((self.bytes_a, a), (self.bytes_b, b))):
+            return None
+        return np.array(a, "<i4"), np.array(b, "<i4")
+
+    def _learn(self, keys: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
+        """Identifiers of new chunks; those between places of ``CUT`` are encoded as one text and cut by their bytes."""
+        chunks = [k if k[0] in " \n" else " " + k for k in keys]
+        plain = [not c[1:2].isspace() and len(c) > 1 and not c[-1].isspace() for c in chunks]
+        joined = [(k, c) for k, c, p in zip(keys, chunks, plain) if p]
+        alone = [(k, c) for k, c, p in zip(keys, chunks, plain) if not p]
+        out: dict[str, tuple[bytes, bytes] | None] = {}
+        found = self._whole("".join([c for _, c in joined])) if joined else None
+        if found is None:
+            alone += joined
+        else:
+            ends = np.cumsum([len(c.encode()) for _, c in joined])
+            sides = []
+            for ids, sizes in zip(found, (self.size_a, self.size_b)):
+                cuts = (4 * (np.searchsorted(np.cumsum(sizes[ids]), ends) + 1)).tolist()
+                data = ids.tobytes()
+                sides.append([data[i:j] for i, j in zip([0, *cuts], cuts)])
+            out.update(zip([k for k, _ in joined], zip(*sides)))
+        for key, chunk in alone:
+            own = self._whole(chunk)
+            out[key] = own and (own[0].tobytes(), own[1].tobytes())
         return out
 
-    def encode(self, text: str) -> tuple[bytes, bytes] | None:
-        """Identifiers of a blank and the text by A and by B; None if bytes of either differ from it."""
-        known, parts = self.memory, []
-        for section in _sections(" " + text):
-            chunks = _chunks(section)
-            found = list(map(known.get, chunks))
-            if None in found:
-                new = list(dict.fromkeys(c for c, e in zip(chunks, found) if e is None))
-                learned = dict(zip(new, self._encode(new)))
-                if None in learned.values():
-                    return None
-                found = [learned[c] if e is None else e for c, e in zip(chunks, found)]
-                if len(known) > REMEMBERED:
-                    known.clear()
-                known.update((c, e) for c, e in learned.items() if len(c) <= LONGEST)
-            parts += found
-        return b"".join([a for a, _ in parts]), b"".join([b for _, b in parts])
+    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """Identifiers of a blank and each text by A and by B; none for empty texts and where bytes of either differ."""
+        out: list[list[tuple[bytes, bytes]] | None] = [[] for _ in texts]
+        waiting: list[tuple[int, list[str]]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            for section in _sections(" " + text) if text else ():
+                waiting.append((i, _chunks(section)))
+                size += len(section)
+                if size >= 4 * SECTION:
+                    self._encode(waiting, out)
+                    waiting, size = [], 0
+        self._encode(waiting, out)
+        return [(b"".join([a for a, _ in parts]), b"".join([b for _, b in parts])) if parts else (b"", b"") for parts in out]
+
+    def _encode(self, waiting: list[tuple[int, list[str]]], out: list[list[tuple[bytes, bytes]] | None]) -> None:
+        known, before = self.memory, self.before
+        found = [list(map(known.get, keys)) for _, keys in waiting]
+        new = dict.fromkeys(k for (_, keys), f in zip(waiting, found) if None in f for k, e in zip(keys, f) if e is None)
+        old = {k: e for k in new if (e := before.get(k)) is not None}
+        learned = old | self._learn([k for k in new if k not in old])
+        for (i, keys), f in zip(waiting, found):
+            if None in f:
+                f = [learned[k] if e is None else e for k, e in zip(keys, f)]
+            if out[i] is not None:
+                out[i] = None if None in f else out[i] + f
+        if len(known) > REMEMBERED:
+            # What is in use moves over from the memory before this one.
+            self.memory, self.before = {}, known
+        self.memory.update((k, e) for k, e in learned.items() if e is not None and len(k) <= LONGEST)
 
 
 def _byte_letters() -> dict[str, bytes]:
@@ -199,11 +234,10 @@ def _piece_bytes(piece: str) -> bytes:
 
 
 def _chunks(section: str) -> list[str]:
-    """The parts of a section between the places of ``CUT``."""
-    words = section.replace("\n", " \n").split(" ")
-    if not words[0] and all(w and not w[-1].isspace() and not w[w[0] == "\n"].isspace() for w in words[1:]):
-        return [w if w[0] == "\n" else " " + w for w in words[1:]]
-    return CUT.split(section)
+    """The parts of a section between the places of ``CUT``; without their blank if all of them are plain words."""
+    if section[-1].isspace() or TWO_BLANKS.search(section):
+        return CUT.split(section)
+    return section.replace("\n", " \n").split(" ")[1:]
 
 
 def _sections(text: str) -> Iterator[str]:
@@ -234,8 +268,7 @@ def _sums(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 def _aligned(tools: Encoders, texts: list[str | None]) -> dict[str, list]:
     """What ``align_documents`` returns of some texts."""
-    nothing = b"", b""
-    ids = [(tools.encode(t) if t else None) or nothing for t in texts]
+    ids = tools.encode(texts)
     a, b = (np.frombuffer(b"".join([i[side] for i in ids]), "<i4") for side in (0, 1))
     cut_a, cut_b = (np.concatenate([[0], np.cumsum([len(i[side]) // 4 for i in ids])]) for side in (0, 1))
     found = Alignment.of(tools.size_a[a], tools.size_b[b])
