@@ -541,3 +541,11 @@ def similar_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFr
     return named.unionByName(seen.where("n = 0").select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"),
         F.lit(0).cast("long").alias("n_links")))
+
+
+def smallest_ids(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """(component_id): the smallest doc_id of each component of ``similar_sets``; texts without words are one component."""
+    found = stored(similar_sets(docs, shingle, percent).select("doc_id", "n_shingles", "component_id"))
+    blank = found.where("n_shingles = 0").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    return found.where("n_shingles > 0").select("component_id").distinct().unionByName(
+        blank.where("n > 0").select("component_id"))
