@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from curveloom.llm import similar
+from curveloom.llm import set_join
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -48,10 +48,10 @@ def test_planted_copies_go(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, len(texts), 2))
 
 
-@pytest.mark.parametrize("first", [1, 4])
-def test_components_against_all_pairs(spark, monkeypatch, first):
+@pytest.mark.parametrize("block", [400, 1 << 20])
+def test_components_against_all_pairs(spark, monkeypatch, block):
     """Chains, dense groups larger than a small band, and texts just too far apart."""
-    monkeypatch.setattr(similar, "FIRST", first)
+    monkeypatch.setattr(set_join, "BLOCK_TOKENS", block)
     rng = random.Random(8)
     texts = [None, "", " \n", "one", "One ", "one two"]
     for size in (1, 1, 2, 5, 40, 40):
@@ -67,6 +67,6 @@ def test_components_against_all_pairs(spark, monkeypatch, first):
                 old, new = max(group[i], group[j]), min(group[i], group[j])
                 group = [new if g == old else g for g in group]
     docs = spark.createDataFrame(rows_of(texts), SCHEMA).repartition(3)
-    got = sorted(r[0] for r in similar.smallest_ids(docs).collect())
+    got = sorted(r[0] for r in set_join.smallest_ids(docs).collect())
     assert got == sorted(set(group)) and len(got) > 10
-    assert similar.smallest_ids(docs.limit(0)).count() == 0
+    assert set_join.smallest_ids(docs.limit(0)).count() == 0
