@@ -23,10 +23,13 @@ _own_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """A fresh folder below ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs in one
+    process, as in tests. On a cluster the setting is needed."""
     base = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not base:
-        application = spark.sparkContext.applicationId
+        master, application = spark.sparkContext.master, spark.sparkContext.applicationId
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         if application not in _own_folders:
             _own_folders[application] = tempfile.mkdtemp(prefix="spark-")
         base = _own_folders[application]
