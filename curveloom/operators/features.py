@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from curveloom.functions.scalars import LOG_FLOOR, floored_log, standardise, uns
 from curveloom.functions.shape import (
     DESCRIPTOR_COLUMNS, N_WEIGHTS, coefficient, describe_shapes,
 )
+from curveloom.operators.gram import moments
 from curveloom.operators.quality import drop_overlap
 from curveloom.operators.skew import attach, find_hot_keys
 
@@ -134,14 +137,14 @@ def vector_mean(df: DataFrame, vector: str, size: int) -> DataFrame:
 
 
 def vector_covariance(df: DataFrame, vector: str, size: int) -> DataFrame:
-    """(i, j, covariance) with n - 1, for i <= j.
+    """(i, j, covariance) with n - 1, for i <= j, over the rows whose vector is complete.
 
-    Grouped by the first index with one covariance per second index: ``size`` groups are combined
-    before the shuffle, and the aggregation stays small enough to be compiled.
+    Each task multiplies its batches; see ``gram``. The result is a small table made from the merged matrix.
     """
-    rows = df.select(F.posexplode(vector).alias("i", "_v"), vector)
-    wide = rows.groupBy("i").agg(*[
-        F.covar_samp("_v", F.get(F.col(vector), F.lit(j))).alias(f"c_{j}") for j in range(size)
-    ])
-    entries = F.posexplode(F.array(*[f"c_{j}" for j in range(size)]))
-    return wide.select("i", entries.alias("j", "covariance")).where(F.col("i") <= F.col("j"))
+    found = moments(df, F.col(vector), size)
+    i, j = np.triu_indices(size)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        values = found.covariance()[i, j] if found.n > 1 else np.full(len(i), np.nan)
+    table = pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "covariance": values})
+    return df.sparkSession.createDataFrame(table, "i int, j int, covariance double").withColumn(
+        "covariance", F.when(~F.isnan("covariance"), F.col("covariance")))

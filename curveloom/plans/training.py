@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
@@ -18,7 +19,7 @@ from curveloom.operators.metrics import (
     best_candidates, pair_targets, regression_metrics, relative_score,
 )
 from curveloom.operators.models import (
-    ModelConfig, TargetModels, fit_models, select_models, training_history,
+    ModelConfig, TargetModels, fit_candidates, fit_models, score_models, select_models, training_history,
 )
 from curveloom.operators.quality import (
     PROFILE_COLUMNS, PROFILE_POINTS, keep_recorded, require_columns, target_columns,
@@ -28,6 +29,7 @@ from curveloom.operators.split import (
     sample_entities,
 )
 from curveloom.operators.stacking import blend, fit_stacking, weighted_mean, weights_as_dict
+from curveloom.session import stored
 from curveloom.sources.store import RunStore
 from curveloom.sources.tables import combine
 
@@ -42,11 +44,11 @@ STOPPING_SHARE = 0.1
 class TrainingPlan:
     """What to train on; the columns are addressed by name throughout.
 
-    ``targets=all_targets(df)`` trains on every output and profile position of a table.
+    Without ``targets`` every output and profile position of the table is a target.
     """
 
     features: tuple[str, ...] = tuple(ALL_FEATURES)
-    targets: tuple[str, ...] = ("CL", "CD", "CM")
+    targets: tuple[str, ...] | None = None
     entity: str = "entity_id"
     reynolds: str | None = "Re"
     drag: str = "CD"
@@ -55,6 +57,10 @@ class TrainingPlan:
     test_fraction: float = 0.2
     validation_fraction: float = 0.2
 
+    def on(self, df: DataFrame) -> "TrainingPlan":
+        """The plan with the targets it has on a table."""
+        return self if self.targets is not None else replace(self, targets=all_targets(df))
+
 
 def flatten_shapes(df: DataFrame) -> DataFrame:
     """Shape arrays to the 18 flat feature columns."""
@@ -76,6 +82,7 @@ def with_features(df: DataFrame, plan: TrainingPlan, labelled: bool = True) -> D
         df = flatten_shapes(df)
     require_columns(df, plan.features, "feature")
     if labelled:
+        plan = plan.on(df)
         df = flatten_profiles(df, plan.targets)
         require_columns(df, plan.targets, "target")
     return df
@@ -136,16 +143,18 @@ def scale_labels(df: DataFrame, scaler: Scaler, plan: TrainingPlan) -> DataFrame
 
 
 def predict_physical(
-    df: DataFrame, model: TargetModels, scaler: Scaler, plan: TrainingPlan, prefix: str
+    df: DataFrame, models: dict[str, TargetModels], scaler: Scaler, plan: TrainingPlan
 ) -> DataFrame:
-    """Add ``prefix + target`` in physical units; ``df`` carries the scaled inputs."""
-    scored = model.predict(df, prefix="_hat_").withColumns({
-        f"{prefix}{t}": F.col(f"_hat_y_{t}") * F.lit(scaler.statistics[t][1])
-        + F.lit(scaler.statistics[t][0])
-        for t in plan.targets
-    }).drop(*[f"_hat_y_{t}" for t in plan.targets])
+    """Add ``name__target`` in physical units for all models, in one pass; ``df`` carries the scaled inputs."""
+    scored = score_models(df, {f"_hat_{name}__": model for name, model in models.items()})
+    hats = {f"{name}__{t}": (f"_hat_{name}__y_{t}", t) for name in models for t in plan.targets}
+    scored = scored.withColumns({
+        column: F.col(hat) * F.lit(scaler.statistics[t][1]) + F.lit(scaler.statistics[t][0])
+        for column, (hat, t) in hats.items()
+    }).drop(*[hat for hat, _ in hats.values()])
     if plan.log_drag and plan.drag in plan.targets:
-        scored = unlog_label(scored, f"{prefix}{plan.drag}")
+        for name in models:
+            scored = unlog_label(scored, f"{name}__{plan.drag}")
     return scored
 
 
@@ -164,6 +173,7 @@ def train(
     predictions on validation and test rows and the configuration.
     """
     names = select_models(only)
+    plan = plan.on(df)
     df = with_features(df, plan)
     if holdout is None:
         split = entity_split(
@@ -189,22 +199,16 @@ def train(
     stopping = uniform(F.col(plan.entity), plan.seed, "stopping") < F.lit(STOPPING_SHARE)
     labels = [f"y_{t}" for t in plan.targets]
     evaluated = scale_inputs(rows.where(F.col("split") != TRAIN), scaler, plan)
-    histories, predictions = [], []
+    models = {}
     for name in names:
-        model = fit_models(
-            scaled, _scaled_names(plan), labels, name, config, stopping
-        )
-        model.save(store.path("models"))
-        histories.append(training_history(model, scaled))
-        columns = prediction_columns([name], plan.targets)
-        scored = predict_physical(evaluated, model, scaler, plan, f"{name}__")
-        conditions = [c for c in CONDITION_COLUMNS if c in plan.features]
-        kept = ["split", "row_key", plan.entity, *conditions]
-        paired = pair_targets(scored, columns, kept, plan.targets)
-        predictions.append(paired)
-    store.write("history", combine(histories))
+        models[name] = fit_models(scaled, _scaled_names(plan), labels, name, config, stopping)
+        models[name].save(store.path("models"), df.sparkSession)
+    scored = predict_physical(evaluated, models, scaler, plan)
+    kept = ["split", "row_key", plan.entity, *[c for c in CONDITION_COLUMNS if c in plan.features]]
+    predictions = pair_targets(scored, prediction_columns(names, plan.targets), kept, plan.targets)
+    store.write("history", combine([training_history(m, df.sparkSession) for m in models.values()]))
     # Rows are scored once, on their way into the predictions table; metrics read that table.
-    stored = store.save_predictions(combine(predictions))
+    stored = store.save_predictions(predictions)
     result = regression_metrics(
         stored.where(F.col("model").isin(*names)), ["model", "split", "target"]
     )
@@ -228,22 +232,17 @@ def recorded_plan(store: RunStore, default: TrainingPlan = TrainingPlan()) -> Tr
     )
 
 
-def load_models(store: RunStore, names: Sequence[str], plan: TrainingPlan) -> dict[str, TargetModels]:
-    labels = [f"y_{t}" for t in plan.targets]
-    return {
-        n: TargetModels.load(store.path("models"), n, _scaled_names(plan), labels) for n in names
-    }
+def load_models(store: RunStore, names: Sequence[str]) -> dict[str, TargetModels]:
+    return {n: TargetModels.load(store.path("models"), n, store.spark) for n in names}
 
 
 def score_with_saved(
     df: DataFrame, store: RunStore, names: Sequence[str], plan: TrainingPlan | None = None
 ) -> DataFrame:
-    """Physical predictions ``model__target`` of saved models for rows with raw features."""
+    """Physical predictions ``model__target`` of saved models for rows with raw features, in one pass."""
     plan = recorded_plan(store) if plan is None else plan
     scaler = store.scaler()
-    scored = scale_inputs(df, scaler, plan)
-    for name, model in load_models(store, names, plan).items():
-        scored = predict_physical(scored, model, scaler, plan, f"{name}__")
+    scored = predict_physical(scale_inputs(df, scaler, plan), load_models(store, names), scaler, plan)
     return scored.drop(*_scaled_names(plan))
 
 
@@ -295,18 +294,18 @@ def stack(
 
 # -- search -------------------------------------------------------------------------------------
 
-# Candidate settings of the published search, leaf caps turned into depths (fixed values).
+# Candidate settings of the published search (fixed values).
 FOREST_CANDIDATES = [
-    {"forest_trees": 250, "forest_min_leaf": 25, "forest_depth": 12, "forest_features": "0.7"},
-    {"forest_trees": 250, "forest_min_leaf": 10, "forest_depth": 13, "forest_features": "0.7"},
-    {"forest_trees": 400, "forest_min_leaf": 15, "forest_depth": 13, "forest_features": "0.8"},
-    {"forest_trees": 250, "forest_min_leaf": 5, "forest_depth": 14, "forest_features": "0.8"},
+    {"forest_trees": 250, "forest_min_leaf": 25, "forest_leaves": 5000, "forest_features": 0.7},
+    {"forest_trees": 250, "forest_min_leaf": 10, "forest_leaves": 8000, "forest_features": 0.7},
+    {"forest_trees": 400, "forest_min_leaf": 15, "forest_leaves": 8000, "forest_features": 0.8},
+    {"forest_trees": 250, "forest_min_leaf": 5, "forest_leaves": 12000, "forest_features": 0.8},
 ]
 BOOSTING_CANDIDATES = [
-    {"boosting_rate": 0.08, "boosting_depth": 5, "boosting_rounds": 200},
-    {"boosting_rate": 0.10, "boosting_depth": 6, "boosting_rounds": 300},
-    {"boosting_rate": 0.05, "boosting_depth": 6, "boosting_rounds": 400},
-    {"boosting_rate": 0.10, "boosting_depth": 7, "boosting_rounds": 250},
+    {"boosting_rate": 0.08, "boosting_leaves": 31, "boosting_rounds": 200},
+    {"boosting_rate": 0.10, "boosting_leaves": 63, "boosting_rounds": 300},
+    {"boosting_rate": 0.05, "boosting_leaves": 63, "boosting_rounds": 400},
+    {"boosting_rate": 0.10, "boosting_leaves": 127, "boosting_rounds": 250},
 ]
 CANDIDATES = {"random_forest": FOREST_CANDIDATES, "boosting": BOOSTING_CANDIDATES}
 
@@ -314,35 +313,37 @@ CANDIDATES = {"random_forest": FOREST_CANDIDATES, "boosting": BOOSTING_CANDIDATE
 def search(
     df: DataFrame, plan: TrainingPlan = TrainingPlan(), n_entities: int = 12_000,
     candidates: dict[str, list[dict]] | None = None, base: ModelConfig = ModelConfig(),
-) -> tuple[DataFrame, DataFrame]:
-    """Score every candidate on an entity sample; returns (scores, best per model)."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fit every candidate on a sample of entities and score it on held-out ones.
+
+    Returns (metrics of each candidate and target, score of each candidate, best candidate of each model). All candidates of
+    a model are fitted by the same scans, and all candidates are scored in one pass. What they predict
+    is a table of its own, which the three results read.
+    """
     candidates = CANDIDATES if candidates is None else candidates
+    plan, spark = plan.on(df), df.sparkSession
     sampled = sample_entities(with_features(df, plan), plan.entity, n_entities, plan.seed)
     used = sampled.select(plan.entity, *plan.features, *plan.targets)
     split = entity_split(used, plan.entity, plan.test_fraction, plan.validation_fraction, plan.seed)
-    rows = label_rows(used, split, plan.entity).persist()
-    try:
-        training = rows.where(F.col("split") == TRAIN)
-        scaler = fit_scaler(training, plan)
-        scaled = scale_labels(scale_inputs(training, scaler, plan), scaler, plan)
-        validation = scale_inputs(rows.where(F.col("split") == VALIDATION), scaler, plan)
-        stopping = uniform(F.col(plan.entity), plan.seed, "stopping") < F.lit(STOPPING_SHARE)
-        found = []
-        for name in select_models(list(candidates)):
-            for i, settings in enumerate(candidates[name]):
-                model = fit_models(
-                    scaled, _scaled_names(plan), [f"y_{t}" for t in plan.targets], name,
-                    replace(base, **settings), stopping,
-                )
-                scored = predict_physical(validation, model, scaler, plan, f"{name}__")
-                paired = pair_targets(
-                    scored, prediction_columns([name], plan.targets), [], plan.targets
-                )
-                score = relative_score(paired, ["model"]).first()["score"]
-                found.append((name, i, str(settings), float(score)))
-    finally:
-        rows.unpersist()
-    scores = df.sparkSession.createDataFrame(
-        found, "model string, candidate int, settings string, score double"
-    )
-    return scores, best_candidates(scores, ["model"], "candidate")
+    rows = stored(label_rows(used, split, plan.entity))
+    training = rows.where(F.col("split") == TRAIN)
+    scaler = fit_scaler(training, plan)
+    scaled = scale_labels(scale_inputs(training, scaler, plan), scaler, plan)
+    validation = scale_inputs(rows.where(F.col("split") == VALIDATION), scaler, plan)
+    stopping = uniform(F.col(plan.entity), plan.seed, "stopping") < F.lit(STOPPING_SHARE)
+    models, settings = {}, []
+    for name in select_models(list(candidates)):
+        fitted = fit_candidates(
+            scaled, _scaled_names(plan), [f"y_{t}" for t in plan.targets], name,
+            [replace(base, **s) for s in candidates[name]], stopping,
+        )
+        for i, model in enumerate(fitted):
+            models[f"{name}#{i}"] = model
+            settings.append((f"{name}#{i}", name, i, json.dumps(candidates[name][i], sort_keys=True)))
+    scored = predict_physical(validation, models, scaler, plan)
+    paired = stored(pair_targets(scored, prediction_columns(list(models), plan.targets), [], plan.targets))
+    known = F.broadcast(spark.createDataFrame(settings, "id string, model string, candidate int, settings string"))
+    named = paired.withColumnRenamed("model", "id")
+    metrics = regression_metrics(named, ["id", "target"]).join(known, "id").drop("id", "settings")
+    scores = relative_score(named, ["id"]).join(known, "id").select("model", "candidate", "settings", "score")
+    return metrics, scores, best_candidates(scores, ["model"], "candidate")

@@ -16,7 +16,7 @@ from curveloom.operators.quality import envelope_flags, fill_conditions
 from curveloom.operators.synth import SamplingConfig, explode_conditions, operating_points, sample_shapes
 from curveloom.plans.prediction import feature_rows, predict_table as predictions_of, query_rows
 from curveloom.plans.training import (
-    SHAPE_FEATURES, TrainingPlan, evaluate, evaluate_mean, flatten_shapes, stack, train,
+    SHAPE_FEATURES, TrainingPlan, evaluate, evaluate_mean, flatten_shapes, search, stack, train,
 )
 from curveloom.registry.book import Book, r6, rounded
 from curveloom.registry.entities import SPLIT
@@ -202,13 +202,13 @@ def ridge(spark, folder):
         "alpha", "log_re", *TARGETS
     )
     fitted = fit_models(rows, ["alpha", "log_re"], TARGETS, "ridge")
-    return rounded(ridge_coefficients(fitted, rows))
+    return rounded(ridge_coefficients(fitted, spark))
 
 
 # Trees of one split over a feature of few values: SQL finds the same split by least squares.
 STUMPS = ModelConfig(
-    forest_trees=1, forest_depth=1, forest_min_leaf=1, forest_features="all", forest_bootstrap=False,
-    boosting_rounds=1, boosting_depth=1,
+    forest_trees=1, forest_leaves=2, forest_min_leaf=1, forest_features=1.0, forest_bootstrap=False,
+    boosting_rounds=1, boosting_leaves=2, boosting_min_leaf=1, boosting_rate=1.0,
 )
 PLAN = TrainingPlan(
     features=("reynolds",), targets=TARGETS, reynolds="reynolds", drag="cd", log_drag=True,
@@ -237,6 +237,21 @@ stump AS (SELECT lab.*, CASE WHEN reynolds <= cut THEN low ELSE high END AS fit
 stumped AS (SELECT *, CASE WHEN target = 'cd' THEN exp(fit) ELSE fit END AS predicted FROM stump)"""
 
 
+def _joint_stump_sql() -> str:
+    """One cut for all targets: the least squared error of their scaled labels over training rows."""
+    return """, zs AS (SELECT target, avg(label) AS my, stddev_pop(label) AS sy FROM lab WHERE split = 'train' GROUP BY target),
+per AS (SELECT target, reynolds, count(*) AS n, sum((label - my) / sy) AS s FROM lab JOIN zs USING (target)
+  WHERE split = 'train' GROUP BY ALL),
+cuts AS (SELECT a.target, a.reynolds AS cut, sum(b.n) FILTER (WHERE b.reynolds <= a.reynolds) AS nl,
+    sum(b.s) FILTER (WHERE b.reynolds <= a.reynolds) AS sl, sum(b.n) FILTER (WHERE b.reynolds > a.reynolds) AS nr,
+    sum(b.s) FILTER (WHERE b.reynolds > a.reynolds) AS sr
+  FROM per a JOIN per b USING (target) GROUP BY a.target, a.reynolds),
+joint AS (SELECT cut FROM cuts WHERE nr > 0 GROUP BY cut ORDER BY sum(sl * sl / nl + sr * sr / nr) DESC LIMIT 1),
+best AS (SELECT target, cut, my + sy * sl / nl AS low, my + sy * sr / nr AS high FROM cuts JOIN joint USING (cut) JOIN zs USING (target)),
+stump AS (SELECT lab.*, CASE WHEN reynolds <= cut THEN low ELSE high END AS fit FROM lab JOIN best USING (target)),
+stumped AS (SELECT *, CASE WHEN target = 'cd' THEN exp(fit) ELSE fit END AS predicted FROM stump)"""
+
+
 def _scores_sql(model: str, source: str, by: str) -> str:
     e = "(actual - predicted)"
     sst = "var_pop(actual) * count(actual)"
@@ -278,7 +293,7 @@ def _training_rows(spark, folder):
     )
 
 
-@book.add("forest_scores", _labels_sql(_stump_sql("split = 'train'"))
+@book.add("forest_scores", _labels_sql(_joint_stump_sql())
           + _scores_sql("random_forest", "stumped WHERE split <> 'train'", "split, target"))
 def forest_scores(spark, folder):
     return rounded(train(_training_rows(spark, folder), run_store(spark), PLAN, STUMPS, ["random_forest"]))
@@ -290,7 +305,7 @@ def boosted_scores(spark, folder):
     return rounded(train(_training_rows(spark, folder), run_store(spark), PLAN, STUMPS, ["boosting"]))
 
 
-@book.add("train_and_stack", _labels_sql(_stump_sql("split = 'train'") + _RIDGE + _STACK) + _scores_sql("stack", "stacked", "target"))
+@book.add("train_and_stack", _labels_sql(_joint_stump_sql() + _RIDGE + _STACK) + _scores_sql("stack", "stacked", "target"))
 def train_and_stack(spark, folder):
     """Ridge and forest trained, then blended on validation entities; metrics on test entities."""
     rows, store = _training_rows(spark, folder), run_store(spark)
@@ -306,7 +321,7 @@ def saved_model_scores(spark, folder):
     return rounded(evaluate(rows, store, "ridge"))
 
 
-@book.add("mean_of_models_scores", _labels_sql(_stump_sql("split = 'train'") + _RIDGE + _STACK + """, mixed AS (
+@book.add("mean_of_models_scores", _labels_sql(_joint_stump_sql() + _RIDGE + _STACK + """, mixed AS (
   SELECT target, actual, (2 * p1 + p2) / 3 AS predicted FROM both_all WHERE split = 'test')""") + _scores_sql("mean", "mixed", "target"))
 def mean_of_models_scores(spark, folder):
     """Two saved models weighted two to one, scored on the test entities on record."""
@@ -570,3 +585,124 @@ def synth_shapes(spark, folder):
     cases = spread_scan(table(spark, folder, "customer").select("c_custkey"), "c_custkey")
     shapes = sample_shapes(cases, "c_custkey", vec18(spark, folder), "entity_id", "vector")
     return shapes
+
+
+# -- trees ----------------------------------------------------------------------------------------
+
+_CUTS = """SELECT *, (x + lead(x) OVER w) / 2 AS cut, sum(n) OVER w AS nl, sum(s) OVER w AS sl,
+    sum(n) OVER p AS na, sum(s) OVER p AS sa FROM {per}
+  WINDOW w AS (PARTITION BY {by}, feature ORDER BY x), p AS (PARTITION BY {by}, feature)"""
+_GAIN = "sl * sl / nl + (sa - sl) * (sa - sl) / (na - nl) - sa * sa / na"
+
+
+def _splits_sql() -> str:
+    rows = " UNION ALL ".join(
+        f"SELECT l_orderkey, '{t}' AS target, {t} AS y, alpha, reynolds FROM obs" for t in TARGETS)
+    unfolded = "CROSS JOIN LATERAL (VALUES ('alpha', alpha), ('reynolds', reynolds)) f(feature, x)"
+    return f"""WITH {OBS}, lab AS ({rows}),
+per1 AS (SELECT target, feature, x, count(*) AS n, sum(y) AS s FROM lab {unfolded} GROUP BY ALL),
+cut1 AS ({_CUTS.format(per="per1", by="target")}),
+one AS (SELECT target, feature AS f1, cut AS c1 FROM cut1 WHERE na > nl
+  QUALIFY row_number() OVER (PARTITION BY target ORDER BY {_GAIN} DESC) = 1),
+sides AS (SELECT lab.*, f1, c1, CASE WHEN f1 = 'alpha' THEN alpha ELSE reynolds END <= c1 AS low FROM lab JOIN one USING (target)),
+per2 AS (SELECT target, low, feature, x, count(*) AS n, sum(y) AS s FROM sides {unfolded} GROUP BY ALL),
+cut2 AS ({_CUTS.format(per="per2", by="target, low")}),
+two AS (SELECT target, low, feature, cut, sl / nl AS below, (sa - sl) / (na - nl) AS above FROM cut2 WHERE na > nl
+  QUALIFY row_number() OVER (PARTITION BY target ORDER BY {_GAIN} DESC) = 1)
+SELECT target, f1 AS first_feature, {r6("c1", "first_cut")}, low AS second_is_low, feature AS second_feature,
+  {r6("cut", "second_cut")}, {r6("below", "below")}, {r6("above", "above")} FROM two JOIN one USING (target)"""
+
+
+@book.add("leafwise_splits", _splits_sql())
+def leafwise_splits(spark, folder):
+    """The first two splits of a tree a target, largest gain first, and the means of the leaves of the second."""
+    config = ModelConfig(boosting_rounds=1, boosting_leaves=3, boosting_min_leaf=1, boosting_rate=1.0)
+    names = ["alpha", "reynolds"]
+    model = fit_models(obs(spark, folder).select(*names, *TARGETS), names, TARGETS, "boosting", config)
+    base = F.element_at(F.lit(model.base.tolist()), F.get("targets", F.lit(0)) + 1)
+    nodes = model.nodes.withColumn("feature_name", F.get(F.lit(names), F.col("feature"))).withColumn(
+        "mean", base + F.get("value", F.lit(0)))
+    root = nodes.where("node = 0").select(
+        "tree", F.get(F.lit(list(TARGETS)), F.get("targets", F.lit(0))).alias("target"),
+        F.col("feature_name").alias("first_feature"), F.col("cut").alias("first_cut"), F.col("left").alias("low_node"))
+    second = nodes.where("node > 0 and feature >= 0").select(
+        "tree", "node", F.col("feature_name").alias("second_feature"), F.col("cut").alias("second_cut"),
+        F.col("left").alias("l"), F.col("right").alias("r"))
+    leaves = nodes.select("tree", "node", "mean")
+    both = root.join(second, "tree").join(
+        leaves.select("tree", F.col("node").alias("l"), F.col("mean").alias("below")), ["tree", "l"]).join(
+        leaves.select("tree", F.col("node").alias("r"), F.col("mean").alias("above")), ["tree", "r"])
+    return rounded(both.select(
+        "target", "first_feature", "first_cut", (F.col("node") == F.col("low_node")).alias("second_is_low"),
+        "second_feature", "second_cut", "below", "above"))
+
+
+ENSEMBLES = ModelConfig(
+    forest_trees=20, forest_leaves=64, boosting_rounds=20, boosting_leaves=16, boosting_patience=5)
+ENSEMBLE_PLAN = TrainingPlan(
+    features=("alpha", "reynolds", "l_suppkey", "l_partkey"), targets=TARGETS, reynolds="reynolds", drag="cd",
+    log_drag=True,
+)
+
+
+@book.add("forest_ensemble")
+def forest_ensemble(spark, folder):
+    """Twenty trees of up to 64 leaves, each for all targets, on drawn rows and features; metrics by part of the split."""
+    return rounded(train(_training_rows(spark, folder), run_store(spark), ENSEMBLE_PLAN, ENSEMBLES, ["random_forest"]))
+
+
+@book.add("boosted_ensemble")
+def boosted_ensemble(spark, folder):
+    """Up to twenty rounds of trees of 16 leaves a target, ended by rows held back; metrics by part of the split."""
+    return rounded(train(_training_rows(spark, folder), run_store(spark), ENSEMBLE_PLAN, ENSEMBLES, ["boosting"]))
+
+
+@book.add("candidate_search")
+def candidate_search(spark, folder):
+    """Metrics of every candidate and target on held-out entities; the candidates of a model share their scans."""
+    grid = {"random_forest": [{"forest_trees": 4, "forest_leaves": 16}, {"forest_trees": 8, "forest_leaves": 64}],
+            "boosting": [{"boosting_rounds": 4, "boosting_leaves": 8}, {"boosting_rounds": 6, "boosting_leaves": 4}]}
+    metrics, _, _ = search(_training_rows(spark, folder), ENSEMBLE_PLAN, 12_000, grid, ENSEMBLES)
+    return rounded(metrics.select("model", "candidate", "target", "mae", "rmse", "r2"))
+
+
+@book.add("training_losses", _labels_sql(f""", known AS (SELECT *, NOT ({_STOPPING}) AS fitted FROM lab WHERE split = 'train'),
+scale AS (SELECT target, var_pop(label) AS v, avg(label) FILTER (WHERE fitted) AS base FROM known GROUP BY target)
+""") + f"""SELECT 'boosting' AS model, target, CAST(0 AS INTEGER) AS iteration,
+  {r6("avg((label - base) ^ 2) FILTER (WHERE fitted) / any_value(v)", "loss")},
+  {r6("avg((label - base) ^ 2) FILTER (WHERE NOT fitted) / any_value(v)", "held_loss")}
+FROM known JOIN scale USING (target) GROUP BY target""")
+def training_losses(spark, folder):
+    """The recorded losses of a boosting run before its only round, on fitted rows and on those held back."""
+    store = run_store(spark)
+    train(_training_rows(spark, folder), store, PLAN, STUMPS, ["boosting"])
+    return rounded(store.read("history"))
+
+
+@book.add("stored_weights", _labels_sql(_joint_stump_sql() + _RIDGE + _STACK) + f"""
+SELECT target, 'ridge' AS model, {r6("w1", "weight")} FROM weights UNION ALL SELECT target, 'random_forest', {r6("w2")} FROM weights
+UNION ALL SELECT target, 'intercept', {r6("my - w1 * m1 - w2 * m2")} FROM weights""")
+def stored_weights(spark, folder):
+    """Blending weights as they are read back from the run that fitted them."""
+    rows, store = _training_rows(spark, folder), run_store(spark)
+    train(rows, store, PLAN, STUMPS, ["ridge", "random_forest"])
+    stack(rows, store, ["ridge", "random_forest"])
+    return rounded(weights_table(spark, store.weights()))
+
+
+def _wide_ridge_sql() -> str:
+    return f"""WITH {EMBEDDED}, t AS (SELECT unnest(range(3, 65)) AS k),
+m AS (SELECT k, count(*) AS n, avg(v[1]) AS m1, avg(v[2]) AS m2, avg(v[k]) AS my, var_pop(v[1]) * count(*) + 1 AS g11,
+  var_pop(v[2]) * count(*) + 1 AS g22, covar_pop(v[1], v[2]) * count(*) AS g12, covar_pop(v[1], v[k]) * count(*) AS c1,
+  covar_pop(v[2], v[k]) * count(*) AS c2 FROM v, t GROUP BY k),
+w AS (SELECT *, (c1 * g22 - c2 * g12) / (g11 * g22 - g12 * g12) AS w1, (c2 * g11 - c1 * g12) / (g11 * g22 - g12 * g12) AS w2 FROM m)
+SELECT 'e' || (k - 1) AS target, 'e0' AS term, {r6("w1", "coefficient")} FROM w UNION ALL SELECT 'e' || (k - 1), 'e1', {r6("w2")} FROM w
+UNION ALL SELECT 'e' || (k - 1), 'intercept', {r6("my - w1 * m1 - w2 * m2")} FROM w"""
+
+
+@book.add("wide_ridge", _wide_ridge_sql())
+def wide_ridge(spark, folder):
+    """Ridge of 62 targets on two inputs: one pass over the rows, one solve."""
+    wide = _embeddings(spark, folder).select(*[F.get("vector", F.lit(i)).alias(f"e{i}") for i in range(64)])
+    fitted = fit_models(wide, ["e0", "e1"], [f"e{i}" for i in range(2, 64)], "ridge")
+    return rounded(ridge_coefficients(fitted, spark))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -45,3 +46,10 @@ def shared_folder(spark: SparkSession) -> str:
         _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(_own_folders[context.applicationId])
     return _own_folders[context.applicationId]
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a new table in the shared folder: its lineage ends there, whatever executors are lost."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

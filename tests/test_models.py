@@ -18,30 +18,33 @@ def data(spark):
     return x, y, spark.createDataFrame(rows, "f0 double, f1 double, f2 double, t0 double, t1 double").repartition(3)
 
 
-def test_ridge_equals_normal_equations(data):
+def test_ridge_equals_normal_equations(data, spark, tmp_path):
     x, y, df = data
     fitted = fit_models(df, FEATURES, ["t0", "t1"], "ridge", ModelConfig(ridge_alpha=2.5))
     xc, yc = x - x.mean(axis=0), y - y.mean(axis=0)
     expected = np.linalg.solve(xc.T @ xc + 2.5 * np.eye(3), xc.T @ yc)
-    for i, t in enumerate(("t0", "t1")):
-        np.testing.assert_allclose(fitted.models[t].coefficients.toArray(), expected[:, i], atol=1e-10)
-        intercept = y[:, i].mean() - x.mean(axis=0) @ expected[:, i]
-        assert fitted.models[t].intercept == pytest.approx(intercept)
+    np.testing.assert_allclose(fitted.coefficients, expected, atol=1e-10)
+    np.testing.assert_allclose(fitted.base, y.mean(axis=0) - x.mean(axis=0) @ expected, atol=1e-10)
+    fitted.save(str(tmp_path), spark)
+    again = TargetModels.load(str(tmp_path), "ridge", spark).predict(df, "p_").collect()
+    for r in again:
+        wanted = fitted.base + np.array([r[f] for f in FEATURES]) @ expected
+        np.testing.assert_allclose([r["p_t0"], r["p_t1"]], wanted, atol=1e-9)
 
 
 @pytest.mark.parametrize("name", ["random_forest", "boosting"])
-def test_trees_learn_persist_and_report(data, tmp_path, name):
+def test_trees_learn_persist_and_report(data, spark, tmp_path, name):
     x, y, df = data
-    config = ModelConfig(forest_trees=10, forest_depth=5, boosting_rounds=8, boosting_depth=3)
-    fitted = fit_models(df, FEATURES, ["t0"], name, config, F.pmod(F.hash("f0"), F.lit(5)) == 0)
+    config = ModelConfig(forest_trees=10, forest_leaves=20, boosting_rounds=12, boosting_leaves=8, boosting_min_leaf=3)
+    fitted = fit_models(df, FEATURES, ["t0", "t1"], name, config, F.pmod(F.hash("f0"), F.lit(5)) == 0)
     scored = fitted.predict(df, "p_").collect()
-    error = np.mean([(r["t0"] - r["p_t0"]) ** 2 for r in scored])
-    assert error < np.var(y[:, 0]) * 0.5
-    fitted.save(str(tmp_path))
-    again = TargetModels.load(str(tmp_path), name, FEATURES, ["t0"]).predict(df, "p_").collect()
+    for i, t in enumerate(("t0", "t1")):
+        assert np.mean([(r[t] - r[f"p_{t}"]) ** 2 for r in scored]) < np.var(y[:, i]) * 0.5
+    fitted.save(str(tmp_path), spark)
+    again = TargetModels.load(str(tmp_path), name, spark).predict(df, "p_").collect()
     assert sorted(r["p_t0"] for r in again) == pytest.approx(sorted(r["p_t0"] for r in scored))
-    history = training_history(fitted, df)
-    assert (history.count() > 0) == (name == "boosting")
+    history = training_history(fitted, spark)
+    assert history.count() == (2 * 12 if name == "boosting" else 0)
 
 
 def test_model_names_are_checked():

@@ -11,7 +11,7 @@ from curveloom.sources import tables
 from curveloom.sources.store import RunStore, merge_by_key
 from curveloom.streaming.incremental import process_new_files, processed_rows
 
-LIGHT = ModelConfig(forest_trees=5, forest_depth=4, boosting_rounds=5, boosting_depth=3)
+LIGHT = ModelConfig(forest_trees=5, forest_leaves=12, boosting_rounds=5, boosting_leaves=8)
 
 
 @pytest.fixture(scope="module")
@@ -36,7 +36,7 @@ def table(spark):
 @pytest.fixture(scope="module")
 def trained(spark, table, tmp_path_factory):
     store = RunStore(spark, str(tmp_path_factory.mktemp("run")))
-    plan = training.TrainingPlan(log_drag=True)
+    plan = training.TrainingPlan(targets=("CL", "CD", "CM"), log_drag=True)
     first = training.train(table, store, plan, LIGHT, ["ridge", "random_forest"])
     return store, plan, first
 
@@ -127,13 +127,25 @@ def test_profile_positions_are_targets(spark, table, tmp_path):
     assert r2["upper_bl_H_31"] == pytest.approx(r2["CL"])
 
 
+def test_without_targets_everything_is_one(spark, table, tmp_path):
+    names = [f"{s}_bl_{q}" for s in ("upper", "lower") for q in ("theta", "H", "ue_vinf")]
+    rows = table.withColumns({n: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.col("CL") * i) for n in names})
+    store = RunStore(spark, str(tmp_path))
+    scores = training.train(rows, store, training.TrainingPlan(features=("alpha", "Re")), LIGHT, ["ridge", "random_forest"])
+    assert scores.where("split = 'test'").count() == 2 * 195
+    assert len(training.recorded_plan(store).targets) == 195
+    assert training.evaluate(rows, store, "random_forest").count() == 195
+
+
 def test_search_scores_every_candidate(table):
-    grid = {"random_forest": [{"forest_trees": 2, "forest_depth": 1}, {"forest_trees": 8, "forest_depth": 6}],
-            "boosting": [{"boosting_rounds": 2, "boosting_depth": 2}]}
+    grid = {"random_forest": [{"forest_trees": 2, "forest_leaves": 2}, {"forest_trees": 8, "forest_leaves": 40}],
+            "boosting": [{"boosting_rounds": 2, "boosting_leaves": 4}]}
     plan = training.TrainingPlan(features=("alpha", "Re", "upper_0"), targets=("CL", "CD", "CM"))
-    scores, best = training.search(table, plan, 10, grid, LIGHT)
+    metrics, scores, best = training.search(table, plan, 10, grid, LIGHT)
     assert scores.count() == 3
     assert {r["model"]: r["candidate"] for r in best.collect()} == {"random_forest": 1, "boosting": 0}
+    assert {(r["model"], r["candidate"], r["target"]) for r in metrics.collect()} == {
+        (m, c, t) for m, c in (("random_forest", 0), ("random_forest", 1), ("boosting", 0)) for t in ("CL", "CD", "CM")}
 
 
 # -- assembly -----------------------------------------------------------------------------------
