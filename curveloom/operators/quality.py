@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from curveloom.functions.scalars import LOG_FLOOR, all_finite, finite
 
@@ -122,28 +125,68 @@ def regime_label(value: Column, regimes: Sequence[tuple[float, float, str]] = RE
     return label
 
 
-#: Intervals up to this number are broadcast, more are joined by a shuffle on the cell.
+#: Intervals up to this number are broadcast, more are joined by a shuffle.
 MOST_BROADCAST_INTERVALS = 100_000
-
-
-def join_intervals(df: DataFrame, value: str, bounds: DataFrame, width: float) -> DataFrame:
+#: Up to so many break points a row is compared with each of them; more are searched.
+FEW_BREAKS = 32
+
+
+def _nodes_over(first: int, last: int, size: int) -> list[int]:
+    """The fewest nodes of a binary tree whose leaves are exactly ``first`` to ``last`` of ``size`` leaves."""
+    nodes, low, high = [], size + first, size + last + 1
+    while low < high:
+        if low & 1:
+            nodes.append(low)
+            low += 1
+        if high & 1:
+            high -= 1
+            nodes.append(high)
+        low, high = low >> 1, high >> 1
+    return nodes
+
+
+def join_intervals(
+    df: DataFrame, value: str, bounds: DataFrame, most_broadcast: int = MOST_BROADCAST_INTERVALS
+) -> DataFrame:
     """Inner join of values to half-open intervals ``[low, high)`` held in a table.
 
-    Intervals are listed under every cell of width ``width`` they touch, so this is an equi-join
-    on the cell and works for any number of intervals.
+    The break points of the intervals are the leaves of a binary tree, found by binary search in the row. An interval is
+    listed under the nodes that cover it, two a level at most, and a value looks at the nodes above its leaf, one a level:
+    an equi-join that meets each pair once, for wide, open-ended (infinite) and overlapping intervals alike. Beyond
+    ``most_broadcast`` intervals the leaves are cut at quantiles of the bounds, and the join is a shuffle. Missing
+    values and bounds match nothing, and neither does an interval that ends before it starts.
     """
-    cells = F.explode(F.sequence(
-        F.floor(F.col("low") / F.lit(width)), F.floor(F.col("high") / F.lit(width))
-    ))
-    listed = bounds.withColumn("_cell", cells)
-    if bounds.count() <= MOST_BROADCAST_INTERVALS:
-        listed = F.broadcast(listed)
-    return (
-        df.withColumn("_cell", F.floor(F.col(value) / F.lit(width)))
-        .join(listed, "_cell")
-        .where((F.col(value) >= F.col("low")) & (F.col(value) < F.col("high")))
-        .drop("_cell")
-    )
+    few = bounds.count() <= most_broadcast
+    ends = bounds.select(F.explode(F.array("low", "high").cast("array<double>")).alias("_end")).where(
+        F.col("_end").isNotNull() & ~F.isnan("_end") & (F.abs("_end") < F.lit(float("inf"))))
+    if few:
+        breaks = np.array(sorted(r[0] for r in ends.distinct().collect()))
+    else:
+        shares = [k / most_broadcast for k in range(1, most_broadcast)]
+        breaks = np.unique(np.array(ends.approxQuantile("_end", shares, 0.25 / most_broadcast), dtype=float))
+    size = 1 << len(breaks).bit_length()
+    shared = df.sparkSession.sparkContext.broadcast(breaks)
+
+    def leaf(values: pa.Array) -> pa.Array:
+        found = np.searchsorted(shared.value, values.to_numpy(zero_copy_only=False), "right")
+        return pa.array(found + size, pa.int64())
+
+    def nodes(low: pa.Array, high: pa.Array) -> pa.Array:
+        firsts = np.searchsorted(shared.value, low.to_numpy(zero_copy_only=False), "right")
+        lasts = np.searchsorted(shared.value, high.to_numpy(zero_copy_only=False), "left")
+        return pa.array([_nodes_over(a, b, size) for a, b in zip(firsts.tolist(), lasts.tolist())], pa.list_(pa.int64()))
+
+    low, high = (F.col(c).cast("double") for c in ("low", "high"))
+    listed = bounds.where(low < high).withColumn("_node", F.explode(arrow_udf(nodes, "array<bigint>")(low, high)))
+    above = F.transform(F.sequence(F.lit(0), F.lit(size.bit_length() - 1)), lambda i: F.call_function("shiftright", F.col("_leaf"), i))
+    number = F.col(value).cast("double")
+    if len(breaks) <= FEW_BREAKS:
+        place = sum(((number >= F.lit(float(b))).cast("long") for b in breaks), F.lit(size).cast("long"))
+    else:
+        place = arrow_udf(leaf, "bigint")(number)
+    found = df.where(F.col(value).isNotNull()).withColumn("_leaf", place).withColumn("_node", F.explode(above)).drop("_leaf")
+    return found.join(F.broadcast(listed) if few else listed, "_node").where(
+        (F.col(value) >= F.col("low")) & (F.col(value) < F.col("high"))).drop("_node")
 
 
 def envelope_flags(

@@ -42,16 +42,14 @@ class Bins:
 
     @classmethod
     def fit(cls, df: DataFrame, features: Sequence[str], most: int = MOST_BINS) -> "Bins":
-        """Cuts between the values of features with few, else at quantiles: two scans for all features.
+        """Cuts between the values of features with few, else at quantiles: three scans for all features.
 
         The quantiles come from a mergeable summary; its size does not grow with the rows.
         """
-        shares = F.array(*[F.lit(k / most) for k in range(1, most)])
-        wide = df.agg(
-            *[F.approx_count_distinct(f).alias(f"n_{i}") for i, f in enumerate(features)],
-            *[F.percentile_approx(F.col(f).cast("double"), shares, F.lit(10_000)).alias(f"q_{i}")
-              for i, f in enumerate(features)]).first()
-        few = [i for i in range(len(features)) if (wide[f"n_{i}"] or 0) <= min(FEW_VALUES, most - 1)]
+        counted = df.agg(*[F.approx_count_distinct(f).alias(str(i)) for i, f in enumerate(features)]).first()
+        few = [i for i in range(len(features)) if (counted[str(i)] or 0) <= min(FEW_VALUES, most - 1)]
+        many = [f for i, f in enumerate(features) if i not in few]
+        quantiles = dict(zip(many, df.approxQuantile(many, [k / most for k in range(1, most)], 0.25 / most))) if many else {}
         values = df.agg(*[F.collect_set(F.col(features[i]).cast("double")).alias(str(i)) for i in few]).first() if few else {}
         cuts = []
         for i in range(len(features)):
@@ -60,7 +58,7 @@ class Bins:
                 own = own[np.isfinite(own)]
                 cuts.append((own[1:] + own[:-1]) / 2)
             else:
-                cuts.append(np.unique(np.array(wide[f"q_{i}"], dtype=float)))
+                cuts.append(np.unique(np.array(quantiles[features[i]], dtype=float)))
         return cls(tuple(features), tuple(c[: most - 1] for c in cuts))
 
     def of(self, values: np.ndarray) -> np.ndarray:

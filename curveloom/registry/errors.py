@@ -10,7 +10,7 @@ from curveloom.operators.curves import polar_table
 from curveloom.operators.matching import sweep
 from curveloom.operators.quality import join_intervals, regime_label, REGIMES
 from curveloom.registry.book import Book, r6, rounded
-from curveloom.registry.views import MODELS, OBS, REGIME, obs, paired_sql, spread_obs
+from curveloom.registry.views import MODELS, OBS, REGIME, obs, paired_sql, spread_obs, table
 
 book = Book()
 
@@ -228,12 +228,32 @@ SELECT label, count(*) AS n, {r6("avg(cl)", "mean_cl")}
 FROM obs JOIN bounds ON alpha >= low AND alpha < high GROUP BY label""")
 def interval_join_counts(spark, folder):
     bounds = spark.createDataFrame(REGIMES, "low double, high double, label string")
-    joined = join_intervals(obs(spark, folder), "alpha", bounds, width=4.0)
+    joined = join_intervals(obs(spark, folder), "alpha", bounds)
     return rounded(
         joined.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("cl").alias("mean_cl"))
     )
 
 
+_WIDE = """bounds AS (
+  SELECT CAST(c_custkey AS BIGINT) AS id, CASE WHEN c_custkey % 50 = 0 THEN CAST('-inf' AS DOUBLE) ELSE c_custkey % 97 * 0.1e0 - 2 END AS low,
+    CASE WHEN c_custkey % 50 = 1 THEN CAST('inf' AS DOUBLE) ELSE c_custkey % 97 * 0.1e0 - 2 + c_custkey % 13 * 0.25e0 END AS high
+  FROM customer WHERE c_custkey <= 300)"""
+
+
+@book.add("interval_join_wide", f"""
+WITH {OBS}, {_WIDE}, per AS (SELECT alpha, count(*) AS m, sum(cl) AS s FROM obs GROUP BY alpha)
+SELECT id, sum(m)::BIGINT AS n, {r6("sum(s) / sum(m)", "mean_cl")} FROM per JOIN bounds ON alpha >= low AND alpha < high GROUP BY id""")
+def interval_join_wide(spark, folder):
+    """Open-ended, wide and overlapping intervals, some of them empty, each with its rows counted."""
+    key, inf = F.col("c_custkey"), F.lit(float("inf"))
+    start = key % 97 * F.lit(0.1) - 2
+    bounds = table(spark, folder, "customer").where(key <= 300).select(
+        key.cast("long").alias("id"), F.when(key % 50 == 0, -inf).otherwise(start).alias("low"),
+        F.when(key % 50 == 1, inf).otherwise(start + key % 13 * F.lit(0.25)).alias("high"))
+    joined = join_intervals(obs(spark, folder), "alpha", bounds)
+    return rounded(joined.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.avg("cl").alias("mean_cl")))
+
+
 def _polar_sql() -> str:
     return f"""WITH {OBS} SELECT l_orderkey, entity_id, alpha, cl, cd, cl_a AS pred_cl, cd_a AS pred_cd,
   CASE WHEN cd <> 0 THEN cl / cd END AS ratio, cl_a / greatest(cd_a, 1e-8) AS pred_ratio FROM obs"""
