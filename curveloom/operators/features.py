@@ -17,6 +17,7 @@ from curveloom.operators.gram import moments
 from curveloom.operators.quality import drop_overlap
 from curveloom.operators.skew import attach, find_hot_keys
 
+# Condition columns of the published tables (fixed values).
 CONDITION_COLUMNS = ["alpha", "Re", "mach", "n_crit", "xtr_upper", "xtr_lower"]
 
 
@@ -117,7 +118,7 @@ def log_label(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(
         column,
         F.when(
-            c < F.lit(-LOG_FLOOR), F.raise_error(F.lit(f"{column} must be positive for the log"))
+            c < F.lit(-LOG_FLOOR), F.raise_error(F.lit(f"a value of {column} is below zero and has no logarithm"))
         ).otherwise(floored_log(c)),
     )
 

@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from curveloom.functions.draws import normal, normals, uniform, uniform_between
 from curveloom.functions.scalars import convex_weights, dot, line_grid, literal_array, power_of_ten
 from curveloom.operators.features import vector_covariance
+from curveloom.operators.quality import LOG10_REYNOLDS
 from curveloom.operators.ranking import rank_by_digest
 
 N_COEFFICIENTS = 18
 N_SURFACE = 8
+# The one case that marks a dataset as complete (fixed values).
 SENTINEL = "CYLINDER"
 SENTINEL_CONFIDENCE = 0.1
 SENTINEL_REYNOLDS = (1e4, 1e5, 1e6)
@@ -32,8 +34,8 @@ class SamplingConfig:
     alpha_grid: tuple[float, ...] = (-15.0, -10.0, -5.0, 0.0, 5.0, 10.0, 15.0)
     alpha_uniform: float = 2.5
     alpha_sigma: float = 2.5
-    log10_reynolds_mean: float = 5.5
-    log10_reynolds_sigma: float = 0.75
+    log10_reynolds_mean: float = LOG10_REYNOLDS[0]
+    log10_reynolds_sigma: float = LOG10_REYNOLDS[1]
     n_crit_low: float = 0.0
     n_crit_high: float = 18.0
     free_transition_probability: float = 0.8

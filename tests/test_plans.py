@@ -110,7 +110,7 @@ def test_fixed_holdout_and_errors(spark, table, tmp_path):
     assert test == {"e1", "e5"}
     with pytest.raises(ValueError, match="nope"):
         training.train(table, store, plan, LIGHT, ["nope"])
-    with pytest.raises(ValueError, match="missing target"):
+    with pytest.raises(ValueError, match="lacks these target"):
         training.train(table.drop("CL"), store, plan, LIGHT, ["ridge"])
 
 
