@@ -507,7 +507,9 @@ def similar_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFr
     shared = _shared(docs, shingle, percent, levels, total)
     able = stored(nodes.join(shared, "nid", "left").where(
         F.col("hot") + F.coalesce("shared", F.lit(0)) >= 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 20)))
-    asks = stored(_asks(docs, shingle, percent, levels, _filter(able.select("row_a")), total).join(
+    # The matrix is dealt by the tokens that take part, so that matches of a set and a group are mostly counted in one task.
+    taking = able.agg(F.sum("n")).first()[0] or 0
+    asks = stored(_asks(docs, shingle, percent, levels, _filter(able.select("row_a")), taking).join(
         able.select("nid"), "nid", "left_semi"))
 
     # Groups with company, or with a set that asks them.
