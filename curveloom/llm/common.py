@@ -70,6 +70,17 @@ def word_count(text: Column) -> Column:
     return F.when(F.length(bare) > 0, F.size(F.split(bare, r"[\x20\x09-\x0D]+"))).otherwise(0).cast("long")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them where ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        found.append(name)
+    return found
+
+
 def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     """Null-safe equality of the named columns."""
     condition = F.lit(True)

@@ -7,13 +7,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curveloom.llm.common import BLANKS, HOT_PARTS, stored
+from curveloom.llm.common import BLANKS, HOT_PARTS, stored, unused
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Runs of a level that are compacted into one run of the next.
 FANOUT = 4
-#: Batches in which a whole table is added to the runs.
-BATCHES = 4
+#: Batches in which a whole table is added to the runs; more than ``FANOUT``, so later ones meet compacted runs.
+BATCHES = 6
 
 
 def line_key(line: Column) -> Column:
@@ -65,20 +65,26 @@ class LineRuns:
     """Levelled runs: each is a stored table of keys, sorted by hash, with the number of documents
     that hold the key, the largest doc_id of them and the number of lines.
 
-    A new batch becomes a run of level 0; ``FANOUT`` runs of a level are merged into one of the next,
-    so n batches leave a number of runs that grows with the logarithm of n and each key is rewritten
-    as often. Batches must not share documents.
+    A new batch is anti-joined with the runs. Its keys that no run holds become a run of level 0, so runs never
+    share a key; counts of the keys that are known already are kept beside the runs, as ``updates``. ``FANOUT``
+    runs of a level are compacted into one of the next, so n batches leave a number of runs that grows with the
+    logarithm of n and each key is rewritten as often. Batches must not share documents.
     """
 
     fanout: int = FANOUT
     levels: list[list[DataFrame]] = field(default_factory=list)
+    updates: list[DataFrame] = field(default_factory=list)
 
     def add(self, lines: DataFrame) -> None:
         """Add the lines of a batch, as ``line_hashes`` gives them."""
-        self._push(0, _document_rows(lines).distinct().groupBy("key_a", "key_b").agg(
+        counts = _document_rows(lines).distinct().groupBy("key_a", "key_b").agg(
             F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"),
             F.count(F.lit(1)).alias("n_lines"),
-        ))
+        )
+        if self.levels:
+            counts = stored(counts)
+            self.updates.append(stored(counts.join(self._keys(), ["key_a", "key_b"], "left_semi")))
+        self._push(0, self.unseen(counts))
 
     def _push(self, level: int, run: DataFrame) -> None:
         if level == len(self.levels):
@@ -86,7 +92,7 @@ class LineRuns:
         self.levels[level].append(stored(run.sortWithinPartitions("key_a", "key_b")))
         if len(self.levels[level]) == self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._push(level + 1, _merged(self._union(full)))
+            self._push(level + 1, self._union(full).repartition("key_a"))
 
     @staticmethod
     def _union(runs: list[DataFrame]) -> DataFrame:
@@ -99,18 +105,19 @@ class LineRuns:
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
+    def _keys(self) -> DataFrame:
+        return self._union(self.runs).select("key_a", "key_b")
+
     def known(self) -> DataFrame:
-        """(key_a, key_b, n_docs, last_doc, n_lines) over all runs."""
-        runs = self.runs
-        if not runs:
+        """(key_a, key_b, n_docs, last_doc, n_lines) over all batches: the runs, and what was counted again."""
+        if not self.runs:
             raise ValueError("no batch was added")
-        return runs[0] if len(runs) == 1 else _merged(self._union(runs))
+        return _merged(self._union(self.runs + self.updates)) if self.updates else self._union(self.runs)
 
     def unseen(self, lines: DataFrame) -> DataFrame:
-        """The lines of a batch whose key no run holds: the anti-join of the batch with every run."""
-        for run in self.runs:
-            lines = lines.join(run, ["key_a", "key_b"], "left_anti")
-        return lines
+        """The lines, or counted keys, of a batch whose key no run holds: the anti-join with the runs, which are
+        read as one table so that the batch is shuffled once."""
+        return lines.join(self._keys(), ["key_a", "key_b"], "left_anti") if self.runs else lines
 
 
 def repeated_lines(docs: DataFrame, least_length: int = 40, least_docs: int = 5,
@@ -159,21 +166,22 @@ def drop_repeated_lines(docs: DataFrame, least_length: int = 40, least_docs: int
     Texts are split at \\n; null and empty texts are one empty line, and stay as they are. Lines that
     stay are joined by \\n as they were. Each text is shuffled once, to meet its list of places.
     """
+    at, a, b, row_a, row_b = unused(docs, "__at", "__a", "__b", "__ra", "__rb")
     gone = repeated_lines(
         docs.select("doc_id", "text"), least_length, least_docs, batches, fanout
-    ).groupBy("row_a", "row_b").agg(F.array_sort(F.collect_set("at")).alias("__at"))
-    gone = gone.select(F.col("row_a").alias("__a"), F.col("row_b").alias("__b"), "__at")
-    keyed = docs.select("*", _row_key(0).alias("__ra"), _row_key(1).alias("__rb"))
+    ).groupBy("row_a", "row_b").agg(F.array_sort(F.collect_set("at")).alias(at))
+    gone = gone.select(F.col("row_a").alias(a), F.col("row_b").alias(b), at)
+    keyed = docs.select("*", _row_key(0).alias(row_a), _row_key(1).alias(row_b))
     met = keyed.join(
-        gone, (F.col("__ra") == F.col("__a")) & (F.col("__rb") == F.col("__b")), "left"
+        gone, (F.col(row_a) == F.col(a)) & (F.col(row_b) == F.col(b)), "left"
     )
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    text = F.when(F.col("__at").isNull(), F.col("text")).otherwise(
-        F.array_join(_without(lines, F.col("__at")), "\n"))
+    text = F.when(F.col(at).isNull(), F.col("text")).otherwise(
+        F.array_join(_without(lines, F.col(at)), "\n"))
     kept = [text.alias(c) if c == "text" else docs[c] for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return met.select(
         *kept, F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__at"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size(at), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
