@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curveloom.llm.common import stored, word_count
+from curveloom.llm.common import stored, unused, word_count
 
 #: Weights dealt to the sources in the order of their names, again and again.
 WEIGHTS = (3, 1, 2)
@@ -159,11 +159,6 @@ def mix_digest(docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 
-def _row_key(size: Column) -> list[Column]:
-    """Two numbers for id, source and size of a row: joins and windows on them deal rows once."""
-    return [F.xxhash64(F.lit(half), "doc_id", "source", size).alias(f"__{name}") for half, name in enumerate("ab")]
-
-
 def _most_first(x: Column, y: Column) -> Column:
     return F.when(x > y, -1).when(x < y, 1).otherwise(0)
 
@@ -176,26 +171,31 @@ def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
     are equal; which of them a partial pass meets is not defined.
     """
     taken = mix(docs.select("doc_id", "source", "text"), **options)
+    key_a, key_b, decided, n = unused(docs, "__a", "__b", "__all", "__n")
+
+    def row_key(size: Column) -> list[Column]:
+        """Two numbers for id, source and size of a row: joins and windows on them deal rows once."""
+        return [F.xxhash64(F.lit(i), "doc_id", "source", size).alias(name) for i, name in enumerate((key_a, key_b))]
+
     decisions = taken.select(
-        *_row_key(F.col("size")), F.struct("taken", "whole", "part_start", "part_words", "more_words").alias("__decision"),
-    ).groupBy("__a", "__b").agg(F.array_sort(F.collect_list("__decision"), _most_first).alias("__all"))
+        *row_key(F.col("size")), F.struct("taken", "whole", "part_start", "part_words", "more_words").alias("decision"),
+    ).groupBy(key_a, key_b).agg(F.array_sort(F.collect_list("decision"), _most_first).alias(decided))
     # The n-th row of an id meets the n-th decision; ids are nearly unique, so these are small windows.
-    nth = F.row_number().over(Window.partitionBy("__a", "__b").orderBy(F.xxhash64("text")))
-    rows = docs.select("*", *_row_key(word_count(F.col("text")))).withColumn("__n", nth)
-    decision = F.get("__all", F.col("__n") - 1)
-    met = rows.join(decisions, ["__a", "__b"]).select(
-        *docs.columns, decision["taken"].alias("__taken"), decision["whole"].alias("__whole"),
-        decision["part_start"].alias("__from"), decision["part_words"].alias("__count"),
-        decision["more_words"].alias("__more"),
-    ).where("__taken > 0")
+    nth = F.row_number().over(Window.partitionBy(key_a, key_b).orderBy(F.xxhash64("text")))
+    rows = docs.select("*", *row_key(word_count(F.col("text")))).withColumn(n, nth)
+    copy, decision = unused(docs, "__copy", "__decision")
+    met = rows.join(decisions, [key_a, key_b]).select(
+        *docs.columns, F.get(decided, F.col(n) - 1).alias(decision),
+    ).where(F.col(decision)["taken"] > 0)
+    whole, begin, count, rest = (F.col(decision)[c] for c in ("whole", "part_start", "part_words", "more_words"))
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     cut = lambda start, n: F.array_join(F.slice(words, start + 1, n), "")
     zero = F.lit(0)
-    times = F.when(F.col("__whole") > 0, F.array_repeat("text", F.col("__whole").cast("int"))).otherwise(
+    times = F.when(whole > 0, F.array_repeat("text", whole.cast("int"))).otherwise(
         F.array().cast("array<string>"))
-    part = F.when(F.col("__count") > 0, F.array(cut(F.col("__from").cast("int"), F.col("__count").cast("int"))))
-    more = F.when(F.col("__more") > 0, F.array(cut(zero, F.col("__more").cast("int"))))
+    part = F.when(count > 0, F.array(cut(begin.cast("int"), count.cast("int"))))
+    more = F.when(rest > 0, F.array(cut(zero, rest.cast("int"))))
     none = F.array().cast("array<string>")
     copies = F.concat(times, F.coalesce(part, none), F.coalesce(more, none))
-    return met.withColumn("__copy", F.explode(copies)).select(
-        *[F.col("__copy").alias(c) if c == "text" else docs[c] for c in docs.columns])
+    return met.withColumn(copy, F.explode(copies)).select(
+        *[F.col(copy).alias(c) if c == "text" else docs[c] for c in docs.columns])

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curveloom.llm.common import attach, map_batches, stored, text_bytes
+from curveloom.llm.common import attach, map_batches, stored, text_bytes, unused
 from curveloom.llm.components import connected_components
 
 #: Fingerprints the tree is fitted on at most; the tree only places shards, all fingerprints are linked.
@@ -257,12 +257,13 @@ def one_of_each(docs: DataFrame, smallest_ids: Callable[[DataFrame], DataFrame])
     row = [F.xxhash64(F.lit(i), "doc_id", "text") for i in range(2)]
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("of_text"),
                     row[0].alias("row_a"), row[1].alias("row_b"))
+    row_a, row_b, a, b = unused(docs, "__ra", "__rb", "__ka", "__kb")
     staying = smallest_ids(docs.select(rank.alias("doc_id"), "text")).select(
-        F.col("component_id.row_a").alias("__ka"), F.col("component_id.row_b").alias("__kb"))
-    keyed = docs.select("*", row[0].alias("__ra"), row[1].alias("__rb"))
+        F.col("component_id.row_a").alias(a), F.col("component_id.row_b").alias(b))
+    keyed = docs.select("*", row[0].alias(row_a), row[1].alias(row_b))
     # A plain equality, so that the texts, once dealt by row key, are not dealt again for the repeated rows.
-    met = (F.col("__ra") == F.col("__ka")) & (F.col("__rb") == F.col("__kb"))
-    return keyed.join(staying, met, "left_semi").dropDuplicates(["__ra", "__rb"]).drop("__ra", "__rb")
+    met = (F.col(row_a) == F.col(a)) & (F.col(row_b) == F.col(b))
+    return keyed.join(staying, met, "left_semi").dropDuplicates([row_a, row_b]).drop(row_a, row_b)
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, reach: int = 2) -> DataFrame:

@@ -7,7 +7,8 @@ import pytest
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use for columns of their own.
 CLASHING = ("size", "target", "taken", "score", "at", "lines", "fingerprint", "component_id", "shard", "group_no",
-            "n_lines", "n_dropped", "draw", "node", "canonical", "host", "rule", "id", "place", "whole", "batch")
+            "n_lines", "n_dropped", "draw", "node", "canonical", "host", "rule", "id", "place", "whole", "batch",
+            "__a", "__b", "__ra", "__rb", "__ka", "__kb", "__at", "__n", "__all", "__copy", "__decision")
 WORDS = {
     "en": "the and of with there where thing tion house river walk under over light".split(),
     "de": "der die und nicht straße über grün schön weg haus fluss licht unter gehen".split(),

@@ -1,9 +1,13 @@
 """Language ID, secret spans, quality rules: against brute force and by held-out accuracy."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
+import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -100,6 +104,48 @@ def test_nested_layers_map_to_their_place(encode):
     assert secret_spans.secret_spans("plain words only, nothing hidden in here")[1] == []
 
 
+LONG = "".join(f"{i * 7919 % 1000} some words " for i in range(60)) + INNER + " and an end"
+
+
+def _coded(data):
+    return base64.b64encode(data if isinstance(data, bytes) else data.encode()).decode()
+
+
+@pytest.mark.parametrize("code", [
+    "\n".join(textwrap.wrap(_coded(LONG), 76)), "\r\n  ".join(textwrap.wrap(_coded(gzip.compress(LONG.encode())), 64)),
+    "/data/" + _coded(INNER), "x_" + _coded(zlib.compress(INNER.encode())), "ab-" + _coded(INNER), "x" + _coded(INNER),
+    "abcd1" + _coded(bz2.compress(INNER.encode())), _coded(zlib.compress(INNER.encode(), 1)),
+    _coded(gzip.compress(b"nothing") + gzip.compress(INNER.encode())), _coded(bz2.compress(b"nothing") + bz2.compress(INNER.encode())),
+    _coded(lzma.compress(b"nothing") + lzma.compress(INNER.encode())), _coded(gzip.compress(LONG.encode())[:-9]),
+    _coded(gzip.compress(bz2.compress(_coded(INNER).encode()))),
+], ids=["wrapped", "wrapped gzip", "slash", "underscore zlib", "dash", "letter", "letters bzip2", "zlib 1", "members gzip", "members bzip2",
+        "members xz", "cut short", "nested"])
+def test_layers_in_every_dress(code):
+    text = f"é see {code} there"
+    base, every = secret_spans.secret_spans(text)
+    start = text.index(code)
+    assert any(kind == 0 and start <= a < b <= start + len(code) for a, kind, b in set(every) - set(base))
+
+
+def test_layers_of_any_length_are_searched_in_parts(monkeypatch):
+    monkeypatch.setattr(secret_spans, "WINDOW", 3000)
+    monkeypatch.setattr(secret_spans, "OVERLAP", 100)
+    monkeypatch.setattr(secret_spans, "CHUNK", 700)
+    rng = random.Random(3)
+    for tool in (gzip.compress, bz2.compress, lzma.compress, zlib.compress):
+        for at in range(2900, 3100, 13):
+            words = "".join(rng.choice("ghijklm nopq ") for _ in range(9000))
+            code = _coded(tool((words[:at] + " " + INNER + " " + words[at:]).encode()))
+            assert any(s[1] == 0 for s in secret_spans.secret_spans("see " + code + " end")[1])
+            assert secret_spans.secret_spans("see " + _coded(tool(words.encode())) + " end")[1] == []
+
+
+def test_random_bytes_hold_no_secret():
+    noise = _coded(random.Random(5).randbytes(300_000))
+    assert secret_spans.secret_spans(noise)[1] == []
+    assert secret_spans.secret_spans("\n".join(textwrap.wrap(noise, 76)))[1] == []
+
+
 def test_cycles_and_broken_layers_end():
     for text in ("%25" * 50, "%FF%FE%00", "\\ud800 \\udc00", "&#9999999; &#x110000;", base64.b64encode(b"\x1f\x8b broken").decode(),
                  base64.b64encode(b"BZh9 broken data").decode(), "A" * 17, "%" * 40):
@@ -159,6 +205,69 @@ def test_strange_documents_go_and_prose_stays(spark):
     assert out[2000]["class_distance"] is None
 
 
+CYRILLIC = "и в не на что тот быть весь это как она по но они мы этот который дом река свет под дорога идти лес".split()
+
+
+@pytest.mark.parametrize("n", [1, 10, 25])
+@pytest.mark.parametrize("labelled", [True, False])
+def test_rare_languages_stay_whatever_their_number(spark, n, labelled):
+    from conftest import prose
+
+    rng = random.Random(2)
+    rows = [(i, prose(rng, "en", 150), "en") for i in range(60)]
+    rows += [(1000 + i, " ".join(rng.choice(CYRILLIC) + rng.choice(CYRILLIC) for _ in range(150)), "ru" if labelled else None)
+             for i in range(n)]
+    out = {r["doc_id"]: r for r in rules.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(out[1000 + i]["kept"] for i in range(n))
+    assert all((out[1000 + i]["class_distance"] is None) != labelled for i in range(n))
+
+
+def verdict_by_hand(rows, text, lang):
+    """class_distance and word_distance of a long text, from counters of characters and words."""
+    def group(c):
+        if c.isascii():
+            return next(i for i, held in enumerate((
+                "aeiouy", "bcdfghjklmnpqrstvwxz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\n\x0b\x0c\r", ".,;:!?'\"()-",
+                "#*$%&|<>{}[]\\/=+@~^_`", c)) if c in held)
+        return 8 if c.islower() else 9 if c.isupper() else 10 if c.isalpha() else 13
+
+    def shares(found, keys):
+        return [found[k] / sum(found.values()) for k in keys]
+
+    def apart(p, q):
+        from math import log2, sqrt
+
+        return sqrt(sum(x * log2(2 * x / (x + y)) for a, b in ((p, q), (q, p)) for x, y in zip(a, b) if x) / 2)
+
+    def words(texts, common):
+        return Counter(w if w in common else None for t in texts for w in (v.strip(".,;:!?'\"()").encode().lower().decode() for v in t.split()))
+
+    near = []
+    for name in {r[2] for r in rows if r[2]}:
+        own = [r[1] for r in rows if r[2] == name]
+        counted = Counter(w for t in own for w in (v.strip(".,;:!?'\"()").encode().lower().decode() for v in t.split()) if 0 < len(w) <= 8)
+        common = [w for w, _ in sorted(counted.items(), key=lambda e: (-e[1], e[0].encode()))[:96]]
+        near.append((apart(shares(Counter(map(group, text)), range(14)), shares(Counter(group(c) for t in own for c in t), range(14))),
+                     apart(shares(words([text], common), [*common, None]), shares(words(own, common), [*common, None]))))
+    return min(n[0] for n in near), min(n[1] for n in near)
+
+
+def test_distances_against_brute_force(spark):
+    from conftest import prose
+
+    rng = random.Random(4)
+    rows = [(i, prose(rng, lang, 160) + rng.choice(["", " # 12 (Ä)", " ÜBER.", " été!"]), lang)
+            for i, lang in enumerate(["en", "de", "fr"] * 8)]
+    rows.append((99, " ".join(rng.choice(["@@x", "zq&&", "77", "Über"]) + str(i % 97) for i in range(200)), None))
+    out = {r["doc_id"]: r for r in rules.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for doc_id, text, lang in rows:
+        of_classes, of_words = verdict_by_hand(rows, text, lang)
+        assert out[doc_id]["class_distance"] == pytest.approx(of_classes, abs=1e-9)
+        assert out[doc_id]["word_distance"] == pytest.approx(of_words, abs=1e-9)
+        assert out[doc_id]["kept"] == (not out[doc_id]["base_failed"] and of_classes <= 0.25 and of_words <= 0.5)
+    assert not out[99]["kept"]
+
+
 def test_quality_without_references(spark, empty, clashing):
     assert rules.quality(clashing(empty)).count() == 0
     text = " ".join(f"word{i}" for i in range(120))
