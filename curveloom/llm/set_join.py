@@ -22,6 +22,8 @@ FILTER_BITS = 26
 BLOCK_TOKENS = 1 << 20
 #: Prefix tokens in a part of the token-group matrix.
 PART_TOKENS = 1 << 20
+#: Cells of the matrix that are looked up at once.
+ASKED = 1 << 20
 #: Numbers in a row of a table that tasks hand on in pieces.
 PIECE = 4096
 
@@ -324,22 +326,32 @@ def _met(rows: np.ndarray) -> Iterator[dict]:
     if not len(rows):
         return
     order = np.lexsort((rows["nid"], rows["home"], rows["token"]))
-    rows = rows[order]
-    new_token = np.concatenate([[True], rows["token"][1:] != rows["token"][:-1]])
-    new_cell = new_token | np.concatenate([[True], rows["home"][1:] != rows["home"][:-1]])
-    new_row = new_cell | np.concatenate([[True], rows["nid"][1:] != rows["nid"][:-1]])
+    token, home, nids, sizes = (rows[c][order] for c in ("token", "home", "nid", "n"))
+    del rows, order
+    new_token = np.concatenate([[True], token[1:] != token[:-1]])
+    new_cell = new_token | np.concatenate([[True], home[1:] != home[:-1]])
+    new_row = new_cell | np.concatenate([[True], nids[1:] != nids[:-1]])
     # Cells (token, group) of the matrix; a row asks the cells of its token before its own.
-    cell, first = np.cumsum(new_cell) - 1, np.cumsum(new_token) - 1
-    groups = rows["home"][new_cell]
-    first_cell = cell[new_token][first]
+    cell = np.cumsum(new_cell) - 1
+    first_cell = cell[new_token][np.cumsum(new_token) - 1]
+    groups = home[new_cell]
     asked = np.where(new_row, cell - first_cell, 0)
-    at = np.repeat(first_cell - (np.cumsum(asked) - asked), asked) + np.arange(asked.sum())
-    nid, n, group = np.repeat(rows["nid"], asked), np.repeat(rows["n"], asked), groups[at]
-    order = np.lexsort((group, nid))
-    nid, n, group = nid[order], n[order], group[order]
-    start = np.flatnonzero(np.concatenate([[True], (nid[1:] != nid[:-1]) | (group[1:] != group[:-1])])[: len(nid)])
-    yield {"token": pa.nulls(len(start), pa.int64()), "nid": pa.array(nid[start]), "home": pa.array(group[start]),
-           "n": pa.array(n[start]), "matches": pa.array(np.diff(np.append(start, len(nid))))}
+    del token, home, new_token, new_cell, new_row, cell
+    # Stretches of rows that ask ``ASKED`` cells or little more; their counts are merged, so only one of them is held.
+    ends = np.searchsorted(np.cumsum(asked), np.arange(ASKED, asked.sum() + ASKED, ASKED)) + 1
+    held = tuple(np.empty(0, t) for t in ("i8", "i8", "i4", "i8"))
+    for start, end in zip(np.concatenate([[0], ends]), ends):
+        many, base = asked[start:end], first_cell[start:end]
+        at = np.repeat(base - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        more = np.repeat(nids[start:end], many), groups[at], np.repeat(sizes[start:end], many), np.ones(len(at), "i8")
+        nid, group, n, matches = (np.concatenate(both) for both in zip(held, more))
+        order = np.lexsort((group, nid))
+        nid, group, n, matches = nid[order], group[order], n[order], matches[order]
+        first = np.flatnonzero(np.concatenate([[True], (nid[1:] != nid[:-1]) | (group[1:] != group[:-1])])[:len(nid)])
+        held = nid[first], group[first], n[first], np.add.reduceat(matches, first) if len(first) else matches
+    nid, group, n, matches = held
+    yield {"token": pa.nulls(len(nid), pa.int64()), "nid": pa.array(nid), "home": pa.array(group), "n": pa.array(n),
+           "matches": pa.array(matches)}
 
 
 def _filter(keys: DataFrame) -> np.ndarray:

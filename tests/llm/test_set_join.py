@@ -94,3 +94,26 @@ def test_hashes_of_many_words_differ():
     words = {bytes([a, b, c]) for a in range(33, 65) for b in range(33, 65) for c in range(33, 65)}
     words |= {bytes([a]) * n for a in range(33, 127) for n in range(1, 50)}
     assert len(set(set_join._word_hashes(b" ".join(words)).tolist())) == len(words)
+
+
+def test_matrix_counts_do_not_depend_on_the_stretches(monkeypatch):
+    import numpy as np
+
+    from curveloom.llm import set_join
+
+    rng = np.random.default_rng(1)
+    rows = np.zeros(3000, set_join._record)
+    rows["nid"] = np.arange(3000) % 200 + 1
+    rows["home"], rows["n"] = 1000 + rows["nid"] // 3, rows["nid"] % 7 + 5
+    rows["token"] = rows["nid"] // 20 * 50 + rng.integers(0, 50, 3000)
+    expected = {}
+    for token in np.unique(rows["token"]):
+        held = {(int(r["nid"]), int(r["home"]), int(r["n"])) for r in rows[rows["token"] == token]}
+        for nid, home, n in held:
+            for group in {h for _, h, _ in held if h < home}:
+                expected[nid, group, n] = expected.get((nid, group, n), 0) + 1
+    for asked in (1, 7, 1 << 20):
+        monkeypatch.setattr(set_join, "ASKED", asked)
+        out = list(set_join._met(rows))[-1]
+        got = dict(zip(zip(*(out[c].to_pylist() for c in ("nid", "home", "n"))), out["matches"].to_pylist()))
+        assert got == expected and len(got) == len(out["nid"])
