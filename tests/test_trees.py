@@ -163,3 +163,23 @@ def test_moments_in_blocks(spark):
         np.testing.assert_allclose(found.mean, x.mean(axis=0))
         np.testing.assert_allclose(found.covariance(), np.cov(x.T), atol=1e-6)
     assert column_moments(spark.createDataFrame([], "a double"), ["a"]).n == 0
+
+
+def test_rows_that_share_their_bins_are_one_cell(spark):
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.integers(0, 6, 3000), rng.integers(0, 4, 3000)]).astype(float)
+    y = x[:, 0] * x[:, 1] + rng.normal(0, 0.3, 3000)
+    held = rng.random(3000) < 0.2
+    df = spark.createDataFrame(
+        [(*map(float, a), float(b), bool(h)) for a, b, h in zip(x, y, held)], "f0 double, f1 double, t0 double, held boolean")
+    cells = trees.binned_cells(df.repartition(5), trees.Bins.fit(df, FEATURES), ["t0"], F.col("held"))
+    sizes = {r["held"]: r["n"] for r in cells.groupBy("held").agg(F.sum("size").alias("n")).collect()}
+    assert sizes == {h: len(np.unique(x[held == h], axis=0)) for h in (False, True)}
+    model = fit_models(df, FEATURES, ["t0"], "boosting", ModelConfig(boosting_rounds=3, boosting_leaves=5, boosting_rate=0.5), F.col("held"))
+    parts, fit = model.history, np.full(3000, y[~held].mean())
+    cuts = trees.Bins.fit(df, FEATURES).cuts
+    for _, _, _, loss, held_loss in parts[:3]:
+        assert (loss, held_loss) == pytest.approx([np.mean((y - fit)[m] ** 2) for m in (~held, held)])
+        grown = exhaustive(x[~held], (y - fit)[~held][:, None], cuts, 5, 20)[0][:, 0]
+        means = {tuple(a): v for a, v in zip(x[~held], grown)}
+        fit = fit + 0.5 * np.array([means[tuple(a)] for a in x])
