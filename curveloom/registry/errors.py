@@ -53,13 +53,7 @@ def _regime_report(spark, folder, largest_buffered_group):
     rows = spread_obs(spark, folder).withColumn("regime", regime_label(F.col("alpha"))).where(
         F.col("regime").isNotNull()
     )
-    # Every row gives one pair per model and target, so the sizes follow from the regimes alone.
-    measured = metrics.measure_groups(rows, ["regime"])
-    sizes = metrics.GroupSizes(measured.groups * 8, measured.largest)
-    paired = metrics.pair_targets(rows, MODELS, ["regime"], ratio=True)
-    return rounded(
-        metrics.percentage_metrics(paired, ["model", "regime"], largest_buffered_group, sizes)
-    )
+    return rounded(metrics.percentage_report(rows, MODELS, ["regime"], True, largest_buffered_group))
 
 
 @book.add("regime_percentage_error_multipass", f"""
@@ -82,12 +76,7 @@ sliced AS (
 {percentage_sql("model, dimension, value", "sliced")}""")
 def regime_reynolds_slices(spark, folder):
     sliced = metrics.slice_rows(spread_obs(spark, folder))
-    measured = metrics.measure_groups(sliced, ["dimension", "value"])
-    sizes = metrics.GroupSizes(measured.groups * 8, measured.largest)
-    paired = metrics.pair_targets(sliced, MODELS, ["dimension", "value"], ratio=True)
-    return rounded(
-        metrics.percentage_metrics(paired, ["model", "dimension", "value"], sizes=sizes)
-    )
+    return rounded(metrics.percentage_report(sliced, MODELS, ["dimension", "value"], True))
 
 
 @book.add("regression_metrics", f"""
