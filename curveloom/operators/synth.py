@@ -6,13 +6,16 @@ any order and again after a lost task with the same result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from curveloom.functions.draws import normal, normals, uniform, uniform_between
+from curveloom.functions.draws import normal, normal_columns, normals, uniform, uniform_between
 from curveloom.functions.scalars import convex_weights, dot, line_grid, literal_array, power_of_ten
 from curveloom.operators.features import vector_covariance
 from curveloom.operators.quality import LOG10_REYNOLDS
@@ -112,6 +115,39 @@ def numbered_parents(parents: DataFrame, id_column: str, vector: str) -> DataFra
     )
 
 
+def _with_first_sound(df: DataFrame, rows: np.ndarray, most: int) -> DataFrame:
+    """Replace the key texts ``_prefix`` and ``_gaps`` by ``_try``: the first one whose noise leaves every gap open, else null."""
+    pairs = N_COEFFICIENTS // 2
+
+    def first(texts: list[bytes], open_gaps: np.ndarray) -> np.ndarray:
+        found = np.full(len(texts), -1, np.int32)
+        sizes = np.array([len(t) for t in texts])
+        for size in np.unique(sizes):
+            left = np.flatnonzero(sizes == size)
+            heads = np.frombuffer(b"".join(texts[i] for i in left), np.uint8).reshape(len(left), size)
+            for attempt in range(most):
+                z = np.concatenate(
+                    [normal_columns(heads, str(attempt * pairs + i).encode()) for i in range(pairs)], axis=1)
+                sound = (open_gaps[left] + z @ rows.T > 0).all(axis=1)
+                found[left[sound]] = attempt
+                left, heads = left[~sound], heads[~sound]
+                if not len(left):
+                    break
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.encode() for t in batch["_prefix"].to_pylist()]
+            gaps = batch["_gaps"].flatten().to_numpy(zero_copy_only=False).reshape(len(texts), len(rows))
+            found = first(texts, gaps)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-2], pa.array(found, mask=found < 0)], names=[*batch.schema.names[:-2], "_try"])
+
+    kept = df.drop("_prefix", "_gaps")
+    schema = T.StructType([*kept.schema.fields, T.StructField("_try", T.IntegerType())])
+    return df.select(*kept.columns, "_prefix", "_gaps").mapInArrow(run, schema)
+
+
 def sample_shapes(
     cases: DataFrame, case_id: str, parents: DataFrame, parent_id: str, vector: str,
     seed: int = 42, config: SamplingConfig = SamplingConfig(),
@@ -120,8 +156,8 @@ def sample_shapes(
 
     A convex combination of random parents plus correlated noise. The noise is drawn again, up to
     ``most_tries`` times, until the upper coefficients all exceed the lower ones; ``accepted``
-    tells whether that succeeded (the last try is kept otherwise). Tries are evaluated inside the
-    row and only as far as needed, so no rounds of joins are run.
+    tells whether that succeeded (the last try is kept otherwise). Tries are made for the rows of an
+    Arrow batch at once and only as far as needed, so no rounds of joins are run.
     """
     key = F.col(case_id)
     factor = covariance_factor(parents, vector)
@@ -165,34 +201,18 @@ def sample_shapes(
         deviation = F.transform(factor_rows, lambda row: dot(row, z))
         return F.zip_with(F.col("blend"), deviation, lambda b, d: b + d)
 
-    def sound(z: Column) -> Column:
-        # Stops at the first station where the surfaces cross.
-        return F.forall(F.col("_gaps"), lambda gap: gap["blend"] + dot(gap["row"], z) > 0)
-
-    def first_sound(start: int, stop: int) -> Column:
-        tries = F.transform(F.sequence(F.lit(start), F.lit(stop - 1)), noise)
-        return F.get(F.filter(tries, sound), F.lit(0))
-
-    gap_rows = F.array(*[literal_array(factor[i] - factor[N_SURFACE + i]) for i in range(N_SURFACE)])
+    # How far the surfaces lie apart without noise, and the noise of that at each station.
     gaps = F.zip_with(
-        F.zip_with(
-            F.slice("blend", 1, N_SURFACE), F.slice("blend", N_SURFACE + 1, N_SURFACE),
-            lambda u, v: u - v,
-        ),
-        gap_rows,
-        lambda blend, row: F.struct(blend.alias("blend"), row.alias("row")),
-    )
-
-    # Growing batches: coalesce stops at the first batch that holds a sound try.
-    bounds = [b for b in (0, 1, 2, 4, 8, 16, 32, 64) if b < config.most_tries] + [config.most_tries]
-    batches = [first_sound(a, b) for a, b in zip(bounds, bounds[1:])]
-    last_try = noise(F.lit(config.most_tries - 1))
+        F.slice("blend", 1, N_SURFACE), F.slice("blend", N_SURFACE + 1, N_SURFACE), lambda u, v: u - v)
+    prefix = F.concat_ws("|", F.lit(str(seed)), key.cast("string"), F.lit("noise"), F.lit(""))
+    tried = _with_first_sound(
+        blended.withColumns({"_prefix": prefix, "_gaps": gaps}), factor[:N_SURFACE] - factor[N_SURFACE:2 * N_SURFACE],
+        config.most_tries)
     scale = F.exp(F.lit(config.scale_log_sigma) * normal(key, seed, "scale"))
     drawn = (
-        blended.withColumn("_gaps", gaps)
-        .withColumn("_sound", F.coalesce(*batches))
-        .withColumn("_noise", F.coalesce(F.col("_sound"), last_try))
-        .withColumn("_vector", shaped(F.col("_noise")))
+        # Bound to a lambda variable, the noise is drawn once for all elements of the shape.
+        tried.withColumn("_vector", F.get(F.transform(
+            F.array(noise(F.coalesce("_try", F.lit(config.most_tries - 1)))), shaped), F.lit(0)))
         .withColumn("_scale", scale)
     )
     v = F.col("_vector")
@@ -206,7 +226,7 @@ def sample_shapes(
         scaled(F.slice(v, N_SURFACE + 1, N_SURFACE)).alias("lower"),
         (F.get(v, F.lit(16)) * F.col("_scale")).alias("le"),
         (F.greatest(F.lit(0.0), F.get(v, F.lit(17))) * F.col("_scale")).alias("te"),
-        F.col("_sound").isNotNull().alias("accepted"),
+        F.col("_try").isNotNull().alias("accepted"),
     )
 
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from curveloom.functions.draws import normal, normals, uniform
+from curveloom.functions.draws import normal, normal_columns, normals, uniform
 from curveloom.functions.scalars import convex_weights, inclusive_sweep, line_grid
 from curveloom.operators import synth
 
@@ -116,3 +116,13 @@ def test_grids_and_weights(spark):
     assert (row["a"], row["b"], row["c"], row["d"]) == ([0], [-5, 0, 5], [-5, -2.5, 0, 2.5, 5], [])
     assert row["e"] == [-1, -0.5, 0, 0.5, 1]
     assert row["w"] == pytest.approx([0.2, 0.5, 0.3])
+
+
+def test_draws_of_a_batch_are_those_of_the_rows(spark):
+    for keys in (["7", "8"], ["key of twelve", "KEY of TWELVE"], ["x" * 29, "y" * 29], ["z" * 80]):
+        df = spark.createDataFrame([(k,) for k in keys], "k string")
+        rows = df.select("k", normals(F.col("k"), 5, "noise", F.lit(3), 18).alias("z")).collect()
+        for r in rows:
+            head = np.frombuffer(f"5|{r['k']}|noise|".encode(), np.uint8)[None]
+            z = np.concatenate([normal_columns(head, str(27 + i).encode())[0] for i in range(9)])
+            np.testing.assert_allclose(z, r["z"], rtol=1e-12, atol=1e-13)
