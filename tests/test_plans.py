@@ -291,3 +291,13 @@ def test_new_files_are_processed_once(spark, tmp_path):
     add([("c", 3)])
     assert run() == [("a", 10), ("b", 20), ("c", 30)]
     assert run() == [("a", 10), ("b", 20), ("c", 30)]
+
+
+def test_predictions_are_written_without_sorting(spark, tmp_path):
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", "0")
+    rows = spark.range(50).selectExpr("id", "if(id % 2 = 0, 'a', 'b') model", "id / 7 predicted")
+    store = RunStore(spark, str(tmp_path))
+    saved = store.save_predictions(rows)
+    assert sorted(map(tuple, saved.select("id", "model", "predicted").collect())) == sorted(map(tuple, rows.collect()))
+    assert all(f.endswith(".zstd.parquet") for f in saved.inputFiles()) and len(saved.inputFiles()) >= 2
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
