@@ -97,3 +97,13 @@ def test_vector_statistics_match_numpy(spark):
     assert len(found) == 10
     for r in found:
         assert r["covariance"] == pytest.approx(cov[r["i"], r["j"]])
+
+
+def test_rows_of_few_entities_are_not_shuffled(spark):
+    rows = spark.range(60).selectExpr(
+        "id % 3 AS e", "id", "transform(sequence(1, 8), i -> 0.1D + i / 100) AS upper",
+        "transform(sequence(1, 8), i -> -0.1D - i / 100) AS lower", "0.0D AS le", "0.001D AS te")
+    described = features.add_descriptors(rows, "e")
+    assert described.count() == 60
+    plan = described._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
