@@ -183,3 +183,33 @@ def test_rows_that_share_their_bins_are_one_cell(spark):
         grown = exhaustive(x[~held], (y - fit)[~held][:, None], cuts, 5, 20)[0][:, 0]
         means = {tuple(a): v for a, v in zip(x[~held], grown)}
         fit = fit + 0.5 * np.array([means[tuple(a)] for a in x])
+
+
+@pytest.mark.parametrize("space, cluster, numbers", [(100, 1_000_000, 2_000_000), (100, 400, 30)])
+def test_rows_that_trees_draw_are_summed_by_cell(spark, monkeypatch, space, cluster, numbers):
+    rng = np.random.default_rng(8)
+    x = np.column_stack([rng.integers(0, 6, 4000) * (rng.random(4000) < 0.4), rng.integers(0, 4, 4000) * (rng.random(4000) < 0.4)])
+    y = np.column_stack([x[:, 0] * x[:, 1] + rng.normal(0, 0.3, 4000), x[:, 0] - x[:, 1] + rng.normal(0, 0.3, 4000)])
+    df = spark.createDataFrame([(*map(float, a), *map(float, b)) for a, b in zip(x, y)], "f0 double, f1 double, t0 double, t1 double")
+    sizes = []
+    monkeypatch.setattr(models, "grow", lambda rows, *a, f=models.grow, **k: sizes.append(
+        rows.agg(F.sum("size")).first()[0]) or f(rows, *a, **k))
+    monkeypatch.setattr(trees, "CLUSTER_ROWS", cluster)
+    monkeypatch.setattr(trees, "BLOCK_NUMBERS", numbers)
+    config = ModelConfig(forest_trees=5, forest_leaves=12, forest_min_leaf=3, forest_features=0.5)
+    order, found = ["tree", "node", "feature", "cut", "value"], []
+    # Few cells, then rows as they are: cells of so many rows there are not.
+    for rows_a_cell in (4, 100_000):
+        monkeypatch.setattr(trees, "CELL_ROWS", rows_a_cell)
+        monkeypatch.setattr(trees, "CELL_SPACE", space)
+        nodes = fit_models(df.repartition(5), FEATURES, ["t0", "t1"], "random_forest", config).nodes
+        found.append(nodes.select(order).sort("tree", "node").collect())
+    assert sizes[0] < 400 and sizes[1] == 4000
+    assert len({r["tree"] for r in found[0]}) == 5 and len(found[0]) == len(found[1]) > 50
+    for a, b in zip(*found):
+        assert tuple(a)[:4] == tuple(b)[:4] and a["value"] == pytest.approx(b["value"], abs=1e-12)
+    # The space that sums take is bounded too.
+    monkeypatch.setattr(trees, "CELL_ROWS", 4)
+    monkeypatch.setattr(trees, "CELL_SPACE", 0.001)
+    fit_models(df, FEATURES, ["t0", "t1"], "random_forest", config)
+    assert sizes[2] == 4000
