@@ -213,3 +213,38 @@ def test_rows_that_trees_draw_are_summed_by_cell(spark, monkeypatch, space, clus
     monkeypatch.setattr(trees, "CELL_SPACE", 0.001)
     fit_models(df, FEATURES, ["t0", "t1"], "random_forest", config)
     assert sizes[2] == 4000
+
+
+def test_forest_without_draws_takes_rows_by_cell(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = np.column_stack([rng.integers(0, 6, 2000), rng.integers(0, 4, 2000)]).astype(float)
+    y = x[:, 0] * x[:, 1] + rng.normal(0, 0.3, 2000)
+    df = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y)], "f0 double, f1 double, t0 double").repartition(3)
+    sizes = []
+    monkeypatch.setattr(models, "grow", lambda rows, *a, f=models.grow, **k: sizes.append(
+        rows.agg(F.sum("size")).first()[0]) or f(rows, *a, **k))
+    config = ModelConfig(forest_trees=1, forest_leaves=9, forest_min_leaf=3, forest_bootstrap=False, forest_features=1.0)
+    fit = exhaustive(x, y[:, None], trees.Bins.fit(df, FEATURES).cuts, 9, 3)[0][:, 0]
+    # Grouped by values, and after they are binned.
+    for most in (100_000, 1):
+        monkeypatch.setattr(trees, "VALUE_CELLS", most)
+        model = fit_models(df, FEATURES, ["t0"], "random_forest", config)
+        got = {(r["f0"], r["f1"]): r["p_t0"] for r in model.predict(df, "p_").distinct().collect()}
+        np.testing.assert_allclose([got[tuple(a)] for a in x], fit, atol=1e-9)
+    assert sizes == [24, 24]
+
+
+def test_moments_of_few_columns_are_those_of_many(spark, monkeypatch):
+    from curveloom.operators import gram
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 3)) @ rng.normal(size=(3, 3)) + 1e6
+    rows = [tuple(map(float, r)) for r in x] + [(None, 1.0, 2.0), (float("nan"), 1.0, 2.0), (1.0, float("inf"), 2.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(3)
+    few = column_moments(df, ["a", "b", "c"])
+    monkeypatch.setattr(gram, "FEW_COLUMNS", 0)
+    many = column_moments(df, ["a", "b", "c"])
+    assert few.n == many.n == 400
+    np.testing.assert_allclose(few.mean, many.mean)
+    np.testing.assert_allclose(few.products, many.products, rtol=1e-6, atol=1e-6)
+    np.testing.assert_allclose(few.products, np.cov(x.T) * 399, rtol=1e-6)
