@@ -148,6 +148,19 @@ def test_search_scores_every_candidate(table):
         (m, c, t) for m, c in (("random_forest", 0), ("random_forest", 1), ("boosting", 0)) for t in ("CL", "CD", "CM")}
 
 
+def test_search_splits_and_labels_the_stored_sample(table, monkeypatch):
+    read = []
+    for name in ("entity_split", "label_rows"):
+        monkeypatch.setattr(training, name, lambda df, *a, f=getattr(training, name), **k: read.append(
+            (df.count(), "Join" in df._jdf.queryExecution().optimizedPlan().toString(), len(df.inputFiles()))) or f(df, *a, **k))
+    plan = training.TrainingPlan(features=("alpha", "Re"), targets=("CL",))
+    metrics, _, _ = training.search(table, plan, 6, {"ridge": [{"ridge_alpha": 1.0}]}, LIGHT)
+    assert metrics.count() == 1
+    assert len(read) == 2 and len({n for n, _, _ in read}) == 1 and 0 < read[0][0] < table.count()
+    # Neither draws the sample again from the whole table.
+    assert all(files and not joined for _, joined, files in read)
+
+
 # -- assembly -----------------------------------------------------------------------------------
 
 
